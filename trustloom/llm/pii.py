@@ -24,8 +24,9 @@ from trustloom.llm.common import replace_columns, schema_with, table
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
-_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
+# a digit first and then the look behind: the scan can jump from digit to digit
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*\.[0-9]+\.[0-9]+\.[0-9]+")
+_CARD = re.compile(r"[0-9](?<![0-9][0-9])(?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -54,7 +55,7 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base detectors, by start and then by kind as listed."""
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -90,20 +91,22 @@ _ENDS = "com|org|net|edu|gov|io|info|dev|example|test|de|fr|es|uk|eu"
 _WORDED = re.compile(rf"(?<![^\s<(\[,;:])[A-Za-z0-9_%+-]{{1,64}}(?:(?: dot |\.)[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?: at |@)[A-Za-z0-9-]{{1,63}}"
                      rf"(?:(?: dot |\.)[A-Za-z0-9-]{{1,63}}){{0,4}}(?: dot |\.)(?:{_ENDS})\b", re.I)
 _SPACED = re.compile(r" (at|dot) ", re.I)
-_HINT = re.compile(r" at | dot |[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]", re.I)
-_TWO = re.compile(rf"\b(?:{_DIGIT})[ ,.-]{{1,2}}(?:{_DIGIT}|[0-9])\b", re.I)
+#: without one of these no disguise of at or dot matches
+_HINTS = (" at ", " dot ", "[", "(", "{", "<")
+_TWO = re.compile(rf"[zotfsen](?<!\w\w)(?:{"|".join(w[1:] for w in _DIGITS)})[ ,.-]{{1,2}}(?:{_DIGIT}|[0-9])\b")
 
 
 def rewrite(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with look-alikes replaced, edits): edits are (start, end, new) apart from each other."""
-    plain = text.translate(_GLYPHS) if _GLYPH.search(text) else text
+    plain = text if text.isascii() or not _GLYPH.search(text) else text.translate(_GLYPHS)
     edits = []
-    if _HINT.search(plain):
+    low = plain.lower()
+    if any(h in low for h in _HINTS):
         edits += [(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "@") else ".") for m in _MARK.finditer(plain)]
         for m in _WORDED.finditer(plain):
             edits += [(m.start() + k.start(), m.start() + k.end(), "@" if k.group(1).lower() == "at" else ".")
                       for k in _SPACED.finditer(m.group())]
-    if _TWO.search(plain):
+    if sum(low.count(w) for w in _DIGITS) > 1 and _TWO.search(low):
         for m in _SPELLED.finditer(plain):
             tokens = list(_TOKEN.finditer(m.group()))
             for a, b in zip(tokens, [*tokens[1:], None]):
