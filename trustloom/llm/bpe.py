@@ -31,7 +31,7 @@ from trustloom.llm.common import list_array, replace_columns, schema_with, table
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON_WORDS = 32768
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,6 +66,8 @@ class Vocabulary:
         """Lowest rank first, leftmost among equals; n log n in the word's length."""
         ids = [self.first[b] for b in word]
         n = len(ids)
+        if n < 48:
+            return self._merge_short(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         queue = []
 
@@ -90,6 +92,22 @@ class Vocabulary:
                 offer(left[i])
         return [t for t in ids if t >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        get, none = self.merge.get, (1 << 30, 0)
+        found = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            ids[i:i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
     def pieces(self, text: str):
         """(is special, piece) in text order."""
         if self.specials is None:
