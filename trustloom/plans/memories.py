@@ -1,0 +1,51 @@
+"""The memory view over the driver's documents table."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NOW = "2024-06-01 12:00:00"
+SOURCES = ("commit", "file", "api", "jira", "user", "slack")
+SCOPES = ("project", "repo", "global")
+TIERS = ("public", "internal", "secret", "pii")
+STATUSES = ("active", "active", "active", "disputed", "superseded", "active", "expired", "corrected", "deleted", "outdated", "active")
+CORRECTIONS = (None, "affirm", "supersede", "other")
+
+
+def pick(values, key):
+    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per document, every field by arithmetic on doc_id."""
+    docs, doc_id = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id")
+    created = F.date_add(F.lit("2024-01-01").cast("date"), (doc_id % 150).cast("int"))
+    return docs.select(
+        F.lpad(doc_id.cast("string"), 12, "0").alias("memory_id"),
+        F.col("text").alias("content"),
+        pick(SOURCES, doc_id).alias("source_type"),
+        F.concat(F.lit("file://"), "source").alias("source_ref"),
+        pick(SCOPES, doc_id).alias("scope"),
+        F.when(doc_id % 3 != 2, F.col("source")).alias("scope_ref"),
+        created.alias("created_on"),
+        F.when(doc_id % 5 == 0, F.date_add(created, 30)).alias("expires_on"),
+        (doc_id % 7).alias("confirmations"),
+        (doc_id % 4).alias("n_contradicts"),
+        pick(TIERS, doc_id).alias("sensitivity"),
+        pick(STATUSES, doc_id).alias("status"),
+        pick(CORRECTIONS, doc_id).alias("correction"),
+    )
+
+
+MEMORIES_SQL = """memories AS (
+  SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS memory_id, text AS content,
+    ['commit','file','api','jira','user','slack'][CAST(doc_id % 6 AS INT) + 1] AS source_type,
+    'file://' || source AS source_ref,
+    ['project','repo','global'][CAST(doc_id % 3 AS INT) + 1] AS scope,
+    CASE WHEN doc_id % 3 <> 2 THEN source END AS scope_ref,
+    DATE '2024-01-01' + CAST(doc_id % 150 AS INT) AS created_on,
+    CASE WHEN doc_id % 5 = 0 THEN DATE '2024-01-01' + CAST(doc_id % 150 AS INT) + 30 END AS expires_on,
+    doc_id % 7 AS confirmations, doc_id % 4 AS n_contradicts,
+    ['public','internal','secret','pii'][CAST(doc_id % 4 AS INT) + 1] AS sensitivity,
+    ['active','active','active','disputed','superseded','active','expired','corrected','deleted','outdated','active'][CAST(doc_id % 11 AS INT) + 1] AS status,
+    [NULL,'affirm','supersede','other'][CAST(doc_id % 4 AS INT) + 1] AS correction
+  FROM documents)"""
