@@ -35,7 +35,7 @@ NAMES = {
     "eupl": ("eupl", r"eupl|european union public licence"), "cecill": ("cecill", r"cecill"),
     "osl": ("osl", r"open software license|osl 3"), "afl": ("academic", r"academic free license"),
     "ms-pl": ("microsoft", r"microsoft public license"), "cc0": ("cc0", r"cc0|creative commons zero"),
-    "cc-by-sa": ("sa", r"cc by sa"), "cc-by-nc": ("nc", r"cc by nc"), "cc-by-nd": ("nd", r"cc by nd"),
+    "cc-by-sa": ("by sa", r"cc by sa"), "cc-by-nc": ("by nc", r"cc by nc"), "cc-by-nd": ("by nd", r"cc by nd"),
     "cc": ("creative", r"creative commons"), "odbl": ("database", r"open database license"),
     "proprietary": ("proprietary", r"proprietary license"), "public-domain": ("domain", r"public domain"),
 }
@@ -78,7 +78,8 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
     flat = F.trim(F.regexp_replace(low, NOT_WORD, " "))
     norm = F.when(flat == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(flat, F.lit(" "), F.lit("  ")), F.lit(" ")))
-    return docs.withColumn("_norm", norm).withColumn("n_words", _n_words(F.col("_norm")).cast("long"))
+    # a generator keeps the optimiser from writing the expression out at each of its uses
+    return docs.select("*", F.explode(F.array(norm)).alias("_norm")).withColumn("n_words", _n_words(F.col("_norm")).cast("long"))
 
 
 def _spaced(phrase: str) -> str:
@@ -110,9 +111,9 @@ def scan(docs: DataFrame) -> DataFrame:
     # patterns see single spaces, and a space at either end
     table_ = rules()
     words = sorted({r[1] for r in table_})
-    gate = F.regexp_like(norm, F.lit(" (?:" + "|".join(words) + ") "))
+    gate = F.regexp_like(norm, F.lit(" (?:" + "|".join(w.replace(" ", "  ") for w in words) + ") "))
     rule = F.array(*[
-        F.struct(F.lit(a).alias("label"), F.lit(f" {b} ").alias("word"), F.lit(f" (?:{c.replace(' ', '  ')}) ".replace("(?:  ", "(?:")).alias("pattern"), F.lit(d).alias("rank"))
+        F.struct(F.lit(a).alias("label"), F.lit(_spaced(b)).alias("word"), F.lit(f" (?:{c.replace(' ', '  ')}) ".replace("(?:  ", "(?:")).alias("pattern"), F.lit(d).alias("rank"))
         for a, b, c, d in table_
     ])
     chosen = F.filter(rule, lambda r: F.contains(norm, r["word"]))
@@ -145,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.when(inside, acc).otherwise(F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(d)).alias("out")))
 
     detections = F.when(gate, F.aggregate(ordered, zero, keep)["out"]).otherwise(F.array().cast(kept_type))
-    df = df.withColumn("detections", detections)
+    df = df.select("*", F.explode(F.array(detections)).alias("detections"))
     rank = F.coalesce(F.array_max(F.transform("detections", lambda d: d["rank"])), F.when(F.col("n_base") > 0, F.lit(2)), F.lit(0))
     return df.withColumns({
         "base_labels": F.array_join("_base", ","),
