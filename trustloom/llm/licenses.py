@@ -1,7 +1,8 @@
 """Operator 8: license scan by ordered signature rules, in DataFrame functions only.
 
-Texts are lower-cased (A-Z) and reduced to words. One keyword prefilter decides whether
-a text is scanned; each rule's own keyword decides whether its regular expression runs.
+Texts are lower-cased (A-Z) and reduced to words. One keyword prefilter finds the rules'
+keywords in a single pass; only texts that hold one are scanned, and only by the rules of
+the keywords they hold.
 A detection inside another of the same or a higher priority is suppressed. The three
 base phrases are counted apart and their labels always stay.
 
@@ -70,16 +71,18 @@ def rules() -> list[tuple[str, str, str, int]]:
 
 def _n_words(spaced: Column) -> Column:
     """Words of a piece in which every word stands between two spaces of its own."""
-    return (F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2
+    return F.shiftright(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))), 1)
 
 
 def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add `_norm`: the words, each between two spaces of its own, and `n_words`."""
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    flat = F.trim(F.regexp_replace(low, NOT_WORD, " "))
-    norm = F.when(flat == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(flat, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    flat = F.trim(F.regexp_replace(low, NOT_WORD, "  "))
+    norm = F.concat(F.lit(" "), flat, F.lit(" "))
     # a generator keeps the optimiser from writing the expression out at each of its uses
-    return docs.select("*", F.explode(F.array(norm)).alias("_norm")).withColumn("n_words", _n_words(F.col("_norm")).cast("long"))
+    once = docs.drop("_norm").select("*", F.explode(F.array(norm)).alias("_norm"))
+    once = once.withColumn("_norm", F.when(F.col("_norm") == "  ", F.lit("")).otherwise(F.col("_norm")))
+    return once.withColumn("n_words", _n_words(F.col("_norm")).cast("long"))
 
 
 def _spaced(phrase: str) -> str:
@@ -96,27 +99,31 @@ def scan(docs: DataFrame) -> DataFrame:
     places, firsts, lasts, labels = [], [], [], []
     for phrase, label in BASE:
         mark = _spaced(phrase)
-        n = ((F.length(norm) - F.length(F.replace(norm, F.lit(mark), F.lit("")))) / len(mark)).cast("long")
-        places.append(n)
-        firsts.append(F.when(n > 0, _n_words(F.substring_index(norm, mark, 1)).cast("long")))
+        held = F.contains(norm, F.lit(mark))
+        n = F.floor((F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(mark), F.lit("")))) / len(mark))
+        places.append(F.when(held, n.cast("long")).otherwise(F.lit(0).cast("long")))
+        firsts.append(F.when(held, _n_words(F.substring_index(norm, mark, 1)).cast("long")))
         after = _n_words(F.substring_index(norm, mark, -1)).cast("long")
-        lasts.append(F.when(n > 0, F.col("n_words") - after - len(phrase.split())))
-        labels.append(F.when(n > 0, F.lit(label)))
+        lasts.append(F.when(held, F.col("n_words") - after - len(phrase.split())))
+        labels.append(F.when(held, F.lit(label)))
     df = df.withColumns({
         "n_base": sum(places[1:], places[0]),
         "first_word": F.least(*firsts),
         "last_word": F.greatest(*lasts),
         "_base": F.array_sort(F.array_compact(F.array(*labels))),
     })
-    # patterns see single spaces, and a space at either end
-    table_ = rules()
-    words = sorted({r[1] for r in table_})
-    gate = F.regexp_like(norm, F.lit(" (?:" + "|".join(w.replace(" ", "  ") for w in words) + ") "))
-    rule = F.array(*[
-        F.struct(F.lit(a).alias("label"), F.lit(_spaced(b)).alias("word"), F.lit(f" (?:{c.replace(' ', '  ')}) ".replace("(?:  ", "(?:")).alias("pattern"), F.lit(d).alias("rank"))
-        for a, b, c, d in table_
-    ])
-    chosen = F.filter(rule, lambda r: F.contains(norm, r["word"]))
+    # patterns see every word between two spaces of its own
+    of_word: dict[str, list] = {}
+    for a, b, c, d in rules():
+        pattern = f" (?:{c.replace(' ', '  ')}) ".replace("(?:  ", "(?:")
+        of_word.setdefault(b.replace(" ", "  "), []).append(
+            F.struct(F.lit(a).alias("label"), F.lit(pattern).alias("pattern"), F.lit(d).alias("rank")))
+    words = sorted(of_word)
+    rule_map = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*of_word[w]))])
+    found_words = F.array_distinct(F.regexp_extract_all(norm, F.lit(" (" + "|".join(words) + ")(?= )"), F.lit(1)))
+    df = df.select("*", F.explode(F.array(found_words)).alias("_words"))
+    gate = F.size("_words") > 0
+    chosen = F.flatten(F.transform("_words", lambda w: F.element_at(rule_map, w)))
 
     def places_of(r):
         pieces = F.split(F.regexp_replace(norm, F.concat(F.lit("("), r["pattern"], F.lit(")")), F.lit("\x01$1\x02")), "\x01")
@@ -152,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "base_labels": F.array_join("_base", ","),
         "labels": F.array_join(F.array_sort(F.array_union("_base", F.transform("detections", lambda d: d["label"]))), ","),
         "score": rank / F.lit(float(PRIORITIES)),
-    }).drop("_norm", "_base")
+    }).drop("_norm", "_base", "_words")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
