@@ -12,6 +12,8 @@ Repeated rows give repeated results.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,10 +122,11 @@ def scan(docs: DataFrame) -> DataFrame:
             F.struct(F.lit(a).alias("label"), F.lit(pattern).alias("pattern"), F.lit(d).alias("rank")))
     words = sorted(of_word)
     rule_map = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*of_word[w]))])
-    found_words = F.array_distinct(F.regexp_extract_all(norm, F.lit(" (" + "|".join(words) + ")(?= )"), F.lit(1)))
+    by_letter = "|".join(f"{k}(?:{'|'.join(w[1:] for w in group)})" for k, group in groupby(words, lambda w: w[0]))
+    found_words = F.array_distinct(F.regexp_extract_all(norm, F.lit(f" ({by_letter})(?= )"), F.lit(1)))
     df = df.select("*", F.explode(F.array(found_words)).alias("_words"))
     gate = F.size("_words") > 0
-    chosen = F.flatten(F.transform("_words", lambda w: F.element_at(rule_map, w)))
+    chosen = F.filter(F.flatten(F.transform("_words", lambda w: F.element_at(rule_map, w))), lambda r: F.regexp_like(norm, r["pattern"]))
 
     def places_of(r):
         pieces = F.split(F.regexp_replace(norm, F.concat(F.lit("("), r["pattern"], F.lit(")")), F.lit("\x01$1\x02")), "\x01")
