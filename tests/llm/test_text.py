@@ -24,7 +24,7 @@ def test_bpe_equals_the_library(vocabulary):
     coder = bpe.Encoder(vocabulary, bpe.compile_lexicon({w.encode(): vocabulary.merge_word(w.encode()) for w in words}))
     for text in ["", "a<|endoftext|> b  \n\n x", "it's ééé   12345 😀 the then", "aaaa" * 500, " \t\n", "x" * 3000]:
         ids = array("i")
-        coder.encode(text, ids)
+        ids.frombytes(coder.encode([text])[0])
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
         assert b"".join(vocabulary.bytes_of[i] for i in ids).decode() == text
 
@@ -32,9 +32,16 @@ def test_bpe_equals_the_library(vocabulary):
 def test_lexicon_holds_its_words_alone():
     words = {w.encode(): [k, k + 1] for k, w in enumerate("tap taps top tops stop stops a".split())}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
-    assert all(lexicon.get(w) == ids for w, ids in words.items())
-    assert [lexicon.get(w) for w in (b"", b"t", b"tapss", b"z")] == [None] * 4
-    assert bpe.Lexicon(bpe.compile_lexicon({})).get(b"a") is None
+    assert lexicon.get(list(words)) == [array("i", ids).tobytes() for ids in words.values()]
+    assert lexicon.get([b"", b"t", b"tapss", b"z"]) == [None] * 4
+    assert bpe.Lexicon(bpe.compile_lexicon({})).get([b"a"]) == [None]
+
+
+def test_bulk_merge_equals_single_merges(vocabulary):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé 1😀") for _ in range(rng.randint(0, 60))).encode() for _ in range(2000)]
+    assert vocabulary.merge_words(words) == [array("i", vocabulary.merge_word(w)).tobytes() for w in words]
+    assert vocabulary.merge_words([]) == []
 
 
 def test_pii_base_equals_plain_expressions():

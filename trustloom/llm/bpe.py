@@ -31,7 +31,14 @@ from trustloom.llm.common import list_array, replace_columns, schema_with, table
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON_WORDS = 32768
+#: longer words are not in the lexicon
+LEXICON_BYTES = 256
 MEMO_WORDS = 600_000
+#: words under so many bytes are merged side by side, so many at a time
+BULK_BYTES, BULK_WORDS = 48, 8192
+UNMERGED = 1 << 30
+#: texts are encoded in groups of about so many characters
+GROUP_CHARS = 1 << 21
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,6 +65,12 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[ids[a], ids[b]] = (rank, ids[a + b])
+        pairs = sorted((a << 32 | b, rank, made) for (a, b), (rank, made) in self.merge.items())
+        self.pair_keys = np.array([x[0] for x in pairs], np.int64)
+        self.pair_ranks = np.array([x[1] for x in pairs], np.int32)
+        self.made = np.zeros(len(spec["model"]["merges"]), np.int32)
+        self.made[self.pair_ranks] = [x[2] for x in pairs]
+        self.first_array = np.array(self.first, np.int32)
         self.words = regex.compile(PATTERN)
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
@@ -108,6 +121,58 @@ class Vocabulary:
                 found[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word as int32 bytes: short words side by side in numpy, long ones one by one."""
+        out = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for at in np.flatnonzero(sizes >= BULK_BYTES).tolist():
+            out[at] = array("i", self.merge_word(words[at])).tobytes()
+        short = np.flatnonzero((sizes > 0) & (sizes < BULK_BYTES))
+        short = short[np.argsort(sizes[short], kind="stable")]
+        for k in range(0, len(short), BULK_WORDS):
+            part = short[k:k + BULK_WORDS]
+            ids, n = self._merge_bulk([words[i] for i in part.tolist()], sizes[part])
+            for row, i, m in zip(ids, part.tolist(), n.tolist()):
+                out[i] = row[:m].tobytes()
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Position of each pair among the merges in rank order; UNMERGED where there is none."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], UNMERGED)
+
+    def _merge_bulk(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One merge a round in every word that has one: its lowest rank, leftmost among equals."""
+        m, width = len(words), int(sizes.max())
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(m, width)
+        ids = np.full((m, width + 2), -1, np.int32)
+        ids[:, :width] = np.where(np.arange(width) < sizes[:, None], self.first_array[raw], -1)
+        ranks = np.full((m, width + 1), UNMERGED, np.int32)
+        ranks[:, :width] = self._ranks(ids[:, :width], ids[:, 1:width + 1])
+        n, done, live = sizes.copy(), np.full((m, width), -1, np.int32), np.arange(m)
+        while len(live):
+            at = ranks.argmin(axis=1)
+            rows = np.arange(len(live))
+            best = ranks[rows, at]
+            going = best < UNMERGED
+            if not going.all():
+                done[live[~going]] = ids[~going, :width]
+                live, ids, ranks, at, best = live[going], ids[going], ranks[going], at[going], best[going]
+                rows = rows[: len(live)]
+                if not len(live):
+                    break
+            # the cells after the merged pair move one to the left
+            moved = np.arange(width + 1) > at[:, None]
+            ids[:, :-1] = np.where(moved, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(moved[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ids[rows, at] = self.made[best]
+            n[live] -= 1
+            ranks[rows, at] = self._ranks(ids[rows, at], ids[rows, at + 1])
+            before = np.maximum(at - 1, 0)
+            ranks[rows, before] = np.where(at > 0, self._ranks(ids[rows, before], ids[rows, at]), ranks[rows, before])
+        return done, n
+
     def pieces(self, text: str):
         """(is special, piece) in text order."""
         if self.specials is None:
@@ -156,7 +221,10 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     ids = [i for w in order for i in words[w]]
     ends = np.cumsum([0] + [len(words[w]) for w in order])
     finals = [int(f) for f, _ in frozen]
-    blocks = [first, finals, *([a[j] for a in arcs] for j in range(3)), ends, ids]
+    # an arc's key is its source state and label; keys ascend, as states and their labels do
+    sources = np.repeat(np.arange(len(frozen)), np.diff(first))
+    keys = [int(s) << 8 | a[0] for s, a in zip(sources, arcs)]
+    blocks = [finals, keys, [a[1] for a in arcs], [a[2] for a in arcs], ends, ids, []]
     head = [root, *map(len, blocks)]
     return np.concatenate([np.asarray(x, np.int32) for x in [head, *blocks]]).tobytes()
 
@@ -168,56 +236,75 @@ class Lexicon:
         self._file = tempfile.TemporaryFile()  # has no name: nothing stays behind
         self._file.write(block)
         self._file.flush()
-        cells = memoryview(mmap.mmap(self._file.fileno(), 0, access=mmap.ACCESS_READ)).cast("i")
-        self.root, at, parts = cells[0], 8, []
-        for size in cells[1:8]:
+        cells = np.frombuffer(mmap.mmap(self._file.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
+        self.root, at, parts = int(cells[0]), 8, []
+        for size in cells[1:8].tolist():
             parts.append(cells[at:at + size])
             at += size
-        self.first, self.final, self.label, self.target, self.before, self.ends, self.ids = parts
-
-    def get(self, word: bytes):
-        state, ordinal = self.root, 0
-        for byte in word:
-            lo, hi = self.first[state], self.first[state + 1]
-            end = hi
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if self.label[mid] < byte:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == end or self.label[lo] != byte:
-                return None
-            ordinal += self.before[lo]
-            state = self.target[lo]
-        if not self.final[state]:
-            return None
-        return self.ids[self.ends[ordinal]:self.ends[ordinal + 1]].tolist()
+        self.final, self.arc, self.target, self.before, self.ends, self.ids, _ = parts
+
+    def get(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of every word as int32 bytes, None for a word it lacks; all words walk together."""
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.arc):
+            return out
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        live = np.flatnonzero(sizes < LEXICON_BYTES)
+        text = np.frombuffer(b"".join(words), np.uint8)
+        starts = (np.cumsum(sizes) - sizes)[live]
+        state, ordinal = np.full(len(live), self.root, np.int64), np.zeros(len(live), np.int64)
+        step = 0
+        while len(live):
+            ended = sizes[live] == step
+            hit = ended & (self.final[state] == 1)
+            for i, k in zip(live[hit].tolist(), ordinal[hit].tolist()):
+                out[i] = self.ids[self.ends[k]:self.ends[k + 1]].tobytes()
+            live, starts, state, ordinal = (x[~ended] for x in (live, starts, state, ordinal))
+            key = (state << 8 | text[starts + step]).astype(np.int32)
+            at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            found = self.arc[at] == key
+            at = at[found]
+            live, starts = live[found], starts[found]
+            state, ordinal = self.target[at].astype(np.int64), ordinal[found] + self.before[at]
+            step += 1
+        return out
 
 
 class Encoder(dict):
-    """word -> ids, remembered; a miss asks the lexicon, then merges."""
+    """word -> ids as int32 bytes, remembered; new words ask the lexicon, then are merged."""
 
     def __init__(self, vocabulary: Vocabulary, block: bytes):
         self.vocabulary, self.lexicon = vocabulary, Lexicon(block)
 
-    def __missing__(self, word: str):
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        raw = [w.encode() for w in new]
+        known = self.lexicon.get(raw)
+        rest = [i for i, ids in enumerate(known) if ids is None]
+        self.update(zip(new, known))
+        self.update(zip([new[i] for i in rest], self.vocabulary.merge_words([raw[i] for i in rest])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as int32 bytes."""
         if len(self) >= MEMO_WORDS:
             self.clear()
-        raw = word.encode()
-        ids = self.lexicon.get(raw)
-        out = array("i", self.vocabulary.merge_word(raw) if ids is None else ids)
-        if len(word) < 64:
-            self[word] = out
-        return out
+        split, of_special = self.vocabulary.words.findall, {k: array("i", [v]).tobytes() for k, v in self.vocabulary.special.items()}
+        words = []
+        for text in texts:
+            words.append([(special, [piece] if special else split(piece)) for special, piece in self.vocabulary.pieces(text)])
+        self.learn({w for text in words for special, found in text if not special for w in found})
+        ids = [b"".join([of_special[found[0]] if special else b"".join(map(self.__getitem__, found)) for special, found in text]) for text in words]
+        for text in words:  # very long words are not kept
+            for special, found in text:
+                if not special:
+                    for w in [w for w in found if len(w) >= 64]:
+                        self.pop(w, None)
+        return ids
 
-    def encode(self, text: str, out: array) -> None:
-        for special, piece in self.vocabulary.pieces(text):
-            if special:
-                out.append(self.vocabulary.special[piece])
-                continue
-            for word in self.vocabulary.words.findall(piece):
-                out.extend(self[word])
+
+class Decoder(dict):
+    def __missing__(self, key):
+        return b""
 
 
 _HELD: dict = {}
@@ -272,12 +359,17 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_words: int = LEXICON_WORDS,
         text_, block_ = sent.value
         coder = _held(hash((text_, block_)), lambda: Encoder(Vocabulary(text_), block_))
         for batch in batches:
-            flat, sizes = array("i"), []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                before = len(flat)
-                coder.encode(text or "", flat)
-                sizes.append(len(flat) - before)
-            yield replace_columns(batch, {column: list_array(np.frombuffer(flat, np.int32), sizes, pa.int32())})
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            coded, group, chars = [], [], 0
+            for text in texts:
+                group.append(text)
+                chars += len(text)
+                if chars > GROUP_CHARS:
+                    coded += coder.encode(group)
+                    group, chars = [], 0
+            coded += coder.encode(group)
+            sizes = [len(c) // 4 for c in coded]
+            yield replace_columns(batch, {column: list_array(np.frombuffer(b"".join(coded), np.int32), sizes, pa.int32())})
 
     return docs.mapInArrow(run, schema_with(docs, f"{column} array<int>"))
 
@@ -288,13 +380,13 @@ def decode(rows: DataFrame, vocab_path: str, ids: str = "ids", column: str = "de
         sent = rows.sparkSession.sparkContext.broadcast(Vocabulary(f.read()).bytes_of)
 
     def run(batches):
-        get = sent.value.get
+        get = Decoder(sent.value).__getitem__
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), lists.value_lengths().to_pylist()
             at, texts = 0, []
             for n in ends:
-                texts.append(b"".join([get(i, b"") for i in flat[at:at + (n or 0)]]).decode("utf-8", "replace"))
+                texts.append(b"".join(map(get, flat[at:at + (n or 0)])).decode("utf-8", "replace"))
                 at += n or 0
             yield replace_columns(batch, {column: pa.array(texts, pa.string())})
 
