@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import tempfile
 from array import array
 from collections import Counter
@@ -33,7 +34,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEXICON_WORDS = 32768
 #: longer words are not in the lexicon
 LEXICON_BYTES = 256
-MEMO_WORDS = 600_000
+MEMO_WORDS = 500_000
 #: words under so many bytes are merged side by side, so many at a time
 BULK_BYTES, BULK_WORDS = 48, 8192
 UNMERGED = 1 << 30
@@ -41,6 +42,24 @@ UNMERGED = 1 << 30
 GROUP_CHARS = 1 << 21
 
 
+class Splitter:
+    """Pre-tokenisation; texts of characters below U+0100 take the same pattern with its classes written out."""
+
+    def __init__(self):
+        self.wide = regex.compile(PATTERN).findall
+        low = list(map(chr, range(256)))
+        letter, number, space = ("".join(map(re.escape, regex.findall(kind, "".join(low)))) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+        written = PATTERN.replace(r"(?!\S)", rf"(?![^{space}])").replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]")
+        self.narrow = re.compile(written.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]").replace(r"\s", f"[{space}]")).findall
+
+    def __call__(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.wide(text)
+        return self.narrow(text)
+
+
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-in character of each byte in the vocabulary file -> byte."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -71,7 +90,7 @@ class Vocabulary:
         self.made = np.zeros(len(spec["model"]["merges"]), np.int32)
         self.made[self.pair_ranks] = [x[2] for x in pairs]
         self.first_array = np.array(self.first, np.int32)
-        self.words = regex.compile(PATTERN)
+        self.split = Splitter()
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
@@ -276,29 +295,28 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary, block: bytes):
         self.vocabulary, self.lexicon = vocabulary, Lexicon(block)
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> list[str]:
+        """Take the new words in; returns the very long ones."""
         new = [w for w in words if w not in self]
         raw = [w.encode() for w in new]
         known = self.lexicon.get(raw)
         rest = [i for i, ids in enumerate(known) if ids is None]
         self.update(zip(new, known))
         self.update(zip([new[i] for i in rest], self.vocabulary.merge_words([raw[i] for i in rest])))
+        return [w for w in new if len(w) >= 64]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as int32 bytes."""
         if len(self) >= MEMO_WORDS:
             self.clear()
-        split, of_special = self.vocabulary.words.findall, {k: array("i", [v]).tobytes() for k, v in self.vocabulary.special.items()}
+        split, of_special = self.vocabulary.split, {k: array("i", [v]).tobytes() for k, v in self.vocabulary.special.items()}
         words = []
         for text in texts:
             words.append([(special, [piece] if special else split(piece)) for special, piece in self.vocabulary.pieces(text)])
-        self.learn({w for text in words for special, found in text if not special for w in found})
+        long_words = self.learn({w for text in words for special, found in text if not special for w in found})
         ids = [b"".join([of_special[found[0]] if special else b"".join(map(self.__getitem__, found)) for special, found in text]) for text in words]
-        for text in words:  # very long words are not kept
-            for special, found in text:
-                if not special:
-                    for w in [w for w in found if len(w) >= 64]:
-                        self.pop(w, None)
+        for w in long_words:  # not kept
+            self.pop(w, None)
         return ids
 
 
@@ -322,7 +340,7 @@ def frequent_words(docs: DataFrame, limit: int) -> list[str]:
     """The `limit` most frequent words over all texts; ties by the word."""
 
     def count(batches):
-        words = regex.compile(PATTERN)
+        split = Splitter()
         seen = Counter()
 
         def flush():
@@ -332,7 +350,7 @@ def frequent_words(docs: DataFrame, limit: int) -> list[str]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(words.findall(text))
+                    seen.update(split(text))
                 if len(seen) > 300_000:
                     yield flush()
                     seen.clear()
@@ -383,10 +401,10 @@ def decode(rows: DataFrame, vocab_path: str, ids: str = "ids", column: str = "de
         get = Decoder(sent.value).__getitem__
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), lists.value_lengths().to_pylist()
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_pylist()
             at, texts = 0, []
             for n in ends:
-                texts.append(b"".join(map(get, flat[at:at + (n or 0)])).decode("utf-8", "replace"))
+                texts.append(b"".join(map(get, flat[at:at + (n or 0)].tolist())).decode("utf-8", "replace"))
                 at += n or 0
             yield replace_columns(batch, {column: pa.array(texts, pa.string())})
 
