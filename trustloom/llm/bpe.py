@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +35,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEXICON_WORDS = 32768
 #: longer words are not in the lexicon
 LEXICON_BYTES = 256
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 #: words under so many bytes are merged side by side, so many at a time
 BULK_BYTES, BULK_WORDS = 48, 8192
 UNMERGED = 1 << 30
-#: texts are encoded in groups of about so many characters
-GROUP_CHARS = 1 << 21
+#: rows are worked on in groups of about so many bytes of text, or as many ids
+GROUP_SIZE = 1 << 21
 
 
 class Splitter:
@@ -325,6 +326,17 @@ class Decoder(dict):
         return b""
 
 
+def in_groups(batches, column: str):
+    """The batches in slices whose texts or lists in `column` reach GROUP_SIZE together, whole rows each."""
+    for batch in batches:
+        cells = batch.column(batch.schema.get_field_index(column))
+        size = pc.list_value_length if pa.types.is_list(cells.type) else pc.binary_length
+        total = np.cumsum(pc.fill_null(size(cells), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // GROUP_SIZE
+        starts = [0, *(np.flatnonzero(np.diff(total)) + 1).tolist()]
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(start, end - start)
+
+
 _HELD: dict = {}
 
 
@@ -376,16 +388,8 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_words: int = LEXICON_WORDS,
     def run(batches):
         text_, block_ = sent.value
         coder = _held(hash((text_, block_)), lambda: Encoder(Vocabulary(text_), block_))
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            coded, group, chars = [], [], 0
-            for text in texts:
-                group.append(text)
-                chars += len(text)
-                if chars > GROUP_CHARS:
-                    coded += coder.encode(group)
-                    group, chars = [], 0
-            coded += coder.encode(group)
+        for batch in in_groups(batches, "text"):
+            coded = coder.encode([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             sizes = [len(c) // 4 for c in coded]
             yield replace_columns(batch, {column: list_array(np.frombuffer(b"".join(coded), np.int32), sizes, pa.int32())})
 
@@ -399,7 +403,7 @@ def decode(rows: DataFrame, vocab_path: str, ids: str = "ids", column: str = "de
 
     def run(batches):
         get = Decoder(sent.value).__getitem__
-        for batch in batches:
+        for batch in in_groups(batches, ids):
             lists = batch.column(batch.schema.get_field_index(ids))
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_pylist()
             at, texts = 0, []
