@@ -122,3 +122,17 @@ def test_ball_tree_search_is_exact():
     for q in range(20):
         all_ = sorted(((-int(x[q] @ x[j]), j) for j in range(3000) if j != q))[:10]
         assert [(-a, j) for a, j in all_] == list(zip(s[q].tolist(), i[q].tolist()))
+
+
+def test_pii_query_counts_kinds_and_hashes_spans(spark, tmp_path):
+    import hashlib
+
+    rows = [(1, "write ann@x.org or +44 20 7946 0958, host 10.0.0.7"), (2, None), (3, ""), (3, ""), (None, "card 4111111111111111")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.op9_pii(spark, str(tmp_path)).collect()}
+    want = set()
+    for doc_id, text in rows:
+        base = pii.spans(text)[0]
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        want.add((doc_id, *(sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")), hashlib.sha256(line.encode()).hexdigest()))
+    assert got == want and (1, 1, 1, 0, 1) in {g[:5] for g in got}
