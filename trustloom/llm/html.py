@@ -1,13 +1,16 @@
 """Operator 4: main text of web pages, with site templates removed.
 
-Each page is parsed into elements. Subtrees outside an article are hashed (tags,
-classes and text) and counted per host by Spark, one per page; subtrees that recur on
-at least `MIN_PAGES` pages and `MIN_SHARE` of the host's pages are template and are
-deleted. Elements that are boilerplate by their tag, role or class are deleted too. The
-main text is what is left of the article or main elements, or of the body if none.
-
-Null, empty and malformed html give what can be read, else the empty text. Repeated
-pages count each. A null url is a host of its own name ''. Whole pages are read.
+Each page is parsed into elements. Subtrees with text, inside articles and outside, are
+hashed (tags, classes and text) and counted per host by Spark, once per distinct main
+part; subtrees that recur in at least `MIN_PAGES` of them and in `MIN_SHARE` of the
+host's are template and are deleted. Pieces of a sentence and single cells or rows of a
+table are never deleted alone. Elements that are boilerplate by their tag, role or class
+are deleted too. The main text is what is left of the article or main elements, or of the
+body if none.
+
+Null, empty and malformed html give what can be read, else the empty text. Pages with the
+same main part count as one, so that a copied article stays. A null url is a host of its
+own name ''. Whole pages are read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW + ("title",)}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: never deleted alone as templates
+_KEPT = frozenset("html body td th tr thead tbody tfoot dt dd caption".split())
 _DROP = frozenset("nav header footer aside form button select dialog menu head".split()) | set(_RAW)
 _NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|cookie\w*|consent|notice|comments?|sidebar|menu|nav\w*|footer|header|promo\w*|related|share|"
                    r"social|breadcrumbs?|newsletter|subscribe|popup|modal|sponsor\w*|widget)(?:$|[\s_-])", re.I)
@@ -101,27 +106,45 @@ def boilerplate(node: Node) -> bool:
     return node.tag in _DROP or (bool(node.name) and node.tag not in ("html", "body", "article", "main") and bool(_NAME.search(node.name)))
 
 
-def hashes(root: Node) -> dict[int, int]:
-    """id of node -> hash of its subtree, for subtrees with text that are in or hold no article."""
-    main = {id(x) for a in walk(root) if a.tag in ("article", "main") for x in walk(a)}
-    out, holds = {}, set()
+def tops_of(root: Node) -> list[Node]:
+    """The outermost article and main elements, or the root if there are none."""
+    nodes = [n for n in walk(root) if n.tag in ("article", "main")]
+    inner = {id(x) for n in nodes for x in walk(n) if x is not n}
+    return [n for n in nodes if id(n) not in inner] or [root]
+
+
+def digests(root: Node) -> tuple[dict[int, int], set[int]]:
+    """(id of node -> hash of its subtree, ids of nodes whose subtree has text)."""
+    out, told = {}, set()
     for node in reversed(list(walk(root))):
-        if id(node) in main or any(isinstance(x, Node) and (id(x) in main or id(x) in holds) for x in node.inside):
-            holds.add(id(node))
-            continue
-        parts = [str(out.get(id(x), 0)) if isinstance(x, Node) else "t" + _SPACE.sub(" ", x).strip() for x in node.inside]
+        parts = []
+        for x in node.inside:
+            piece = str(out[id(x)]) if isinstance(x, Node) else _SPACE.sub(" ", x).strip()
+            if id(x) in told if isinstance(x, Node) else piece:
+                told.add(id(node))
+            parts.append(piece if isinstance(x, Node) else "t" + piece)
         out[id(node)] = xxhash.xxh64_intdigest("\x01".join([node.tag, node.name, *parts]), 7) - (1 << 63)
-    held = {"#", "html", "body"}
-    return {id(n): out[id(n)] for n in walk(root) if id(n) in out and n.tag not in held}
+    return out, told
+
+
+def hashes(root: Node, known: tuple[dict[int, int], set[int]] | None = None) -> dict[int, int]:
+    """id of node -> hash of its subtree, for subtrees with text that can be deleted alone."""
+    of, told = known or digests(root)
+    out = {}
+    for node in walk(root):
+        inline = [x for x in node.inside if not (isinstance(x, Node) and x.tag in _BLOCK) and (isinstance(x, Node) or x.strip())]
+        for x in node.inside:
+            # an inline element beside text or other inline elements is a piece of a sentence
+            if isinstance(x, Node) and id(x) in told and x.tag not in _KEPT and (x.tag in _BLOCK or len(inline) == 1):
+                out[id(x)] = of[id(x)]
+    return out
 
 
 def main_text(page: str | None, template) -> str:
     root = parse(page or "")
     of = hashes(root) if template else {}
     gone = {i for i, h in of.items() if h in template}
-    nodes = [n for n in walk(root) if n.tag in ("article", "main")]
-    inner = {id(x) for n in nodes for x in walk(n) if x is not n}
-    tops = [n for n in nodes if id(n) not in inner] or [root]
+    tops = tops_of(root)
     blocks, now = [], []
 
     def end():
@@ -155,19 +178,22 @@ def host(url: str | None) -> str:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hash): subtrees that recur across the host's pages. A page's own count has hash null."""
+    """(host, hash): subtrees that recur across the host's pages. A page's own row has hash null."""
 
     def run(batches):
         for batch in batches:
-            seen = Counter()
+            seen = set()
             for url, page in zip(*(c.to_pylist() for c in batch.columns)):
-                h = host(url)
-                seen[h, None] += 1
-                seen.update((h, x) for x in set(hashes(parse(page or "")).values()))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()),
-                                              pa.array(list(seen.values()), pa.int64())], ["host", "hash", "n"])
-
-    counted = pages.select("url", "html").mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+                h, root = host(url), parse(page or "")
+                known = digests(root)
+                whole = xxhash.xxh64_intdigest(",".join(str(known[0][id(n)]) for n in tops_of(root)), 7) - (1 << 63)
+                seen.add((h, None, whole))
+                seen.update((h, x, whole) for x in hashes(root, known).values())
+            columns = list(zip(*seen)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["host", "hash", "whole"])
+
+    rows = pages.select("url", "html").mapInArrow(run, "host string, hash long, whole long").distinct()
+    counted = rows.groupBy("host", "hash").agg(F.count("*").alias("n"))
     counted = cut(counted.filter((F.col("n") >= MIN_PAGES)))
     whole = counted.filter("hash is null").select("host", F.col("n").alias("pages"))
     return counted.filter("hash is not null").join(whole, "host").filter(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "hash")
@@ -182,8 +208,13 @@ def extract(pages: DataFrame) -> DataFrame:
         known.setdefault(r.host, set()).add(r.hash)
     sent = pages.sparkSession.sparkContext.broadcast(known)
     if many:  # at most 1 / MIN_SHARE * (elements of a page) hashes per host on average
-        host_of = F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit(""))
-        pages = pages.withColumn("_host", host_of).join(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("hash").alias("_known")), "_host", "left")
+
+        def named(batches):
+            for batch in batches:
+                hosts = [host(u) for u in batch.column(batch.schema.get_field_index("url")).to_pylist()]
+                yield replace_columns(batch, {"_host": pa.array(hosts, pa.string())})
+
+        pages = pages.mapInArrow(named, schema_with(pages, "_host string")).join(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("hash").alias("_known")), "_host", "left")
 
     def run(batches):
         for batch in batches:
