@@ -1,6 +1,9 @@
 """Cases in which a part of the job was once left out."""
 
-from trustloom.llm import html
+import re._parser as sre
+from itertools import product
+
+from trustloom.llm import html, licenses
 
 
 def test_templates_inside_articles_are_deleted(spark, monkeypatch):
@@ -13,3 +16,43 @@ def test_templates_inside_articles_are_deleted(spark, monkeypatch):
         monkeypatch.setattr(html, "MAX_TEMPLATES", most)
         got = {r.page_id: r.text for r in html.extract(pages).collect()}
         assert got == {k: f"Text number {k} with words\nyes\n{k}" for k in range(8)} | {100 + k: "One article copied" for k in range(8)}
+
+
+def samples(tree) -> list[str]:
+    """Texts of a pattern: every alternative, optional parts with and without."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            each = [chr(arg)]
+        elif op == "IN":
+            each = [chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1]) if str(arg[0][0]) != "CATEGORY" else "e"]
+        elif op == "SUBPATTERN":
+            each = samples(arg[3])
+        elif op == "BRANCH":
+            each = [s for branch in arg[1] for s in samples(branch)]
+        else:
+            least, most, inside = arg
+            assert op == "MAX_REPEAT"
+            each = [s * n for n in {least, min(most, least + 1)} for s in samples(inside)]
+        out = [a + b for a, b in product(out, dict.fromkeys(each))]
+    return list(dict.fromkeys(out))
+
+
+def test_every_license_rule_finds_its_own_texts(spark):
+    texts = list(dict.fromkeys((label, text, rank) for label, _, pattern, rank in licenses.rules() for text in samples(sre.parse(pattern))))
+    docs = spark.createDataFrame([(k, f"zz {t} yy") for k, (_, t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in licenses.scan(docs).select("doc_id", "labels", "detections").collect():
+        label, text, rank = texts[r.doc_id]
+        past = 1 + len(text.split())
+        # the rule's own find, or one that suppresses it
+        assert any(d.first <= 1 and d.past >= past and (d.label == label or d.rank >= rank) for d in r.detections), (label, text, r.detections)
+
+
+def test_license_names_that_were_missed(spark):
+    want = {"GPLv3": "gpl", "LGPLv2": "lgpl", "AGPLv3": "agpl", "PSF License": "python", "Open Software License": "osl",
+            "European Union Public Licence": "eupl", "library general public license": "gpl,lgpl", "Creative Commons Zero": "cc0",
+            "the Apache Software License": "apache", "Copyright (c) 2020 Acme": "copyright", "Copyright 2019, 2020": "copyright"}
+    docs = spark.createDataFrame(list(want.items()), "text string, want string")
+    got = {r.text: r.labels for r in licenses.scan(docs).collect()}
+    assert got == want

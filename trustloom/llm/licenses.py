@@ -23,21 +23,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label -> (keyword, name as a pattern over single-spaced words)
+#: label -> (keywords, one of which each alternative holds as whole words; name as a pattern over single-spaced words)
 NAMES = {
     "apache": ("apache", r"apache(?: software)? license|apache 2"), "mit": ("mit", r"mit license|mit licence"),
     "bsd": ("bsd", r"bsd (?:license|licence|[234] clause)"), "isc": ("isc", r"isc (?:license|licence)"),
-    "gpl": ("gpl", r"gnu gpl|gplv[123]|gpl [123]"), "lgpl": ("lgpl", r"gnu lgpl|lgplv?[23]?|lgpl [23]"),
-    "agpl": ("agpl", r"gnu agpl|agplv?3?|agpl 3"), "mpl": ("mozilla", r"mozilla public license"),
+    "gpl": ("gpl|gplv1|gplv2|gplv3", r"gnu gpl|gplv[123]|gpl [123]"), "lgpl": ("lgpl|lgplv|lgpl2|lgpl3|lgplv2|lgplv3", r"gnu lgpl|lgpl [23]|lgplv?[23]?"),
+    "agpl": ("agpl|agplv|agpl3|agplv3", r"gnu agpl|agpl 3|agplv?3?"), "mpl": ("mozilla", r"mozilla public license"),
     "epl": ("eclipse", r"eclipse public license"), "cddl": ("cddl", r"cddl"),
     "unlicense": ("unlicense", r"unlicense"), "wtfpl": ("wtfpl", r"wtfpl"), "zlib": ("zlib", r"zlib license"),
     "boost": ("boost", r"boost software license"), "artistic": ("artistic", r"artistic license"),
-    "python": ("python", r"python software foundation license|psf license"), "php": ("php", r"php license"),
+    "python": ("python|psf", r"python software foundation license|psf license"), "php": ("php", r"php license"),
     "ruby": ("ruby", r"ruby license"), "postgresql": ("postgresql", r"postgresql license"),
     "openssl": ("openssl", r"openssl license"), "ofl": ("sil", r"sil open font license"),
-    "eupl": ("eupl", r"eupl|european union public licence"), "cecill": ("cecill", r"cecill"),
-    "osl": ("osl", r"open software license|osl 3"), "afl": ("academic", r"academic free license"),
-    "ms-pl": ("microsoft", r"microsoft public license"), "cc0": ("cc0", r"cc0|creative commons zero"),
+    "eupl": ("eupl|european", r"eupl|european union public licence"), "cecill": ("cecill", r"cecill"),
+    "osl": ("osl|software", r"open software license|osl 3"), "afl": ("academic", r"academic free license"),
+    "ms-pl": ("microsoft", r"microsoft public license"), "cc0": ("cc0|creative", r"cc0|creative commons zero"),
     "cc-by-sa": ("by sa", r"cc by sa"), "cc-by-nc": ("by nc", r"cc by nc"), "cc-by-nd": ("by nd", r"cc by nd"),
     "cc": ("creative", r"creative commons"), "odbl": ("database", r"open database license"),
     "proprietary": ("proprietary", r"proprietary license"), "public-domain": ("domain", r"public domain"),
@@ -49,23 +49,23 @@ FRAMES = (
     (r"subject to (?:the )?(?:terms of the )?(?:{})", 3), (r"available under (?:the )?(?:{})", 3),
     (r"spdx license identifier (?:{})", 4), (r"(?:{})", 1),
 )
-#: whole signatures: (label, keyword, pattern, priority)
+#: whole signatures: (label, keywords, pattern, priority)
 SIGNATURES = (
     ("cc-by", "cc", r"cc by", 1), ("gpl", "general", r"general public license", 2),
-    ("lgpl", "lesser", r"(?:lesser|library) general public license", 4),
+    ("lgpl", "lesser|library", r"(?:lesser|library) general public license", 4),
     ("agpl", "affero", r"affero general public license", 4),
     ("reserved", "reserved", r"all rights reserved", 2), ("reserved", "tous", r"tous droits r\S+serv\S+s", 2),
     ("mit", "hereby", r"permission is hereby granted free of charge", 3),
     ("isc", "permission", r"permission to use copy modify and or distribute this software", 3),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms", 3),
-    ("copyright", "copyright", r"copyright (?:c )?(?:[0-9]{{4}} )+", 1),
+    ("copyright", "copyright", r"copyright(?: c)?(?: [0-9]{{4}})+", 1),
     ("no-warranty", "warranty", r"(?:without|absolutely no) warranty", 1),
 )
 PRIORITIES = 4
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, pattern, priority), a few hundred, by priority then label."""
+    """(label, keywords, pattern, priority), a few hundred, by priority then label."""
     made = [(label, word, frame.format(name), rank) for label, (word, name) in NAMES.items() for frame, rank in FRAMES]
     whole = [(label, word, pattern.replace("{{", "{").replace("}}", "}"), rank) for label, word, pattern, rank in SIGNATURES]
     return sorted(made + whole, key=lambda r: (-r[3], r[0], r[2]))
@@ -117,16 +117,17 @@ def scan(docs: DataFrame) -> DataFrame:
     # patterns see every word between two spaces of its own
     of_word: dict[str, list] = {}
     for a, b, c, d in rules():
-        pattern = f" (?:{c.replace(' ', '  ')}) ".replace("(?:  ", "(?:")
-        of_word.setdefault(b.replace(" ", "  "), []).append(
-            F.struct(F.lit(a).alias("label"), F.lit(pattern).alias("pattern"), F.lit(d).alias("rank")))
+        pattern = f" (?:{c.replace(' ', '  ')}) "
+        rule = F.struct(F.lit(a).alias("label"), F.lit(pattern).alias("pattern"), F.lit(d).alias("rank"))
+        for word in b.split("|"):
+            of_word.setdefault(word.replace(" ", "  "), []).append(rule)
     words = sorted(of_word)
     rule_map = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*of_word[w]))])
     by_letter = "|".join(f"{k}(?:{'|'.join(w[1:] for w in group)})" for k, group in groupby(words, lambda w: w[0]))
     found_words = F.array_distinct(F.regexp_extract_all(norm, F.lit(f" ({by_letter})(?= )"), F.lit(1)))
     df = df.select("*", F.explode(F.array(found_words)).alias("_words"))
     gate = F.size("_words") > 0
-    chosen = F.filter(F.flatten(F.transform("_words", lambda w: F.element_at(rule_map, w))), lambda r: F.regexp_like(norm, r["pattern"]))
+    chosen = F.filter(F.array_distinct(F.flatten(F.transform("_words", lambda w: F.element_at(rule_map, w)))), lambda r: F.regexp_like(norm, r["pattern"]))
 
     def places_of(r):
         pieces = F.split(F.regexp_replace(norm, F.concat(F.lit("("), r["pattern"], F.lit(")")), F.lit("\x01$1\x02")), "\x01")
