@@ -3,7 +3,9 @@
 import re._parser as sre
 from itertools import product
 
-from trustloom.llm import html, licenses
+import pytest
+
+from trustloom.llm import html, licenses, pii
 
 
 def test_templates_inside_articles_are_deleted(spark, monkeypatch):
@@ -56,3 +58,23 @@ def test_license_names_that_were_missed(spark):
     docs = spark.createDataFrame(list(want.items()), "text string, want string")
     got = {r.text: r.labels for r in licenses.scan(docs).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("text, kind, part", [
+    *((f"write ann at mail dot {end} now", "email", f"ann at mail dot {end}") for end in ("nl", "it", "ca", "us", "co", "museum")),
+    ("x a dot b dot c dot d dot e dot f dot g at h dot i dot j dot k dot l dot m dot n dot nl.", "email",
+     "a dot b dot c dot d dot e dot f dot g at h dot i dot j dot k dot l dot m dot n dot nl"),
+    ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"),
+    ("host 192 dot 168.0 [dot] 1 up", "ip", "192 dot 168.0 [dot] 1"),
+])
+def test_spoken_addresses_of_any_ending_and_length(text, kind, part):
+    assert [(k, text[s:e]) for k, s, e in pii.spans(text)[1]] == [(kind, part)]
+
+
+@pytest.mark.parametrize("text", ["we met at noon. Then we left", "at home dot", "3 dot 5 of it"])
+def test_plain_text_has_no_spoken_address(text):
+    assert pii.spans(text)[1] == []
+
+
+def test_spoken_scan_is_linear():
+    assert pii.spans("a dot " * 100_000)[1] == pii.spans("a at " * 100_000)[1] == []

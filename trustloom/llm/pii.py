@@ -87,15 +87,31 @@ _DIGIT = "|".join(_DIGITS)
 _SPELLED = re.compile(rf"\b(?:plus[ -])?(?:(?:{_DIGIT}|[0-9])[ ,.-]{{1,2}}){{3,}}(?:{_DIGIT}|[0-9])\b", re.I)
 _TOKEN = re.compile(rf"\bplus\b|\b(?:{_DIGIT})\b|[0-9]", re.I)
 _MARK = re.compile(r"\s?[\[({<]\s?(at|dot|@|\.)\s?[\])}>]\s?", re.I)
-_ENDS = "com|org|net|edu|gov|io|info|dev|example|test|de|fr|es|uk|eu"
-_WORDED = re.compile(rf"(?<![^\s<(\[,;:])[A-Za-z0-9_%+-]{{1,64}}(?:(?: dot |\.)[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?: at |@)[A-Za-z0-9-]{{1,63}}"
-                     rf"(?:(?: dot |\.)[A-Za-z0-9-]{{1,63}}){{0,4}}(?: dot |\.)(?:{_ENDS})\b", re.I)
+_AT = re.compile(r" at |@", re.I)
+_AFTER = re.compile(r"[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)*+", re.I)
+_BEFORE = re.compile(r"[A-Za-z0-9_%+-]++(?:(?: tod |\.)[A-Za-z0-9_%+-]++)*+", re.I)  # reads backwards
+_LABEL = re.compile(r" dot |\.", re.I)
+_END = re.compile(r"[A-Za-z]{2,}+\b")
+#: a spoken dot between digits
+_BETWEEN = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
 _SPACED = re.compile(r" (at|dot) ", re.I)
 #: without one of these no disguise of at or dot matches
 _HINTS = (" at ", " dot ", "[", "(", "{", "<")
 _TWO = re.compile(rf"[zotfsen](?<!\w\w)(?:{"|".join(w[1:] for w in _DIGITS)})[ ,.-]{{1,2}}(?:{_DIGIT}|[0-9])\b")
 
 
+def _worded(plain: str):
+    """(start, end) of e-mails with at or dot in words; the ending is any of two or more letters."""
+    back = plain[::-1]
+    for m in _AT.finditer(plain):
+        before, after = _BEFORE.match(back, len(plain) - m.start()), _AFTER.match(plain, m.end())
+        if before and after:
+            for label in reversed(list(_LABEL.finditer(plain, after.start(), after.end()))):
+                if last := _END.match(plain, label.end()):
+                    yield len(plain) - before.end(), last.end()
+                    break
+
+
 def rewrite(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with look-alikes replaced, edits): edits are (start, end, new) apart from each other."""
     plain = text if text.isascii() or not _GLYPH.search(text) else text.translate(_GLYPHS)
@@ -103,9 +119,10 @@ def rewrite(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     low = plain.lower()
     if any(h in low for h in _HINTS):
         edits += [(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "@") else ".") for m in _MARK.finditer(plain)]
-        for m in _WORDED.finditer(plain):
-            edits += [(m.start() + k.start(), m.start() + k.end(), "@" if k.group(1).lower() == "at" else ".")
-                      for k in _SPACED.finditer(m.group())]
+        for start, end in _worded(plain):
+            edits += [(start + k.start(), start + k.end(), "@" if k.group(1).lower() == "at" else ".")
+                      for k in _SPACED.finditer(plain[start:end])]
+        edits += [(m.start(), m.end(), ".") for m in _BETWEEN.finditer(plain)]
     if sum(low.count(w) for w in _DIGITS) > 1 and _TWO.search(low):
         for m in _SPELLED.finditer(plain):
             tokens = list(_TOKEN.finditer(m.group()))
