@@ -1,11 +1,12 @@
 """Cases in which a part of the job was once left out."""
 
+import random
 import re._parser as sre
 from itertools import product
 
 import pytest
 
-from trustloom.llm import html, licenses, pii
+from trustloom.llm import decontaminate, html, licenses, pii
 
 
 def test_templates_inside_articles_are_deleted(spark, monkeypatch):
@@ -78,3 +79,17 @@ def test_plain_text_has_no_spoken_address(text):
 
 def test_spoken_scan_is_linear():
     assert pii.spans("a dot " * 100_000)[1] == pii.spans("a at " * 100_000)[1] == []
+
+
+def test_partial_and_edited_passages_are_found():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    words = [word() for _ in range(56)]
+    item, other = " ".join(words), " ".join(word() for _ in range(300))
+    index = decontaminate.Index([(7, item), (8, " ".join(word() for _ in range(56)))])
+    for start in range(len(item) - 62):  # 60 characters at least when the ends are trimmed
+        assert index.matches(f"{other} | {item[start:start + 62]} | {other}")[0] == (7, 0)
+    for shift in range(8):  # one word in eight replaced
+        edited = " ".join(word() if k % 8 == shift else w for k, w in enumerate(words))
+        assert [i for i, _ in index.matches(f"{other} {edited} {other}")] == [7]
+    assert index.matches(other) == []

@@ -1,12 +1,13 @@
 """Operator 2: benchmark decontamination by q-gram lemma filtering.
 
-Texts are lower-cased and runs of other than letters and digits become one space. Every
-benchmark item is cut into windows of `WINDOW` characters (the whole item if shorter),
-half a window apart, the last at its end. A window within e = floor(`ERRORS` * length)
-edits of a region shares at least length - q + 1 - q * e of its q-grams with it, all on
-diagonals at most e from the region's. Shared q-grams are counted in diagonal bands of
-2e + 2 that overlap by half, bands that meet the bound are kept, and a banded alignment
-verifies each. Bands above or below the bound are decided, never sampled.
+Texts are lower-cased and runs of other than letters and digits become one space. Windows
+of `WINDOW` characters (the whole item if shorter) start at every character of every
+benchmark item. A window within e edits of a region, e being floor(`ERRORS` * length) and
+at most floor((length - q) / q), shares at least length - q + 1 - q * e >= 1 of its
+q-grams with it, all on diagonals at most e from the region's. Shared q-grams are counted
+in diagonal bands of 4e + 4 that overlap by half, windows that meet the bound in a band
+are kept, and a banded alignment verifies them. Windows above or below the bound are
+decided, never sampled.
 
 The benchmark is broadcast in blocks of at most `BLOCK_CHARS` characters, each a pass
 over the documents. Null and empty texts and items match nothing, nor do items under
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from trustloom.llm.common import cut, table
 
-Q = 10
-WINDOW = 80
-ERRORS = 0.06
+Q = 6
+WINDOW = 60
+ERRORS = 0.1
 BLOCK_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
 
@@ -49,37 +50,31 @@ def grams(c: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def windows(length: int) -> list[tuple[int, int]]:
-    if length <= WINDOW:
-        return [(0, length)]
-    starts = [*range(0, length - WINDOW, WINDOW // 2), length - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
-
-
 class Index:
-    """q-grams of the windows of a block of items, sorted by hash."""
+    """q-grams of a block of items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows, gram, owner, at = [], [], [], []
+        self.items, gram, owner, at = [], [], [], []
         for item, text in items:
             c = codes(normalise(text))
             if len(c) < Q:
                 continue
-            for lo, hi in windows(len(c)):
-                g = grams(c[lo:hi])
-                gram.append(g)
-                owner.append(np.full(len(g), len(self.windows)))
-                at.append(np.arange(len(g)))
-                self.windows.append((item, c[lo:hi]))
+            g = grams(c)
+            gram.append(g)
+            owner.append(np.full(len(g), len(self.items)))
+            at.append(np.arange(len(g)))
+            self.items.append((item, c))
         none = [np.zeros(0, np.int64)]
         gram = np.concatenate(gram or [np.zeros(0, np.uint64)])
         order = np.argsort(gram, kind="stable")
         self.gram, self.owner, self.at = gram[order], np.concatenate(owner or none)[order], np.concatenate(at or none)[order]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.length = np.array([len(c) for _, c in self.windows], np.int64)
-        self.errors = (self.length * ERRORS).astype(np.int64)
-        self.need = np.maximum(1, self.length - Q + 1 - Q * self.errors)
+        # of a window of each item
+        self.length = np.minimum(np.array([len(c) for _, c in self.items], np.int64), WINDOW)
+        self.errors = np.minimum((self.length * ERRORS).astype(np.int64), (self.length - Q) // Q)
+        self.need = self.length - Q + 1 - Q * self.errors
+        self.past = max((len(c) for _, c in self.items), default=0)
 
     def matches(self, text: str | None) -> list[tuple[int, int]]:
         """(item, edits): for each item found its fewest edits in a window."""
@@ -93,43 +88,69 @@ class Index:
         hit = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         if not len(hit):
             return []
-        owner, diagonal = self.owner[hit], np.repeat(pos, n) - self.at[hit] + WINDOW  # never negative
-        half = self.errors[owner] + 1
-        # every diagonal is in two bands, so a region's 2e + 1 diagonals are whole in one of them
-        width = 4 * half
+        owner, at = self.owner[hit], self.at[hit]
+        diagonal = np.repeat(pos, n) - at + self.past  # never negative
+        half = 2 * (self.errors[owner] + 1)
+        bands = (len(c) + self.past) // 2 + 2
         found = {}
+        # every diagonal is in two bands, so a region's 2e + 1 diagonals are whole in one of them
         for shift in (0, 1):
-            band = (diagonal + shift * 2 * half) // width
-            key = owner * (1 << 40) + band
-            # a window's gram counts once a band however often the text repeats it
-            pairs = np.unique(np.stack([key, self.at[hit]]), axis=1)
-            keys, counts = np.unique(pairs[0], return_counts=True)
-            for key_ in keys[counts >= self.need[keys >> 40]].tolist():
-                w, b = key_ >> 40, key_ & ((1 << 40) - 1)
-                item, pattern = self.windows[w]
-                e = int(self.errors[w])
-                start = b * 4 * (e + 1) - shift * 2 * (e + 1) - WINDOW
-                edits = aligned(pattern, c, start - e, start + 4 * (e + 1) + e, e)
+            key = owner * bands + (diagonal + shift * half) // (2 * half)
+            # a gram of the item counts once a band however often the text repeats it
+            # hits of a bucket of bands with fewer hits than a window needs are none's
+            bucket = key % 65521
+            enough = np.bincount(bucket)[bucket] >= self.need[owner]
+            if not enough.any():
+                continue
+            pairs = np.sort(key[enough] * self.past + at[enough])
+            pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+            key, at_ = pairs // self.past, pairs % self.past
+            need = self.need[key // bands]
+            last = np.arange(len(key)) + need - 1
+            inside = np.flatnonzero(last < len(key))
+            last = last[inside]
+            length = self.length[key[inside] // bands]
+            good = (key[last] == key[inside]) & (at_[last] - at_[inside] <= length - Q)
+            # windows that hold grams i to i + need - 1 start from at[last] + Q - length to at[i]
+            first, last, key = at_[inside[good]], at_[last[good]] + Q - length[good], key[inside[good]]
+            for key_ in np.unique(key).tolist():
+                w, b = divmod(key_, bands)
+                item, pattern = self.items[w]
+                e, size = int(self.errors[w]), int(self.length[w])
+                marks = np.zeros(len(pattern) + 2, np.int64)
+                these = key == key_
+                np.add.at(marks, np.maximum(last[these], 0), 1)
+                np.add.at(marks, np.minimum(first[these], len(pattern) - size) + 1, -1)
+                starts = np.flatnonzero(np.cumsum(marks) > 0)
+                start = b * 4 * (e + 1) - shift * 2 * (e + 1) - self.past
+                edits = aligned(pattern, starts, size, c, start - e, start + 4 * (e + 1) + e, e)
                 if edits is not None:
                     found[item] = min(edits, found.get(item, edits))
         return sorted(found.items())
 
 
-def aligned(pattern: np.ndarray, text: np.ndarray, first: int, last: int, most: int) -> int | None:
-    """Fewest edits that turn the pattern into a stretch of text on diagonals first..last, if at most `most`."""
+def aligned(item: np.ndarray, starts: np.ndarray, size: int, text: np.ndarray, first: int, last: int, most: int) -> int | None:
+    """Fewest edits that turn a window of the item into a stretch of text on diagonals first..last, if at most `most`."""
     width = last - first + 1
-    cost = np.zeros(width, np.int64)  # cost[k]: pattern[:i] ends at text position i + first + k
-    ramp = np.arange(width)
-    for i, letter in enumerate(pattern):
-        at = i + first + ramp
-        inside = (at >= 0) & (at < len(text))
-        same = np.zeros(width, bool)
-        same[inside] = text[at[inside]] == letter
-        step = np.where(inside, cost + ~same, most + 1)
-        step[:-1] = np.minimum(step[:-1], cost[1:] + 1)  # letter missing in the text
-        cost = np.minimum.accumulate(step - ramp) + ramp  # letters only in the text
-        if cost.min() > most:
-            return None
+    low, high = int(starts[0]) + first, int(starts[-1]) + size + last
+    outside = np.uint32(0xFFFFFFFF)  # no letter
+    near = np.full(high - low + 1, outside)
+    a, b = max(low, 0), min(high + 1, len(text))
+    near[a - low:max(b, a) - low] = text[a:max(b, a)]
+    cost = np.zeros((len(starts), width), np.int16)  # cost[s, k]: the window's first i letters end at text position starts[s] + i + first + k
+    ramp = np.arange(width, dtype=np.int16)
+    shift = starts[:, None] + (first - low) + np.arange(width)
+    for i in range(size):
+        letters = near[shift + i]
+        step = cost + (letters != item[starts + i][:, None])
+        step[letters == outside] = most + 1
+        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)  # letter missing in the text
+        cost = np.minimum.accumulate(step - ramp, axis=1) + ramp  # letters only in the text
+        alive = cost.min(axis=1) <= most
+        if not alive.all():
+            starts, shift, cost = starts[alive], shift[alive], cost[alive]
+            if not len(starts):
+                return None
     return int(cost.min())
 
 
@@ -138,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     spark = docs.sparkSession
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) * 2 // block_chars))
+    blocks = max(1, -(-int(total) // block_chars))
     schema = "doc_id long, item_id long, edits int"
     out = None
     for block in range(blocks):
