@@ -100,7 +100,7 @@ def test_language_model_is_normalised():
 
 def test_language_id_on_two_scripts():
     texts = ["the cat and the dog"] * 5 + ["der hund und die katze"] * 5
-    names, matrix, bias = langid.fit(np.stack([langid.presence(t) for t in texts]).astype(np.uint8), ["en"] * 5 + ["de"] * 5)
+    names, matrix, bias = langid.fit(np.packbits(np.stack([langid.presence(t) for t in texts]), axis=1), ["en"] * 5 + ["de"] * 5)
     x = langid.presence("und die maus")
     assert names[int((x @ matrix / np.sqrt(x.sum()) + bias).argmax())] == "de"
     assert not langid.has_letter("12 !") and not langid.has_letter(None)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +48,27 @@ def list_array(flat: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.Arra
 
 
 def replace_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch's columns, those of the same names replaced, the new ones at the end."""
-    names = [n for n in batch.schema.names if n not in added]
-    arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-    return pa.RecordBatch.from_arrays(arrays + list(added.values()), names + list(added))
+    """The batch's columns, those of the same names in any case replaced, the new ones at the end."""
+    new = {n.lower() for n in added}
+    old = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n.lower() not in new]
+    return pa.RecordBatch.from_arrays([c for _, c in old] + list(added.values()), [n for n, _ in old] + list(added))
 
 
-def schema_with(df: DataFrame, added: str) -> str:
-    """DDL of df's columns, without those that `added` (name type, ...) replaces, then `added`."""
-    new = {part.strip().split(" ")[0] for part in added.split(", ")}
-    old = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new]
-    return ", ".join(old + [added])
+def schema_with(df: DataFrame, added: str) -> StructType:
+    """df's columns, without those that `added` (DDL: name type, ...) replaces in any case, then `added`."""
+    fields = StructType.fromDDL(added).fields
+    new = {f.name.lower() for f in fields}
+    return StructType([f for f in df.schema.fields if f.name.lower() not in new] + fields)
+
+
+def apart(df: DataFrame, *names: str) -> DataFrame:
+    """(names..., `_all`): the named columns for the operator's own use beside the whole row."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct()
+    return df.select(*names, whole.alias("_all"))
+
+
+def together(df: DataFrame, old: DataFrame, added: list[str]) -> DataFrame:
+    """Undo `apart`: old's columns, those named in `added` in any case replaced, then `added`."""
+    new = {n.lower() for n in added}
+    kept = [F.col("_all").getField(c).alias(c) for c in old.columns if c.lower() not in new]
+    return df.select(*kept, *added)

@@ -6,11 +6,15 @@ their own numbers. Landmarks give a Nyström map, on which one-versus-rest kerne
 regression is fitted. Both are linear in the presence vector, so they fold into one
 matrix, and a batch of texts is scored by one matrix product.
 
-The classifier is fitted on at most `per_language` labelled texts of each language,
-chosen by a hash of the text's id and fetched as presence bits, never as text.
+The classifier is fitted on at most `per_language` labelled texts of each language and
+`fit_rows` in all, those with the smallest hashes of id and text (a repeated row counts
+once, a null id takes part), fetched as presence bits, never as text.
+
 Null texts, empty texts and texts without a letter are `und`, score 0; so is everything
 when nothing is labelled. Ties go to the language first in order. Repeated rows give
-repeated results. A null doc_id is read as the text ''.
+repeated results, empty tables empty ones. Whole texts are read, in pieces of 65,536
+characters. Other columns stay; one called lang_pred or score, in any case, is replaced.
+For the folds, a null doc_id is read as the text ''.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from trustloom.llm.common import crc_rest, replace_columns, schema_with, table
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 400
+FIT_ROWS = 8192  # most rows in all, at least one of each language: 4 KB each on the driver
 LANDMARKS = 256
+BLOCK = 64
 
 
 def presence(text: str) -> np.ndarray:
@@ -47,42 +53,55 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2, seed: int = 3):
-    """(languages, matrix BUCKETS x languages, bias): scores = presence @ matrix / root(count) + bias."""
+def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2, seed: int = 3):
+    """(languages, matrix BUCKETS x languages, bias): scores = presence @ matrix / root(count) + bias.
+
+    `packed` holds a row of presence bits per text, eight to a byte; `BLOCK` rows at a time are unpacked.
+    """
     names = sorted(set(langs))
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    pick = np.random.default_rng(seed).permutation(len(x))[:landmarks]
-    marks = x[pick].astype(np.float64)
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+
+    def block(rows):
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    marks = block(packed[np.random.default_rng(seed).permutation(len(packed))[:landmarks]])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
-    to_map = marks.T @ (vectors[:, keep] / np.sqrt(values[keep]))  # presence -> Nyström features
-    phi = x.astype(np.float64) @ to_map
+    to_marks = vectors[:, keep] / np.sqrt(values[keep])
+    # Nyström features of every text: its kernel with the landmarks, whitened
+    phi = np.concatenate([block(packed[at:at + BLOCK]) @ marks.T for at in range(0, len(packed), BLOCK)]).astype(np.float64) @ to_marks
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    weight = 1.0 / np.array([langs.count(v) for v in langs])  # languages count alike
+    weight = 1.0 / np.array([langs.count(v) for v in names])[np.searchsorted(names, langs)]  # languages count alike
     weight *= len(langs) / weight.sum()
     mean_x, mean_y = np.average(phi, 0, weight), np.average(y, 0, weight)
     c = (phi - mean_x) * weight[:, None]
-    beta = np.linalg.solve(c.T @ (phi - mean_x) + ridge * len(x) / 10 * np.eye(phi.shape[1]), c.T @ (y - mean_y))
-    return names, (to_map @ beta).astype(np.float32), mean_y - mean_x @ beta
+    beta = np.linalg.solve(c.T @ (phi - mean_x) + ridge * len(phi) / 10 * np.eye(phi.shape[1]), c.T @ (y - mean_y))
+    return names, marks.T @ (to_marks @ beta).astype(np.float32), mean_y - mean_x @ beta
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE):
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, fit_rows: int = FIT_ROWS):
     """Fit on (doc_id, text, lang) rows; None if no row has both a label and a letter."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.filter("lang is not null").select("doc_id", "lang").withColumn("k", F.row_number().over(order))
-    chosen = chosen.filter(F.col("k") <= per_language).select("doc_id").distinct()
+    rows = labelled.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = rows.filter(F.col("text").rlike(r"\p{L}"))
+    kinds = rows.select("lang").distinct().count()
+    if not kinds:
+        return None
+    each = max(1, min(per_language, fit_rows // kinds))
+    # the first `each` hashes of every language; a row that is repeated counts once
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h").withColumn("k", F.dense_rank().over(order)).filter(F.col("k") <= each).select("lang", "h").distinct()
 
     def run(batches):
         for batch in batches:
-            rows = [(lang, np.packbits(presence(t)).tobytes()) for t, lang in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "bits"])
+            found = [(lang, np.packbits(presence(t)).tobytes()) for lang, t in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.binary())], ["lang", "bits"])
 
-    texts = labelled.filter("lang is not null").join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = sorted((r.lang, bytes(r.bits)) for r in texts.select("text", "lang").mapInArrow(run, "lang string, bits binary").collect())
-    if not rows:
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    got = texts.select("lang", "text").mapInArrow(run, "lang string, bits binary").toArrow().sort_by([("lang", "ascending"), ("bits", "ascending")])
+    if not got.num_rows:
         return None
-    return fit(np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1), [r[0] for r in rows])
+    packed = np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(got.num_rows, -1)
+    return fit(packed, got["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
