@@ -7,7 +7,7 @@ from array import array
 import numpy as np
 import pytest
 
-from trustloom.llm import bpe, decontaminate, html, langid, lm, pii, simhash, topk
+from trustloom.llm import bpe, decontaminate, html, langid, pii, simhash, topk
 
 
 @pytest.fixture(scope="module")
@@ -91,13 +91,6 @@ def test_html_main_text():
     assert html.main_text("<div><span>Same box</span></div><div>Own words</div>", set(shared)) == "Own words"
 
 
-def test_language_model_is_normalised():
-    rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, lm.CLASSES ** 3, 500))
-    logs = lm.log_table(lm.train(keys, rng.integers(1, 9, len(keys)), steps=50))
-    assert np.allclose((10 ** logs).reshape(-1, lm.CLASSES).sum(axis=1), 1)
-
-
 def test_language_id_on_two_scripts():
     texts = ["the cat and the dog"] * 5 + ["der hund und die katze"] * 5
     names, matrix, bias = langid.fit(np.packbits(np.stack([langid.presence(t) for t in texts]), axis=1), ["en"] * 5 + ["de"] * 5)

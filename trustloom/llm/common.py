@@ -61,14 +61,8 @@ def schema_with(df: DataFrame, added: str) -> StructType:
     return StructType([f for f in df.schema.fields if f.name.lower() not in new] + fields)
 
 
-def apart(df: DataFrame, *names: str) -> DataFrame:
-    """(names..., `_all`): the named columns for the operator's own use beside the whole row."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct()
-    return df.select(*names, whole.alias("_all"))
-
-
 def together(df: DataFrame, old: DataFrame, added: list[str]) -> DataFrame:
-    """Undo `apart`: old's columns, those named in `added` in any case replaced, then `added`."""
+    """The columns of old, kept in the struct `_all`, those named in `added` in any case replaced, then `added`."""
     new = {n.lower() for n in added}
     kept = [F.col("_all").getField(c).alias(c) for c in old.columns if c.lower() not in new]
     return df.select(*kept, *added)
