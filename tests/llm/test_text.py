@@ -16,12 +16,13 @@ def vocabulary():
         return bpe.Vocabulary(f.read())
 
 
-def test_bpe_equals_the_library(vocabulary):
+def test_bpe_equals_the_library(vocabulary, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(bpe.default_vocab())
     words = [" the", "the", " then", " of", "ing"]
-    coder = bpe.Encoder(vocabulary, bpe.compile_lexicon({w.encode(): vocabulary.merge_word(w.encode()) for w in words}))
+    (tmp_path / "words").write_bytes(bpe.compile_lexicon({w.encode(): vocabulary.merge_word(w.encode()) for w in words}))
+    coder = bpe.Encoder(vocabulary, str(tmp_path / "words"))
     for text in ["", "a<|endoftext|> b  \n\n x", "it's ééé   12345 😀 the then", "aaaa" * 500, " \t\n", "x" * 3000]:
         ids = array("i")
         ids.frombytes(coder.encode([text])[0])
@@ -29,12 +30,14 @@ def test_bpe_equals_the_library(vocabulary):
         assert b"".join(vocabulary.bytes_of[i] for i in ids).decode() == text
 
 
-def test_lexicon_holds_its_words_alone():
+def test_lexicon_holds_its_words_alone(tmp_path):
     words = {w.encode(): [k, k + 1] for k, w in enumerate("tap taps top tops stop stops a".split())}
-    lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
+    (tmp_path / "words").write_bytes(bpe.compile_lexicon(words))
+    (tmp_path / "none").write_bytes(bpe.compile_lexicon({}))
+    lexicon = bpe.Lexicon(str(tmp_path / "words"))
     assert lexicon.get(list(words)) == [array("i", ids).tobytes() for ids in words.values()]
     assert lexicon.get([b"", b"t", b"tapss", b"z"]) == [None] * 4
-    assert bpe.Lexicon(bpe.compile_lexicon({})).get([b"a"]) == [None]
+    assert bpe.Lexicon(str(tmp_path / "none")).get([b"a"]) == [None]
 
 
 def test_bulk_merge_equals_single_merges(vocabulary):
@@ -129,3 +132,25 @@ def test_pii_query_counts_kinds_and_hashes_spans(spark, tmp_path):
         line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         want.add((doc_id, *(sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")), hashlib.sha256(line.encode()).hexdigest()))
     assert got == want and (1, 1, 1, 0, 1) in {g[:5] for g in got}
+
+
+def test_bpe_query_equals_the_library(spark, tmp_path):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocab())
+    library.no_truncation()
+    library.no_padding()
+    texts = [None, "", "the cat the cat the cat", "the cat the cat the cat", "naïve \U0001f600 <|endoftext|>\n\n  x", "ab " * 400_000, "z" * 20_000, "Ünïcode\u2003space\r\n\tq"]
+    rows = [(k if k != 3 else None, t, "other") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, IDS string")
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for doc_id, text, _ in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want.append((str(doc_id), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert sorted((str(r[0]), *r[1:]) for r in bpe.op1_bpe_roundtrip(spark, str(tmp_path)).collect()) == sorted(want)
+    out = bpe.encode(docs, bpe.default_vocab())
+    assert out.columns == ["doc_id", "text", "ids"] and bpe.encode(docs.limit(0), bpe.default_vocab()).count() == 0

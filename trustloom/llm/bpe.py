@@ -3,20 +3,27 @@
 The most frequent words of the corpus are compiled, with their token ids, into a
 minimal acyclic automaton that shares prefixes and suffixes. Each arc carries the
 number of words that sort before the words behind it, so the sum along a path is the
-word's ordinal, and the ordinal leads to the word's ids. The compiled bytes are
-broadcast (bounded by `lexicon_words`) and every worker maps them read-only. Words
-that the lexicon lacks are merged exactly by rank.
-
-Null texts count as empty; empty texts have no tokens. Repeated rows give repeated
-results. Texts and ids are whole, never cut.
+word's ordinal, and the ordinal leads to the word's ids. The lexicon holds the words
+that make up at least one in `LEXICON_SHARE` of all, so at most that many; it is a file
+that Spark hands to every executor once and all its workers map read-only, sharing its
+pages. Words that the lexicon lacks are merged exactly by rank.
+
+Null texts count as empty; empty texts have no tokens, null lists of ids decode to the
+empty text. Repeated rows give repeated results, empty tables empty ones. Texts and ids
+are whole, never cut, however long; a word of any length is merged in n log n. Other
+columns stay, those of the added columns' names, in any case, are replaced.
 """
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import heapq
 import json
 import mmap
+import os
 import re
+import shutil
 import tempfile
 from array import array
 from collections import Counter
@@ -25,14 +32,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import list_array, replace_columns, schema_with, table
+from trustloom.llm.common import cut, list_array, replace_columns, schema_with, table
 
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEXICON_WORDS = 32768
+LEXICON_SHARE = 400_000
 #: longer words are not in the lexicon
 LEXICON_BYTES = 256
 MEMO_WORDS = 400_000
@@ -250,13 +258,12 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """Looks words up in a compiled lexicon that is mapped read-only."""
+    """Looks words up in a compiled lexicon, a file that is mapped read-only."""
 
-    def __init__(self, block: bytes):
-        self._file = tempfile.TemporaryFile()  # has no name: nothing stays behind
-        self._file.write(block)
-        self._file.flush()
-        cells = np.frombuffer(mmap.mmap(self._file.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        cells = np.frombuffer(mapped, np.int32)
         self.root, at, parts = int(cells[0]), 8, []
         for size in cells[1:8].tolist():
             parts.append(cells[at:at + size])
@@ -293,8 +300,8 @@ class Lexicon:
 class Encoder(dict):
     """word -> ids as int32 bytes, remembered; new words ask the lexicon, then are merged."""
 
-    def __init__(self, vocabulary: Vocabulary, block: bytes):
-        self.vocabulary, self.lexicon = vocabulary, Lexicon(block)
+    def __init__(self, vocabulary: Vocabulary, lexicon: str):
+        self.vocabulary, self.lexicon = vocabulary, Lexicon(lexicon)
 
     def learn(self, words: set[str]) -> list[str]:
         """Take the new words in; returns the very long ones."""
@@ -348,8 +355,8 @@ def _held(key, make):
     return _HELD[key]
 
 
-def frequent_words(docs: DataFrame, limit: int) -> list[str]:
-    """The `limit` most frequent words over all texts; ties by the word."""
+def frequent_words(docs: DataFrame, share: int) -> list[str]:
+    """The words that make up at least one in `share` over all texts, used twice at least."""
 
     def count(batches):
         split = Splitter()
@@ -369,26 +376,40 @@ def frequent_words(docs: DataFrame, limit: int) -> list[str]:
         if seen:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = cut(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a single use saves nothing over an exact merge
-    top = counted.filter((F.col("n") > 1) & (F.length("word") < 64)).orderBy(F.desc("n"), "word").limit(limit)
-    return [r.word for r in top.collect()]
+    top = counted.filter((F.col("n") > 1) & (F.col("n") * share >= total) & (F.length("word") < 64))
+    return top.select("word").toArrow()["word"].to_pylist()
+
+
+def shared_file(spark: SparkSession, block: bytes) -> str:
+    """Name under which every executor finds the bytes as one local file, fetched from the driver."""
+    name = f"lexicon-{hashlib.sha256(block).hexdigest()[:32]}-{spark.sparkContext.applicationId}"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # served from here as long as the driver lives
+    path = os.path.join(folder, name)
+    with open(path, "wb") as f:
+        f.write(block)
+    if name not in map(os.path.basename, spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+    return name
 
 
-def encode(docs: DataFrame, vocab_path: str, lexicon_words: int = LEXICON_WORDS, column: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, lexicon_share: int = LEXICON_SHARE, column: str = "ids") -> DataFrame:
     """Add `column` array<int>: the token ids of `text`, as the tokenizer file defines them."""
     spark = docs.sparkSession
     with open(vocab_path, encoding="utf-8") as f:
         spec = f.read()
     vocabulary = Vocabulary(spec)
-    words = frequent_words(docs, lexicon_words)
-    block = compile_lexicon({w.encode(): vocabulary.merge_word(w.encode()) for w in words})
-    sent = spark.sparkContext.broadcast((spec, block))
+    words = frequent_words(docs, lexicon_share)
+    name = shared_file(spark, compile_lexicon({w.encode(): vocabulary.merge_word(w.encode()) for w in words}))
+    sent, key = spark.sparkContext.broadcast(spec), f"{name} {hashlib.sha256(spec.encode()).hexdigest()}"
 
     def run(batches):
-        text_, block_ = sent.value
-        coder = _held(hash((text_, block_)), lambda: Encoder(Vocabulary(text_), block_))
+        coder = None
         for batch in in_groups(batches, "text"):
+            coder = coder or _held(key, lambda: Encoder(Vocabulary(sent.value), SparkFiles.get(name)))
             coded = coder.encode([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             sizes = [len(c) // 4 for c in coded]
             yield replace_columns(batch, {column: list_array(np.frombuffer(b"".join(coded), np.int32), sizes, pa.int32())})

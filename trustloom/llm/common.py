@@ -13,21 +13,26 @@ from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; Python workers are told where this package lies."""
+    """A table of the folder; Python workers are told where this package lies and get batches of bounded size."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: too many whole texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a local one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    sc = spark.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; in local mode, where none is set, a folder of its own."""
+    shared, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if shared:
+        return shared
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "trustloom-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
