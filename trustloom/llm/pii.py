@@ -4,10 +4,15 @@ Base detectors read the source text. Transducers then rewrite disguises (homogly
 spelled digits, at/dot in words or brackets) and keep, for every rewritten piece, where
 it came from; the detectors run on the rewritten text and each find that touches a
 rewritten piece is mapped back to source code points. Base spans always stay; a
-recovered span is added unless it overlaps a base span of its kind.
-
-Null and empty texts have no spans. Repeated rows give repeated results. Every scan is
-linear in the text, long runs of one character class included.
+recovered span is added unless a base span of its kind covers it, so a wider one stands
+beside the base span inside it. Secrets (keys and tokens of known shapes, and values with
+a digit that are said to be a password, token or the like) are added as a kind of their
+own, `secret`.
+
+Null and empty texts have no spans. Repeated rows give repeated results, empty tables
+empty ones. Every scan is linear in the text, long runs of one character class included,
+and texts of any length are read whole. Other columns stay; those called base_spans or
+spans, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +27,14 @@ from pyspark.sql import functions as F
 from trustloom.llm.common import replace_columns, schema_with, table
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
+#: words before a spoken "at" that name no mailbox
+_NO_BOX = frozenset("me us him her it them you look looks looked looking see seen found find available located hosted visit visited read more us "
+                    "arrive arrived stay be is are was were am go went home here there meet met live lives lived work works worked and or".split())
+_KEY = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+)")
+_KEY_HINTS = ("AKIA", "gh", "sk", "pk", "rk", "xox", "eyJ")
+_SAID = re.compile(r"(?:password|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key)[\"']?\s{0,3}(?:=|:|:=|=>|\bis\b)\s{0,3}[\"']?([^\s\"']{6,})", re.I)
+_SAID_HINTS = ("passw", "pwd", "secret", "token", "key")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a digit first and then the look behind: the scan can jump from digit to digit
@@ -108,7 +121,9 @@ def _worded(plain: str):
         if before and after:
             for label in reversed(list(_LABEL.finditer(plain, after.start(), after.end()))):
                 if last := _END.match(plain, label.end()):
-                    yield len(plain) - before.end(), last.end()
+                    spoken = m.group() != "@" and plain[len(plain) - before.end():m.start()].lower() in _NO_BOX
+                    if not spoken:
+                        yield len(plain) - before.end(), last.end()
                     break
 
 
@@ -172,12 +187,20 @@ def recovered(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secrets(text: str) -> list[tuple[str, int, int]]:
+    out = [("secret", *m.span()) for m in _KEY.finditer(text)] if any(h in text for h in _KEY_HINTS) else []
+    low = text.lower()
+    if any(h in low for h in _SAID_HINTS):
+        out += [("secret", *m.span(1)) for m in _SAID.finditer(text) if any(c.isdigit() for c in m.group(1))]
+    return sorted(set(out))
+
+
 def spans(text: str | None) -> tuple[list, list]:
     """(base spans, all spans)."""
     text = text or ""
     base = detect(text)
-    extra = [x for x in recovered(text) if not any(k == x[0] and s < x[2] and x[1] < e for k, s, e in base)]
-    return base, sorted(base + extra, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    extra = [x for x in recovered(text) if not any(k == x[0] and s <= x[1] and x[2] <= e for k, s, e in base)]
+    return base, sorted(base + extra + secrets(text), key=lambda x: (x[1], ALL_KINDS.index(x[0]), x[2]))
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -197,14 +220,19 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact_text(text: str | None) -> str | None:
-    """Spans replaced by their kind in brackets; of overlapping spans the first rules, to the last end."""
+    """Spans replaced by their kind in brackets; spans that overlap go together, under the first one's kind."""
     if text is None:
         return None
-    out, at, past = [], 0, 0
+    joined: list[list] = []
     for kind, start, end in spans(text)[1]:
-        if start >= past:
-            out += [text[at:start], f"[{kind.upper()}]"]
-        past = at = max(past, end)
+        if joined and start < joined[-1][2]:
+            joined[-1][2] = max(end, joined[-1][2])
+        else:
+            joined.append([kind, start, end])
+    out, at = [], 0
+    for kind, start, end in joined:
+        out += [text[at:start], f"[{kind.upper()}]"]
+        at = end
     return "".join([*out, text[at:]])
 
 
@@ -224,4 +252,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of_kind = lambda k: lambda s: s["kind"] == F.lit(k)  # a second parameter would be the element's place
     counts = [F.size(F.filter("base_spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+                        F.size(F.filter("spans", of_kind("secret"))).cast("long").alias("n_secret"))
