@@ -15,9 +15,11 @@ from pyspark.sql.types import StructType
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; Python workers are told where this package lies and get batches of bounded size."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+    environment.setdefault("OPENBLAS_NUM_THREADS", "1")  # a task has one core; threads that wait for work would burn others'
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: too many whole texts
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_join(rows: DataFrame, values: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows joined with values, which has one row a key; no key's rows meet in one task.
+
+    Keys of at least one in `share` rows, no more than `share` therefore, have their values broadcast.
+    """
+    counted = rows.groupBy(key).count()
+    total = F.broadcast(counted.agg(F.sum("count").alias("_total")))
+    hot = cut(counted.join(total, F.col("count") * share >= F.col("_total")).filter("count > 1").select(key))
+    few = values.join(F.broadcast(hot), key, "left_semi")
+    common = rows.join(F.broadcast(few), key)
+    return common.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(values, key))
+
+
 def crc_rest(col: str, modulus: int):
     """crc32 of the id as text modulo `modulus`; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
