@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trustloom.llm.common import cut, hot_join, list_array, replace_columns, schema_with, table
 
@@ -215,26 +216,37 @@ def _bands(h: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(_id, _fp, _set, _keys) of every row besides docs: what its set of shingles is called, its fingerprint, its hashes
-    sorted, and its band keys."""
+def _prints(docs: DataFrame, width: int) -> DataFrame:
+    """docs (doc_id, _text, text) without the text: the name of its set of shingles, its fingerprint and its band keys."""
 
     def run(batches):
         for batch in batches:
-            ids, prints, sets, keys = [], [], [], []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            ids, prints, keys = [], [], []
+            for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, width)
                 prints.append(majority(h))
                 h = np.unique(h)
-                sets.append(h.tobytes())
-                ids.append(xxhash.xxh64_intdigest(sets[-1], 5))
+                ids.append(xxhash.xxh64_intdigest(h.tobytes(), 5))
                 keys.append(_bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            sizes = [len(k) for k in keys]
-            yield replace_columns(batch, {
-                "_id": pa.array(np.array(ids, np.uint64).view(np.int64)), "_fp": pa.array(np.array(prints, np.uint64).view(np.int64)),
-                "_set": pa.array(sets, pa.binary()), "_keys": list_array(np.concatenate(keys or [np.zeros(0, np.int64)]), sizes, pa.int64())})
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            flat = np.concatenate(keys or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], signed(ids), signed(prints), list_array(flat, [len(k) for k in keys], pa.int64())],
+                                             ["doc_id", "_text", "_id", "_fp", "_keys"])
 
-    return docs.mapInArrow(run, schema_with(docs, "_id long, _fp long, _set binary, _keys array<bigint>"))
+    schema = StructType(docs.schema.fields[:2] + StructType.fromDDL("_id long, _fp long, _keys array<bigint>").fields)
+    return docs.mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(_id, _set) of texts: the name of the set of shingles, and its hashes, 32 bits each, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(0).to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), 5) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([np.sort((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in sets], pa.binary())], ["_id", "_set"])
+
+    return docs.select("text").mapInArrow(run, "_id long, _set binary").groupBy("_id").agg(F.first("_set").alias("_set"))
 
 
 def _jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -244,11 +256,11 @@ def _jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
                 both = 0
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                    both = int((y[at] == x).sum()) if len(y) else 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(y):
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int((y[at] == x).sum())
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -258,37 +270,45 @@ def _jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
 
 
 def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, split_at: int = SPLIT_AT) -> DataFrame:
-    """(doc_id, _text, _id, _root) per row: hash of its text, name of its set of shingles, the least name of its group."""
-    rows = docs.select("doc_id", "text").withColumn("_text", F.xxhash64("text"))
-    whole = cut(shingle_sets(rows, width).select("doc_id", "_text", "_id", "_fp", "_set", "_keys"))
-    sets = cut(whole.groupBy("_id").agg(F.first("_fp").alias("_fp"), F.first("_set").alias("_set"), F.first("_keys").alias("_keys")))
+    """(doc_id, _text, _root) per row: hash of its text, the least name of its group."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    prints = cut(_prints(texts, width))
+    nodes = cut(prints.groupBy("_id").agg(F.first("_fp").alias("_fp"), F.first("_keys").alias("_keys"), F.min("_text").alias("_text")))
     # a bucket's first and last take part in its candidates, whatever its size
-    ends = lambda df, key: df.groupBy(key).agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi")
-    band = sets.select("_id", F.explode("_keys").alias("k"))
-    met = hot_join(band, cut(ends(band, "k")), "k")
+    band = nodes.select("_id", F.explode("_keys").alias("k"))
+    ends = band.groupBy("k").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi")
+    met = hot_join(band, cut(ends), "k")
     by_band = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("_id").alias("b")), F.struct(F.col("_id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    print_ends = cut(sets.groupBy("_fp").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")))
-    same = hot_join(sets.select("_id", "_fp"), print_ends, "_fp").select(F.col("lo").alias("a"), F.col("_id").alias("b"))
+    print_ends = cut(nodes.groupBy("_fp").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")))
+    same = hot_join(nodes.select("_id", "_fp"), print_ends.filter("lo < hi"), "_fp").select(F.col("lo").alias("a"), F.col("_id").alias("b"))
     near = links(print_ends.select(F.col("_fp").alias("fp")), split_at)
     near = near.join(print_ends.select(F.col("_fp").alias("a"), F.col("lo").alias("x")), "a").join(print_ends.select(F.col("_fp").alias("b"), F.col("lo").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = cut(by_band.union(same).union(near).filter("a < b").distinct())
-    member = components(_jaccard_links(pairs, sets.select("_id", "_set"), similarity))
-    rooted = cut(sets.select("_id").join(member.withColumnRenamed("fp", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").alias("_root")))
-    return hot_join(whole.select("doc_id", "_text", "_id"), rooted, "_id").select("doc_id", "_text", "_id", "_root")
+    # only texts that take part in a candidate are read again
+    named = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    wanted = nodes.select("_id", "_text").join(named, "_id", "left_semi").select("_text").distinct()
+    sets = _sets(texts.join(wanted, "_text", "left_semi"), width)
+    member = components(_jaccard_links(pairs, sets, similarity))
+    rooted = cut(nodes.select("_id").join(member.withColumnRenamed("fp", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").alias("_root")))
+    return hot_join(prints.select("doc_id", "_text", "_id"), rooted, "_id").select("doc_id", "_text", "_root")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of docs alike: that of the least doc_id (null ids last), then text hash; of equal rows one."""
     named = cut(alike(docs, width, similarity))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
-    kept = cut(named.groupBy("_root").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("_doc"), F.col("r._text").alias("_text")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
+    kept = named.groupBy("_root").agg(F.min(key).alias("r")).select(F.col("r.doc_id").alias("d"), F.col("r._text").alias("t"))
+    match = F.col("_doc").eqNullSafe(F.col("d")) & (F.col("_text") == F.col("t"))
+    rows = named.groupBy("doc_id", "_text").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_doc")
+    gone = cut(rows.join(kept, match, "left_anti").select(F.col("_doc").alias("d"), F.col("_text").alias("t")))
+    again = cut(rows.filter("n > 1").select(F.col("_doc").alias("d"), F.col("_text").alias("t")))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
-    chosen = marked.join(kept.withColumnsRenamed({"_doc": "d", "_text": "t"}), F.col("_doc").eqNullSafe(F.col("d")) & (F.col("_text") == F.col("t")), "left_semi")
-    again = named.groupBy("doc_id", "_text").count().filter("count > 1").select(F.col("doc_id").alias("d"), F.col("_text").alias("t"))
-    repeated = F.col("_doc").eqNullSafe(F.col("d")) & (F.col("_text") == F.col("t"))
-    once = chosen.join(again, repeated, "left_anti").select("_all")
-    twice = chosen.join(again, repeated, "left_semi").groupBy("_doc", "_text").agg(F.first("_all").alias("_all")).select("_all")
+    chosen = marked.join(gone, match, "left_anti")
+    if not again.limit(1).count():
+        return chosen.select("_all.*")
+    once = chosen.join(again, match, "left_anti").select("_all")
+    twice = chosen.join(again, match, "left_semi").groupBy("_doc", "_text").agg(F.first("_all").alias("_all")).select("_all")
     return once.union(twice).select("_all.*")
 
 
