@@ -206,13 +206,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, split_at: int = SPLIT_AT) -
     return hot_join(prints, cut(of_print), "fp").select("doc_id", "fp", "component_id")
 
 
+_FACTORS, _TERMS = (np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)).astype(np.uint32)
+
+
 def _bands(h: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of hashes, each of the smallest of ROWS permutations."""
-    least = np.empty(BANDS * ROWS, np.uint64)
-    for k in range(BANDS * ROWS):
-        m = h * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1)) + np.uint64(k * 0x632BE59BD9B4E019 & (2**64 - 1))
-        m ^= m >> np.uint64(32)
-        least[k] = m.min()
+    """BANDS keys of a set of hashes, each of the smallest under ROWS permutations."""
+    h, least = (h >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 256):
+        m = h[at:at + 256, None] * _FACTORS
+        m += _TERMS
+        np.minimum(least, m.min(axis=0), out=least)
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
