@@ -1,0 +1 @@
+"""Where records come from: files, folders, repositories, transcripts, queues, logs, servers."""

@@ -1,0 +1 @@
+"""Streams of events and records."""
