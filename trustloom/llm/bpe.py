@@ -103,6 +103,9 @@ class Vocabulary:
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
     def merge_word(self, word: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals; n log n in the word's length."""
         ids = [self.first[b] for b in word]
@@ -396,8 +399,8 @@ def shared_file(spark: SparkSession, block: bytes) -> str:
     return name
 
 
-def encode(docs: DataFrame, vocab_path: str, lexicon_share: int = LEXICON_SHARE, column: str = "ids") -> DataFrame:
-    """Add `column` array<int>: the token ids of `text`, as the tokenizer file defines them."""
+def _coder(docs: DataFrame, vocab_path: str, lexicon_share: int):
+    """A function without arguments that gives a worker its Encoder."""
     spark = docs.sparkSession
     with open(vocab_path, encoding="utf-8") as f:
         spec = f.read()
@@ -405,16 +408,28 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_share: int = LEXICON_SHARE,
     words = frequent_words(docs, lexicon_share)
     name = shared_file(spark, compile_lexicon({w.encode(): vocabulary.merge_word(w.encode()) for w in words}))
     sent, key = spark.sparkContext.broadcast(spec), f"{name} {hashlib.sha256(spec.encode()).hexdigest()}"
+    return lambda: _held(key, lambda: Encoder(Vocabulary(sent.value), SparkFiles.get(name)))
+
+
+def encode(docs: DataFrame, vocab_path: str, lexicon_share: int = LEXICON_SHARE, column: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add `column` array<int>: the token ids of `text`, as the tokenizer file defines them; under `decoded`, if named, their text again.
+
+    Both come from one worker a task, so that a task holds the vocabulary once.
+    """
+    get = _coder(docs, vocab_path, lexicon_share)
 
     def run(batches):
         coder = None
         for batch in in_groups(batches, "text"):
-            coder = coder or _held(key, lambda: Encoder(Vocabulary(sent.value), SparkFiles.get(name)))
+            coder = coder or get()
             coded = coder.encode([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             sizes = [len(c) // 4 for c in coded]
-            yield replace_columns(batch, {column: list_array(np.frombuffer(b"".join(coded), np.int32), sizes, pa.int32())})
+            added = {column: list_array(np.frombuffer(b"".join(coded), np.int32), sizes, pa.int32())}
+            if decoded:
+                added[decoded] = pa.array([coder.vocabulary.decode(np.frombuffer(c, np.int32)) for c in coded], pa.string())
+            yield replace_columns(batch, added)
 
-    return docs.mapInArrow(run, schema_with(docs, f"{column} array<int>"))
+    return docs.mapInArrow(run, schema_with(docs, f"{column} array<int>" + (f", {decoded} string" if decoded else "")))
 
 
 def decode(rows: DataFrame, vocab_path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
@@ -444,7 +459,7 @@ def default_vocab() -> str:
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, default_vocab()).drop("text"), default_vocab())
+    out = encode(docs, default_vocab(), decoded="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -43,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, which is settled and has a few short columns, to be broadcast where it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_join(rows: DataFrame, values: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """rows joined with values, which has one row a key; no key's rows meet in one task.
 

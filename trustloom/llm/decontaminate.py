@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from trustloom.llm.common import cut, table
+from trustloom.llm.common import cut, if_small, table
 
 Q = 8
 SHORT_Q = 4
@@ -298,7 +298,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int =
     found = cut(_found(keyed, benchmark, block_chars).select("_key").distinct())
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_key"))
-    return rows.join(found, "_key", "left_anti").select("_row.*")
+    return rows.join(if_small(found), "_key", "left_anti").select("_row.*")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trustloom.llm.common import cut, hot_join, list_array, replace_columns, schema_with, table
+from trustloom.llm.common import cut, hot_join, if_small, list_array, replace_columns, schema_with, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
@@ -290,8 +290,8 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, split_at: in
     pairs = cut(by_band.union(same).union(near).filter("a < b").distinct())
     # only texts that take part in a candidate are read again
     named = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    wanted = nodes.select("_id", "_text").join(named, "_id", "left_semi").select("_text").distinct()
-    sets = _sets(texts.join(wanted, "_text", "left_semi"), width)
+    wanted = cut(nodes.select("_id", "_text").join(named, "_id", "left_semi").select("_text").distinct())
+    sets = _sets(texts.join(if_small(wanted), "_text", "left_semi"), width)
     member = components(_jaccard_links(pairs, sets, similarity))
     rooted = cut(nodes.select("_id").join(member.withColumnRenamed("fp", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").alias("_root")))
     return hot_join(prints.select("doc_id", "_text", "_id"), rooted, "_id").select("doc_id", "_text", "_root")
@@ -307,11 +307,11 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     gone = cut(rows.join(kept, match, "left_anti").select(F.col("_doc").alias("d"), F.col("_text").alias("t")))
     again = cut(rows.filter("n > 1").select(F.col("_doc").alias("d"), F.col("_text").alias("t")))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
-    chosen = marked.join(gone, match, "left_anti")
+    chosen = marked.join(if_small(gone), match, "left_anti")
     if not again.limit(1).count():
         return chosen.select("_all.*")
-    once = chosen.join(again, match, "left_anti").select("_all")
-    twice = chosen.join(again, match, "left_semi").groupBy("_doc", "_text").agg(F.first("_all").alias("_all")).select("_all")
+    once = chosen.join(if_small(again), match, "left_anti").select("_all")
+    twice = chosen.join(if_small(again), match, "left_semi").groupBy("_doc", "_text").agg(F.first("_all").alias("_all")).select("_all")
     return once.union(twice).select("_all.*")
 
 
