@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--root", default=".")
     sub = p.add_subparsers(dest="command", required=True)
 
-    def command(name, *arguments, **options):
+    def command(name, /, *arguments, **options):
         c = sub.add_parser(name)
         for a in arguments:
             c.add_argument(a)

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom import audit, context
+from trustloom.frames import settle
 from trustloom.functions import detect, embed, text, trust
 from trustloom.functions.text import source_type_of
-from trustloom.operators import capture, contradict, lifecycle, retrieve
+from trustloom.operators import capture as capturing, contradict, lifecycle, retrieve
 from trustloom.operators.retrieve import Query
 from trustloom.registry import flags
 from trustloom.schema import complete
@@ -41,10 +42,10 @@ class Engine:
     def records(self) -> DataFrame:
         r = embed.embed(self.store.hydrated())
         member = lambda name: F.get_json_object("metadata", f"$.{name}")
-        return r.withColumns({
+        return settle(r.withColumns({
             "created_s": F.unix_seconds("created_at"), "expires_s": F.unix_seconds("expires_at"), "n_contradicts": trust.unresolved(F.col("contradicts")).cast("long"), "trust": F.col("trust_score"),
             "correction": F.coalesce(member("correction"), member("correction_kind")), "corrections": member("corrections").try_cast("long"),
-            "superseded_by": member("superseded_by"), "supersedes": F.coalesce(F.from_json(member("supersedes"), "array<string>"), F.array().cast("array<string>"))})
+            "superseded_by": member("superseded_by"), "supersedes": F.coalesce(F.from_json(member("supersedes"), "array<string>"), F.array().cast("array<string>"))}))
 
     def _save(self, after: DataFrame, before: DataFrame) -> None:
         """Write back rows whose trust, status, edges or lineage changed, and new ones."""
@@ -181,15 +182,15 @@ class Engine:
         write_queue(rows.select(*[f.split(":")[0] for f in QUEUE.split(",")]), self._queue_path(), "candidates")
 
     def capture(self, path: str, source_type: str = "file") -> DataFrame:
-        found = capture.extract(files.transcripts(self.spark, path, self.root, source_type))
-        self._write_queue(capture.appended(self.pending(), found.select(*[f.split(":")[0] for f in QUEUE.split(",")])))
+        found = capturing.extract(files.transcripts(self.spark, path, self.root, source_type))
+        self._write_queue(capturing.appended(self.pending(), found.select(*[f.split(":")[0] for f in QUEUE.split(",")])))
         return found
 
-    def approve(self, candidate_ids: list[str] | None = None, scope_ref: str = "project", least: float = capture.SAFE) -> int:
+    def approve(self, candidate_ids: list[str] | None = None, scope_ref: str = "project", least: float = capturing.SAFE) -> int:
         """The named candidates, or all safe ones; returns how many were approved. A named one that cannot be approved raises."""
         queue = self.pending()
-        which = capture.safe(queue, least) if candidate_ids is None else F.col("candidate_id").isin(candidate_ids)
-        after, new, gone = capture.approved(queue, which)
+        which = capturing.safe(queue, least) if candidate_ids is None else F.col("candidate_id").isin(candidate_ids)
+        after, new, gone = capturing.approved(queue, which)
         chosen = after.filter("status = 'approved'").count() - queue.filter("status = 'approved'").count()
         if candidate_ids is not None and chosen != len(set(candidate_ids)):
             raise ValueError("a candidate is unknown, not pending, or sensitive")
@@ -204,11 +205,11 @@ class Engine:
     def reject(self, candidate_id: str) -> None:
         if not self.pending().filter(F.col("candidate_id") == candidate_id).limit(1).count():
             raise KeyError(candidate_id)
-        self._write_queue(capture.rejected(self.pending(), F.col("candidate_id") == candidate_id))
+        self._write_queue(capturing.rejected(self.pending(), F.col("candidate_id") == candidate_id))
 
     def clear_rejected(self) -> int:
         queue = self.pending()
-        kept = capture.cleared(queue)
+        kept = capturing.cleared(queue)
         removed = queue.count() - kept.count()
         self._write_queue(kept)
         return removed

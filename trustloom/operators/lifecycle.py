@@ -49,17 +49,19 @@ def evaluate(records: DataFrame, pairs: DataFrame, now_s: Column) -> DataFrame:
     later = F.struct("a.created_s", "a.memory_id") >= F.struct("b.created_s", "b.memory_id")
     both = both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("b")).dropDuplicates()
     over, under = newer_supersedes("a", "b"), newer_supersedes("b", "a")
-    verdict = F.when(over, F.struct(F.col("b.memory_id").alias("memory_id"), F.lit("superseded").alias("to"), F.col("a.memory_id").alias("by"))).when(
-        under, F.struct(F.col("a.memory_id"), F.lit("superseded"), F.col("b.memory_id"))).when(
-        F.col("a.trust") <= F.col("b.trust"), F.struct(F.col("a.memory_id"), F.lit("disputed"), F.lit(None).cast("string"))).otherwise(
-        F.struct(F.col("b.memory_id"), F.lit("disputed"), F.lit(None).cast("string")))
+    say = lambda who, to, by=None: F.struct(F.col(f"{who}.memory_id").alias("memory_id"), F.lit(to).alias("to"), (F.col(f"{by}.memory_id") if by else F.lit(None).cast("string")).alias("by"))
+    verdict = F.when(over, say("b", "superseded", "a")).when(under, say("a", "superseded", "b")).when(
+        F.col("a.trust") <= F.col("b.trust"), say("a", "disputed")).otherwise(say("b", "disputed"))
     verdicts = both.select(verdict.alias("v")).select("v.*")
-    change = verdicts.groupBy("memory_id").agg(F.max("to").alias("to"), F.max("by").alias("superseded_by"))  # superseded > disputed
-    made = verdicts.filter("by is not null").groupBy(F.col("by").alias("memory_id")).agg(F.array_sort(F.collect_set("memory_id")).alias("supersedes"))
+    change = verdicts.groupBy("memory_id").agg(F.max("to").alias("to"), F.max("by").alias("_by"))  # superseded > disputed
+    made = verdicts.filter("by is not null").groupBy(F.col("by").alias("memory_id")).agg(F.array_sort(F.collect_set("memory_id")).alias("_over"))
     out = scored.join(change, "memory_id", "left").join(made, "memory_id", "left")
     status = F.when((F.col("status") != "deleted") & (F.col("to") == "superseded"), "superseded").when(
         (F.col("status") == "active") & (F.col("to") == "disputed"), "disputed").otherwise(F.col("status"))
-    return out.withColumn("status", status).withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<string>"))).drop("to")
+    none = F.array().cast("array<string>")
+    before = lambda name, kind: F.col(name) if name in records.columns else kind
+    return out.withColumns({"status": status, "superseded_by": F.coalesce(F.col("_by"), before("superseded_by", F.lit(None).cast("string"))),
+                            "supersedes": F.array_union(F.coalesce(before("supersedes", none), none), F.coalesce("_over", none))}).drop("to", "_by", "_over")
 
 
 def expire_due(records: DataFrame, now_s: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trustloom.frames import settle
 from trustloom.functions import decisions, embed, text, trust
 from trustloom.functions.detect import contains_secret
 from trustloom.operators import search
@@ -95,7 +96,7 @@ def first_stage(records: DataFrame, queries: list[Query]) -> DataFrame:
     wv, wk, wr = BLEND
     found = found.withColumn("first_stage", F.round(wv * F.col("vector_sim") + wk * F.col("keyword_score") + wr * F.col("recency"), 6))
     order = [F.desc("first_stage"), F.desc("created_s"), F.desc("memory_id")]
-    return search.ranked(found, order, 1 << 30).filter(F.col("rank") <= F.col("pool"))
+    return settle(search.ranked(found, order, 1 << 30).filter(F.col("rank") <= F.col("pool")))
 
 
 def rerank(found: DataFrame, now_s: Column) -> DataFrame:

@@ -22,9 +22,9 @@ def audit_stream(spark: SparkSession, path: str) -> DataFrame:
     return file_stream(spark, path, LOG, "json")
 
 
-def late(events: DataFrame, ts: str = "ts", delay: str = LATE) -> DataFrame:
-    """The watermark of a stream; a batch passes unchanged."""
-    return events.withWatermark(ts, delay) if events.isStreaming else events
+def late(events: DataFrame, ts: str = "ts", delay: str | None = LATE) -> DataFrame:
+    """The watermark of a stream; a batch, or a stream that has its own (delay None), passes unchanged."""
+    return events.withWatermark(ts, delay) if events.isStreaming and delay else events
 
 
 def _counts(events: DataFrame, window, keys) -> DataFrame:
@@ -32,16 +32,16 @@ def _counts(events: DataFrame, window, keys) -> DataFrame:
     return out.select(*keys, F.unix_seconds("w.start").alias("start_s"), F.unix_seconds("w.end").alias("end_s"), "n", *(["total"] if "total" in out.columns else []))
 
 
-def tumbling(events: DataFrame, size: str = "1 day", keys=("event_type",), ts: str = "ts") -> DataFrame:
-    return _counts(late(events, ts), F.window(ts, size), keys)
+def tumbling(events: DataFrame, size: str = "1 day", keys=("event_type",), ts: str = "ts", delay: str | None = LATE) -> DataFrame:
+    return _counts(late(events, ts, delay), F.window(ts, size), keys)
 
 
-def sliding(events: DataFrame, size: str = "1 day", step: str = "12 hours", keys=("event_type",), ts: str = "ts") -> DataFrame:
-    return _counts(late(events, ts), F.window(ts, size, step), keys)
+def sliding(events: DataFrame, size: str = "1 day", step: str = "12 hours", keys=("event_type",), ts: str = "ts", delay: str | None = LATE) -> DataFrame:
+    return _counts(late(events, ts, delay), F.window(ts, size, step), keys)
 
 
-def sessions(events: DataFrame, gap: str = "2 hours", keys=("user_id",), ts: str = "ts") -> DataFrame:
-    return _counts(late(events, ts), F.session_window(ts, gap), keys)
+def sessions(events: DataFrame, gap: str = "2 hours", keys=("user_id",), ts: str = "ts", delay: str | None = LATE) -> DataFrame:
+    return _counts(late(events, ts, delay), F.session_window(ts, gap), keys)
 
 
 def once_each(events: DataFrame, key: str = "event_id", ts: str = "ts") -> DataFrame:
