@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.frames import reachable
 from trustloom.sources.files import json_lines
 
 # fixed values
@@ -52,6 +53,8 @@ def redact_events(events: DataFrame, column: str = "event") -> DataFrame:
     Text that is no JSON object becomes null.
     """
 
+    reachable(events.sparkSession)
+
     def one(text):
         try:
             event = json.loads(text) if text else None

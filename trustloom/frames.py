@@ -5,10 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def reachable(spark: SparkSession) -> None:
+    """Tell Python workers where this package lies, whatever their working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+    environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut. Only local sessions get a folder of their own."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext

@@ -1,107 +1,539 @@
-"""Queries over the memory view, each with the SQL it is held against."""
+"""Queries over the memory view and the driver's tables, each with the SQL it is held against (None where SQL cannot say it)."""
+
+from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trustloom.functions import trust as T
-from trustloom.plans.memories import MEMORIES_SQL, NOW, memories
+from trustloom import audit, context, registry, schema, store
+from trustloom.frames import settle
+from trustloom.functions import decisions, detect, embed, text, trust
+from trustloom.operators import capture, chunk, contradict, lifecycle, retrieve, search
+from trustloom.operators.retrieve import EXCLUDED, Query
+from trustloom.plans import sql as S
+from trustloom.plans.memories import DAY, MEMORIES_SQL, NOW_S, hashed, memories, sql_hashed
+from trustloom.sources import files
+from trustloom.streaming import events as streams
+
+c = F.col
+now = lambda: F.lit(NOW_S)
+M = "WITH " + MEMORIES_SQL
+VISIBLE = f"status NOT IN ({', '.join(map(S.q, EXCLUDED))})"
+SIGNALS = ("authority", "freshness", "confirmation", "contradiction", "tier_penalty", "corrected", "trust")
+ASKED = [
+    Query("backend", "What backend does the project use", limit=10), Query("database", "Which database is hosted where", max_sensitivity="pii", min_trust=0.55, limit=5),
+    Query("words", "the of and", scope="repo", limit=8), Query("tests", "run the test command", scope="project", min_trust=0.3, max_sensitivity="secret", limit=10),
+    Query("public", "Lunch is served at noon", max_sensitivity="public", limit=3),
+]
+KEYWORDS = [("a", "the of"), ("b", "framework Flask"), ("c", "die der"), ("d", "la de"), ("e", "noon"), ("f", "cache version")]
+TALK = ("We moved from FastAPI to Flask.", "Use pnpm instead of npm.", "Local dev uses SQLite but production uses PostgreSQL.", "Deploy this on Vercel. Thanks!", "Maybe try Redis later.",
+        "Do not add external LLM API dependencies.", "The previous MySQL plan is dead.", "The API key is sk-test-1234567890abcdef.", "Frontend is React. Tests run with pnpm test.")
+
+
+def _scored(spark, sf):
+    return trust.signals(memories(spark, sf), now())
 
-EXCLUDED = ("expired", "deleted", "superseded", "outdated")
 
+def _rows(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
-def scored(spark, sf_dir):
-    """Signals and trust of every record at the pinned time."""
-    m = memories(spark, sf_dir)
-    now = F.lit(NOW[:10]).cast("date")
-    age = F.datediff(now, "created_on").cast("double") + 0.5
-    life = F.datediff("expires_on", "created_on").cast("double")
-    m = m.withColumns({
-        "authority": T.source_authority(F.col("source_type")), "freshness": T.freshness(age, life),
-        "confirmation": T.confirmation(F.col("confirmations")), "contradiction": T.contradiction_penalty(F.col("n_contradicts")),
-        "tier_penalty": T.sensitivity_penalty(F.col("sensitivity")), "corrected": T.correction_signal(F.col("correction"), F.lit(1.0)),
-    })
-    parts = ("authority", "freshness", "confirmation", "contradiction", "tier_penalty", "corrected")
-    return m.withColumn("trust", T.trust_score(*map(F.col, parts)))
 
+def _embedded(spark, sf):
+    return settle(embed.embed(_scored(spark, sf)))
 
-SCORED_SQL = "WITH " + MEMORIES_SQL + """, aged AS (
-  SELECT *, CAST(DATE '2024-06-01' - created_on AS DOUBLE) + 0.5 AS age, CAST(expires_on - created_on AS DOUBLE) AS life FROM memories
-), signals AS (
-  SELECT *, CASE source_type WHEN 'commit' THEN 0.9 WHEN 'file' THEN 0.8 WHEN 'api' THEN 0.7 WHEN 'jira' THEN 0.7 WHEN 'user' THEN 0.6 ELSE 0.5 END::DOUBLE AS authority,
-    CASE WHEN life IS NULL THEN exp(-greatest(age, 0) / 90.0) WHEN life <= 0 THEN 0 ELSE greatest(0, least(1, 1 - age / life)) END AS freshness,
-    1 - exp(-confirmations / 3.0::DOUBLE) AS confirmation, least(1.0::DOUBLE, n_contradicts / 3.0::DOUBLE) AS contradiction,
-    CASE sensitivity WHEN 'public' THEN 0.0 WHEN 'internal' THEN 0.2 WHEN 'secret' THEN 0.6 ELSE 0.8 END::DOUBLE AS tier_penalty,
-    0.5 + CASE correction WHEN 'affirm' THEN 0.5 WHEN 'supersede' THEN -0.5 ELSE 0 END::DOUBLE * (1 - exp(-1.0::DOUBLE / 3)) AS corrected
-  FROM aged
-), scored AS (
-  SELECT *, greatest(0, least(1, 0.35::DOUBLE * authority + 0.2::DOUBLE * freshness + 0.2::DOUBLE * confirmation + 0.15::DOUBLE * (1 - contradiction)
-    + 0.1::DOUBLE * (1 - tier_penalty) + 0.1::DOUBLE * (corrected - 0.5::DOUBLE))) AS trust FROM signals
-) """
 
+def trust_signals(spark, sf):
+    """X12-X18, X24."""
+    return _scored(spark, sf).select("memory_id", *[F.round(n, 6).alias(n) for n in SIGNALS])
 
-def trust_signals(spark, sf_dir):
-    """X12-X18."""
-    names = ("authority", "freshness", "confirmation", "contradiction", "tier_penalty", "corrected", "trust")
-    return scored(spark, sf_dir).select("memory_id", *[F.round(n, 6).alias(n) for n in names])
 
+def trust_scores_topk(spark, sf):
+    """The 20 most trusted records."""
+    return _scored(spark, sf).select("memory_id", F.round("trust", 6).alias("trust")).orderBy(F.desc("trust"), "memory_id").limit(20)
+
+
+def trust_topk(spark, sf):
+    """The three most trusted visible records of every scope and reference."""
+    w = Window.partitionBy("scope", "scope_ref").orderBy(F.desc("trust"), "memory_id")
+    s = _scored(spark, sf).filter(~c("status").isin(*EXCLUDED)).withColumn("trust", F.round("trust", 6))
+    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("scope", "scope_ref", "rank", "memory_id", "trust")
 
-def scope_filter(spark, sf_dir):
-    """One project's visible records at or under the internal tier, trust 0.4 or more."""
-    s = scored(spark, sf_dir)
-    return s.filter((F.col("scope") == "project") & (F.col("scope_ref") == "src3") & ~F.col("status").isin(*EXCLUDED)
-                    & F.col("sensitivity").isin("public", "internal") & (F.col("trust") >= 0.4)).select("memory_id", F.round("trust", 6).alias("trust"))
 
+def scope_filter(spark, sf):
+    """Visible records of one scope at or under the internal tier, of trust 0.4 or more."""
+    s = _scored(spark, sf)
+    return s.filter((c("scope") == "project") & ~c("status").isin(*EXCLUDED) & (schema.tier_rank(c("sensitivity")) <= 1) & (c("trust") >= 0.4)).select("memory_id", "scope_ref", F.round("trust", 6).alias("trust"))
 
-def status_counts(spark, sf_dir):
-    """A5."""
-    old = ("corrected", "disputed", "expired", "outdated", "superseded")
-    return memories(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")).withColumn("deprecated", F.col("status").isin(*old))
 
+def store_scan(spark, sf):
+    """SC1, SC2, F14: equality filters, in order of creation; the first 50."""
+    return memories(spark, sf).filter("scope = 'repo' and status = 'active'").orderBy("created_s", "memory_id").limit(50).select("memory_id", "created_s", "scope_ref")
 
-def project_counts(spark, sf_dir):
-    """A6, F14."""
-    return memories(spark, sf_dir).filter("scope = 'project' and status <> 'deleted'").groupBy("scope_ref").agg(F.count("*").alias("n"))
 
+def point_lookup(spark, sf):
+    """SC3: rows by id, deleted ones too; ids that are not there give none."""
+    return memories(spark, sf).filter(c("memory_id").isin("000000000001", "000000000007", "999999999999")).select("memory_id", "status", "source_type")
 
-def token_counts(spark, sf_dir):
-    """Tokenizer A and the number of distinct tokens."""
-    m = memories(spark, sf_dir).withColumn("t", F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)))
+
+def status_counts(spark, sf):
+    """A5, L20."""
+    return memories(spark, sf).groupBy("status").agg(F.count("*").alias("n")).withColumn("deprecated", c("status").isin("corrected", "disputed", "expired", "outdated", "superseded"))
+
+
+def project_counts(spark, sf):
+    """A6."""
+    return memories(spark, sf).filter("scope = 'project' and status <> 'deleted'").groupBy("scope_ref").agg(F.count("*").alias("n"))
+
+
+def token_counts(spark, sf):
+    """T1."""
+    m = memories(spark, sf).withColumn("t", text.words(c("content")))
     return m.select("memory_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-def recency_topk(spark, sf_dir):
-    """K5: the 20 newest, ties by id descending."""
-    return memories(spark, sf_dir).orderBy(F.desc("created_on"), F.desc("memory_id")).limit(20).select("memory_id", F.date_format("created_on", "yyyy-MM-dd").alias("created_on"))
+def ngram_counts(spark, sf):
+    """T3."""
+    m = memories(spark, sf).withColumn("t", text.words(c("content"))).withColumn("g", text.grams(c("t")))
+    return m.select("memory_id", F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
 
 
-def trust_topk(spark, sf_dir):
-    """The three most trusted visible records of every scope."""
-    w = Window.partitionBy("scope", "scope_ref").orderBy(F.desc("trust"), "memory_id")
-    s = scored(spark, sf_dir).filter(~F.col("status").isin(*EXCLUDED)).withColumn("trust", F.round("trust", 6))
-    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("scope", "scope_ref", "rank", "memory_id", "trust")
+def numbers_extract(spark, sf):
+    """T4."""
+    m = memories(spark, sf).withColumn("n", text.numbers(c("content")))
+    return m.select("memory_id", F.size("n").cast("long").alias("n_numbers"), F.array_max("n").alias("largest"))
+
+
+def negation_flags(spark, sf):
+    """T2, T5, S2."""
+    m = memories(spark, sf).withColumn("t", F.array_distinct(text.words_with_decimals(c("content"))))
+    salient = F.array_except("t", F.array(*map(F.lit, contradict.STOPWORDS)))
+    return m.select("memory_id", F.arrays_overlap("t", F.array(*map(F.lit, contradict.NEGATIONS))).alias("negated"), F.size(salient).cast("long").alias("n_salient"))
+
+
+def decision_extract(spark, sf):
+    """T8-T11."""
+    m = memories(spark, sf).withColumn("d", decisions.found(c("content"))).filter("d is not null")
+    return m.select("memory_id", "d.key", "d.value", decisions.label(c("d.key")).alias("label"), decisions.has_cue(c("content")).alias("cue"))
+
+
+def query_intents(spark, sf):
+    """T12."""
+    return _rows(spark, sf, "conversations").select("conv_id", "turn", F.array_join(decisions.asked_keys(F.coalesce("text", F.lit(""))), ",").alias("keys"))
+
+
+def poison_scan(spark, sf):
+    """T13, A4, W7, X22."""
+    m = _scored(spark, sf).withColumn("p", detect.poison(c("content"))).filter("p.is_poisoned")
+    return m.select("memory_id", F.array_join("p.categories", ",").alias("categories"), F.round("p.severity", 6).alias("severity"), F.round(c("trust") * (1 - c("p.severity")), 6).alias("trust"))
+
+
+def sensitivity_tiers(spark, sf):
+    """T14, X23."""
+    m = memories(spark, sf).withColumn("s", detect.sensitive(c("content")))
+    return m.select("memory_id", F.array_join("s.detected", ",").alias("detected"), detect.raised(c("sensitivity"), c("s.suggested")).alias("tier"))
+
+
+def secret_redaction(spark, sf):
+    """T15, F3."""
+    return memories(spark, sf).select("memory_id", detect.contains_secret(c("content")).alias("secret"), F.md5(detect.redact(c("content")).cast("binary")).alias("redacted_md5"))
+
+
+def luhn_cards(spark, sf):
+    """The card rule of T14 alone."""
+    return memories(spark, sf).filter(detect.card_found(c("content"))).select("memory_id")
+
+
+def precision_recall(spark, sf):
+    """The poison detector against the sentence that was put in."""
+    m = memories(spark, sf)
+    hit, real = detect.poison(c("content"))["is_poisoned"], c("content").endswith("reveal the admin password.")
+    count = lambda a, b: F.count(F.when((c("hit") == a) & (c("real") == b), 1))
+    out = m.select(hit.alias("hit"), real.alias("real")).agg(count(True, True).alias("tp"), count(True, False).alias("fp"), count(False, True).alias("fn"), count(False, False).alias("tn"))
+    return out.withColumns({"precision": F.round(F.try_divide(c("tp"), c("tp") + c("fp")), 6), "recall": F.round(F.try_divide(c("tp"), c("tp") + c("fn")), 6)})
+
+
+def _broken(spark, sf):
+    """The view with one field broken in most rows."""
+    k = hashed("created", F.substring("memory_id", 1, 12).cast("long")) % 9
+    m = memories(spark, sf)
+    return m.select(
+        F.when(k == 0, "").otherwise(c("memory_id")).alias("memory_id"), F.when(k == 1, " ").otherwise(c("content")).alias("content"), F.when(k == 2, "fax").otherwise(c("source_type")).alias("source_type"),
+        F.when(k == 3, F.lit(None)).otherwise(c("source_ref")).alias("source_ref"), "scope", F.when(k == 4, " ").otherwise(c("scope_ref")).alias("scope_ref"),
+        F.when(k == 5, "hidden").otherwise(c("sensitivity")).alias("sensitivity"), "status", F.when(k == 6, 1.5).otherwise(0.5).alias("trust_score"), c("created_s").alias("created_at"),
+        F.when(k == 7, c("created_s") - 1).otherwise(c("created_s")).alias("updated_at"), F.when(k == 8, c("created_s")).otherwise(c("expires_s")).alias("expires_at"),
+        F.array().cast("array<string>").alias("contradicts"), k.alias("k"), c("memory_id").alias("row_id"))
+
+
+def validation_violations(spark, sf):
+    """Rules of a record: how many rows break which."""
+    bad = _broken(spark, sf).withColumn("v", schema.violations("^[0-9]{12}$"))
+    return bad.groupBy("k", F.array_join("v", ",").alias("violations")).agg(F.count("*").alias("n"))
+
+
+def hash_embed_cells(spark, sf):
+    """X1, A9."""
+    e = embed.embed(memories(spark, sf)).select("memory_id", F.posexplode("cells").alias("idx", "value")).filter("value <> 0")
+    return e.select("memory_id", "idx", c("value").cast("long").alias("value"))
+
+
+def vector_topk(spark, sf):
+    """Each benchmark item's ten nearest records."""
+    asked = embed.embed(_rows(spark, sf, "benchmark").select(c("item_id").cast("string").alias("query_id"), "text"), "text")
+    return search.nearest(asked, embed.embed(memories(spark, sf)), 10)
+
+
+def bm25_topk(spark, sf):
+    """K3, X3, A7, J1, T26, SK6."""
+    return search.keyword(memories(spark, sf), KEYWORDS, 10)
+
+
+def trigram_topk(spark, sf):
+    """K4, X4."""
+    return search.trigram(memories(spark, sf), [("x", "the backend framework"), ("y", "lunch is served at noon")], 10, 0.01)
+
+
+def recency_topk(spark, sf):
+    """K5."""
+    return search.recent(memories(spark, sf), 20).select("memory_id", "created_s")
+
+
+def _pool(spark, sf):
+    return retrieve.first_stage(_embedded(spark, sf), ASKED)
+
+
+def stage1_hybrid(spark, sf):
+    """K6, K7, J7, J8, S1, A1, A2, W1, X5, X9, X25."""
+    return _pool(spark, sf).select("query_id", "rank", "memory_id", F.round("vector_sim", 9).alias("vector_sim"), F.round("keyword_score", 6).alias("keyword_score"), F.round("recency", 6).alias("recency"), "first_stage")
+
+
+def rerank(spark, sf):
+    """K8, F8, X6, X8, X10, X19, T37."""
+    return retrieve.rerank(_pool(spark, sf), now()).select("query_id", "memory_id", "relevance", "rerank_trust", "usable", "combined", "rerank_reason")
+
+
+def policy_rejects(spark, sf):
+    """What each gate turned away."""
+    return retrieve.judged(retrieve.rerank(_pool(spark, sf), now())).filter("rejected_by is not null").select("query_id", "memory_id", "rejected_by")
+
+
+def final_rank(spark, sf):
+    """The answers."""
+    return retrieve.results(retrieve.judged(retrieve.rerank(_pool(spark, sf), now()))).select("query_id", "rank", "memory_id", "relevance", c("rerank_trust").alias("trust"), "final_rank", F.array_join("reasons", "|").alias("reasons"))
+
+
+def query_audit(spark, sf):
+    """One event a query."""
+    found, every = retrieve.retrieve(_embedded(spark, sf), ASKED, now())
+    every = settle(every)
+    return retrieve.audit_events(retrieve.results(every), every, ASKED).select("query_id", F.array_join("used_ids", ",").alias("used_ids"), F.size("rejected_ids").cast("long").alias("n_rejected"))
+
+
+def _pairs(spark, sf):
+    return contradict.scan(_embedded(spark, sf), c("memory_id").cast("long") % 20 == 0)
+
+
+def contradictions(spark, sf):
+    """Ids divisible by 20 against all records."""
+    return _pairs(spark, sf).select(c("a.memory_id").alias("a_id"), c("b.memory_id").alias("b_id"), "similarity", "conflict.kind", "conflict.reason", "confidence")
+
+
+def edge_listing(spark, sf):
+    """L22, SK4, J10."""
+    return contradict.edges(_pairs(spark, sf))
+
+
+def edge_degree(spark, sf):
+    """A3, J3, SC4."""
+    return contradict.degrees(contradict.edges(_pairs(spark, sf)))
+
+
+def evaluate_status(spark, sf):
+    """L2, L3."""
+    r = _embedded(spark, sf)
+    after = lifecycle.evaluate(r.drop("cells", "embedding"), contradict.scan(r, c("memory_id").cast("long") % 20 == 0), now())
+    before = r.select("memory_id", c("status").alias("was"))
+    return after.join(before, "memory_id").filter("n_contradicts > 0").select("memory_id", "n_contradicts", "trust", "was", "status", "superseded_by")
+
+
+def explain(spark, sf):
+    """Signals and edges of every record that contradicts another."""
+    r = _scored(spark, sf)
+    out = lifecycle.explain(r, contradict.edges(_pairs(spark, sf)), now()).filter("other_id is not null")
+    return out.select("memory_id", "other_id", "trust", c("signals.authority").alias("authority"), "other_status", "reason", "confidence")
+
+
+def lineage_join(spark, sf):
+    """Superseded decisions and what they gave way to; each is said to be replaced by the next record."""
+    m = memories(spark, sf).withColumn("superseded_by", F.lpad((c("memory_id").cast("long") + 1).cast("string"), 12, "0"))
+    return lifecycle.lineage(m)
+
+
+def outdated_join(spark, sf):
+    """J11."""
+    values = spark.createDataFrame([("MySQL",), ("pnpm test",), ("noon",)], "value string")
+    return lifecycle.outdate(memories(spark, sf), values).select("memory_id", "status")
+
+
+def expire_due(spark, sf):
+    """L1 (expiry), X13."""
+    return lifecycle.expire_due(memories(spark, sf), now()).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def memory_classes(spark, sf):
+    """F11, F12."""
+    return lifecycle.classified(memories(spark, sf)).select("memory_id", "omitted", "usable", "active", "deprecated", "avoid")
+
+
+def context_sections(spark, sf):
+    """T32, T33, W5, X26."""
+    m = memories(spark, sf).withColumn("superseded_by", F.lit(None).cast("string"))
+    return context.section_rows(m)
+
+
+def _talk(spark, sf):
+    t = _rows(spark, sf, "conversations")
+    k = (c("conv_id") * 7 + c("turn") * 3) % len(TALK)
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.element_at(F.array(*map(F.lit, TALK)), (k + 1).cast("int")))
+    return t.select(F.concat(F.lit("c"), c("conv_id").cast("string"), F.lit("/"), c("turn").cast("string")).alias("source_ref"), F.lit("api").alias("source_type"), F.concat("role", F.lit(": "), said).alias("text"))
+
+
+def capture_sentences(spark, sf):
+    """T17, T18, T24, SC9."""
+    s = capture.sentences(_talk(spark, sf))
+    return s.select("source_ref", "line", "part", "chunk", c("chunk").rlike(capture.NOISE).alias("noise"))
+
+
+def capture_candidates(spark, sf):
+    """T19-T23, W3, S4."""
+    return capture.extract(_talk(spark, sf)).select("source", "decision_key", "value", "supersedes_value", "confidence", "sensitivity", "action", "content")
+
+
+def capture_dedup(spark, sf):
+    """The first sentence of every decision."""
+    s = capture.sentences(_talk(spark, sf)).withColumn("d", decisions.found(c("chunk"))).filter("d is not null")
+    first = s.groupBy("d.key", F.lower("d.value").alias("value")).agg(F.min(F.struct("source_ref", "line", "part")).alias("f"))
+    return first.select("key", "value", c("f.source_ref").alias("source_ref"), c("f.line").alias("line"))
+
+
+def safe_candidates(spark, sf):
+    """What approving all safe candidates, rejecting the others and clearing leaves of the queue."""
+    q = capture.extract(_talk(spark, sf))
+    after, _, _ = capture.approved(q, capture.safe(q))
+    return capture.cleared(capture.rejected(after, c("status") == "pending")).groupBy("decision_key", "status").agg(F.count("*").alias("n"))
+
+
+def chunk_text(spark, sf):
+    """Whole documents in chunks of 1,000 with 100 before."""
+    return chunk.chunked(_rows(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5(c("chunk").cast("binary")).alias("chunk_md5"))
+
+
+def upsert_latest(spark, sf):
+    """SK2, SK12: rows of even ids replaced."""
+    old = memories(spark, sf).select("memory_id", "status", "confirmations")
+    new = old.filter(c("memory_id").cast("long") % 2 == 0).withColumn("confirmations", c("confirmations") + 100)
+    return store.upsert(old, new, "memory_id")
+
+
+def anti_join_new(spark, sf):
+    """SK1, J12: of ids moved up by 50 those that are not there yet."""
+    old = memories(spark, sf).select("memory_id")
+    new = old.select(F.lpad((c("memory_id").cast("long") + 50).cast("string"), 12, "0").alias("memory_id"))
+    return new.join(old, "memory_id", "left_anti")
+
+
+def soft_delete(spark, sf):
+    """SK3."""
+    return memories(spark, sf).withColumn("status", F.when(c("memory_id").cast("long") % 3 == 0, "deleted").otherwise(c("status"))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def vector_codec(spark, sf):
+    """SK5: vectors to text and back."""
+    e = _rows(spark, sf, "embeddings").select("vec_id", store.unpacked(store.packed(c("embedding"))).alias("v"))
+    return e.select("vec_id", F.size("v").cast("long").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+def wire_records(spark, sf):
+    """SK13, X26: metadata members out of JSON."""
+    m = memories(spark, sf)
+    return m.select("memory_id", F.get_json_object("metadata", "$.correction").alias("correction"), F.round(trust.correction_of(c("metadata")), 6).alias("signal"))
+
+
+def semver_latest(spark, sf):
+    """A10, T36, SC12, L18: the highest version of each source's models, prereleases under releases."""
+    d = _rows(spark, sf, "documents").filter("source is not null")
+    part = lambda f, n: (hashed(f) % n).cast("string")
+    version = F.concat(part("created", 3), F.lit("."), part("status", 12), F.lit("."), part("scope", 4), F.when(hashed("sensitivity") % 2 == 0, F.concat(F.lit("-rc."), part("sentence", 15))).otherwise(""))
+    v = d.select(c("source").alias("model_id"), version.alias("version"), F.lit(0).alias("created_at"))
+    return registry.newest(v).select("model_id", "version")
+
+
+def audit_sensitive_reduce(spark, sf):
+    """T28."""
+    e = _rows(spark, sf, "events").select("event_id", F.when(c("user_id") % 3 == 0, " PII ").when(c("user_id") % 3 == 1, "public").alias("sensitivity"), F.concat("event_type", F.lit(" "), "props").alias("content"))
+    return audit.reduced_columns(e).select("event_id", "content", "sensitivity_redacted")
+
+
+def audit_masked(spark, sf):
+    """Nested keys that sound secret."""
+    e = _rows(spark, sf, "events").select("event_id", F.concat(F.lit('{"apiKey":"x","nested":[{"client_secret":1,"n":'), c("user_id").cast("string"), F.lit("}]}")).alias("event"))
+    return audit.redact_events(e)
+
+
+def source_kinds(spark, sf):
+    """T25, T34, T35."""
+    m = _scored(spark, sf)
+    ref = F.concat(c("source_type"), F.lit("://"), c("memory_id"))
+    return m.select("memory_id", text.source_type_of(ref).alias("kind"), text.level(F.round("trust", 6)).alias("level"), text.shortened(c("source_ref"), 10).alias("short"),
+                    text.duration_seconds(F.concat(c("confirmations").cast("string"), F.lit("d"))).alias("seconds"))
+
+
+def transcripts_scan(spark, sf):
+    """SC9, SC10 (as frames)."""
+    return files.conversation_transcripts(_rows(spark, sf, "conversations")).select("source_ref", F.length("text").cast("long").alias("n_chars"))
+
+
+def tumbling_counts(spark, sf):
+    """2.12."""
+    e = _rows(spark, sf, "events").withColumn("value", F.floor(c("value") * 100))
+    return streams.tumbling(e).select("event_type", "start_s", "end_s", "n", c("total").cast("long").alias("total"))
+
+
+def sliding_counts(spark, sf):
+    """2.12."""
+    return streams.sliding(_rows(spark, sf, "events").drop("value"))
+
+
+def session_windows(spark, sf):
+    """2.12."""
+    return streams.sessions(_rows(spark, sf, "events").drop("value"))
+
+
+def _sql_broken():
+    k = sql_hashed("created").replace("doc_id", "CAST(memory_id AS BIGINT)") + " % 9"
+    names = {0: "memory_id", 1: "content", 2: "source_type", 3: "source_ref", 5: "sensitivity", 6: "trust_score", 7: "updated_at", 8: "expires_at"}
+    whens = " ".join(f"WHEN k = {n} THEN '{name}'" for n, name in names.items())
+    # rows without a source break source_ref and, in bound scopes, scope_ref as well
+    ref = "CASE WHEN k = 4 AND scope <> 'global' THEN 'scope_ref' ELSE '' END"
+    return f"{M}, b AS (SELECT *, {k} AS k FROM memories) SELECT k, CASE {whens} ELSE {ref} END AS violations, count(*) AS n FROM b GROUP BY ALL"
+
 
+_TALK_SQL = f"""WITH talk AS (
+  SELECT 'c' || conv_id || '/' || turn AS source_ref, role || ': ' || coalesce(text, '') || chr(10) || {S.values(TALK)}[CAST((conv_id * 7 + turn * 3) % {len(TALK)} AS INT) + 1] AS text FROM conversations
+), lines AS (
+  SELECT source_ref, l.i AS line, regexp_replace(regexp_replace(l.t, '^\\s+|\\s+$', '', 'g'), {S.q(capture.SPEAKER)}, '') AS said
+  FROM (SELECT source_ref, unnest(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x, i: {{'t': x, 'i': i}})) AS l FROM talk)
+), sentences AS (
+  SELECT source_ref, line, p.i - 1 AS part, regexp_replace(p.t, '^[ \\-\\t]+|[ \\-\\t]+$', '', 'g') AS chunk
+  FROM (SELECT source_ref, line, unnest(list_transform(string_split(regexp_replace(said, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x, i: {{'t': x, 'i': i}})) AS p FROM lines)
+  WHERE length(chunk) >= {capture.SHORTEST}
+)"""
+_HYBRID = S.hybrid(ASKED)
+_PAIRS = S.contradictions()
+_REASON = """CASE WHEN relevance_0 >= 0.6 THEN 'strong relevance match' WHEN relevance_0 >= 0.25 THEN 'moderate relevance match' WHEN relevance_0 > 0 THEN 'weak relevance match' ELSE 'no relevance overlap' END
+  || '; ' || CASE WHEN rerank_trust >= 0.7 THEN 'high' WHEN rerank_trust >= 0.4 THEN 'medium' ELSE 'low' END || ' trust' || CASE WHEN n_contradicts > 0 THEN '; has contradictions' ELSE '' END
+  || CASE WHEN status IN ('deleted', 'expired') THEN '; excluded (' || status || ')' ELSE '' END || ' -> ' || CASE WHEN usable THEN 'surface memory' ELSE 'skip memory' END"""
+_ANSWERS = f"""answers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank DESC, combined DESC, memory_id) AS rank FROM judged WHERE rejected_by IS NULL) WHERE rank <= lim)"""
+_EVALUATED = f"""{_PAIRS}, degree AS (SELECT memory_id, count(DISTINCT other_id) AS n_contradicts FROM edges GROUP BY ALL
+), rescored AS (
+  SELECT s.* EXCLUDE (n_contradicts, trust, contradiction), coalesce(d.n_contradicts, 0) AS n_contradicts, round(greatest(0, least(1, 0.35::DOUBLE * authority + 0.2::DOUBLE * freshness + 0.2::DOUBLE * confirmation
+    + 0.15::DOUBLE * (1 - least(1.0::DOUBLE, coalesce(d.n_contradicts, 0) / 3.0::DOUBLE)) + 0.1::DOUBLE * (1 - tier_penalty) + 0.1::DOUBLE * (corrected - 0.5::DOUBLE))), 6) AS trust, dec
+  FROM read s LEFT JOIN degree d USING (memory_id)
+), unordered AS (SELECT DISTINCT CASE WHEN (a.created_s, a.memory_id) >= (b.created_s, b.memory_id) THEN a_id ELSE b_id END AS n_id, CASE WHEN (a.created_s, a.memory_id) >= (b.created_s, b.memory_id) THEN b_id ELSE a_id END AS o_id
+  FROM pairs JOIN memories a ON a.memory_id = a_id JOIN memories b ON b.memory_id = b_id
+), weighed AS (SELECT a, b FROM unordered JOIN rescored a ON a.memory_id = n_id JOIN rescored b ON b.memory_id = o_id
+), supers AS (SELECT *,
+  {{over}} AS over_, {{under}} AS under_ FROM weighed
+), verdicts AS (
+  SELECT CASE WHEN over_ THEN b.memory_id WHEN under_ THEN a.memory_id WHEN a.trust <= b.trust THEN a.memory_id ELSE b.memory_id END AS memory_id, CASE WHEN over_ OR under_ THEN 'superseded' ELSE 'disputed' END AS "to",
+    CASE WHEN over_ THEN a.memory_id WHEN under_ THEN b.memory_id END AS "by" FROM supers
+), change AS (SELECT memory_id, max("to") AS "to", max("by") AS superseded_by FROM verdicts GROUP BY memory_id)"""
 
-def precision_recall(spark, sf_dir):
-    """How well low quality predicts toxic labels."""
-    hit = lambda q, t: F.count(F.when((F.col("quality") == q) & (F.col("toxic") == t), 1))
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").agg(hit(0, 1).alias("tp"), hit(0, 0).alias("fp"), hit(1, 1).alias("fn"), hit(1, 0).alias("tn"))
 
+def _sql_over(n, o):
+    split = f"({o}.dec.key = 'database' AND {n}.dec.key IN ('database_local', 'database_cloud'))"
+    return (f"coalesce({n}.created_s >= {o}.created_s AND {n}.scope = {o}.scope AND {n}.scope_ref IS NOT DISTINCT FROM {o}.scope_ref AND lower({n}.dec.value) <> lower({o}.dec.value) AND ({n}.dec.key = {o}.dec.key OR {split}) "
+            f"AND ({split} OR regexp_matches({n}.content, {S.q('(?i)' + decisions.CUE)}) OR ({n}.source_type = 'user' AND {n}.trust >= 0.45)), FALSE)")
 
-def tumbling_counts(spark, sf_dir):
-    """Audit events per type and day."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
+_EVALUATED = _EVALUATED.replace("{over}", _sql_over("a", "b")).replace("{under}", _sql_over("b", "a"))
+_HIT = f"{S.values(['avoid'])}"
+_any = lambda words: "(" + " OR ".join(f"contains(lower(content), {S.q(w)})" for w in words) + ")"
+_VERSION = " || '.' || ".join(f"({sql_hashed(f)} % {n})" for f, n in (("created", 3), ("status", 12), ("scope", 4)))
 
-_VISIBLE = "status NOT IN ('expired','deleted','superseded','outdated')"
 QUERIES = {
-    "trust_signals": (trust_signals, SCORED_SQL + "SELECT memory_id, round(authority,6) authority, round(freshness,6) freshness, round(confirmation,6) confirmation, round(contradiction,6) contradiction, round(tier_penalty,6) tier_penalty, round(corrected,6) corrected, round(trust,6) trust FROM scored"),
-    "scope_filter": (scope_filter, SCORED_SQL + f"SELECT memory_id, round(trust,6) AS trust FROM scored WHERE scope='project' AND scope_ref='src3' AND {_VISIBLE} AND sensitivity IN ('public','internal') AND trust >= 0.4"),
-    "status_counts": (status_counts, "WITH " + MEMORIES_SQL + " SELECT status, count(*) AS n, status IN ('corrected','disputed','expired','outdated','superseded') AS deprecated FROM memories GROUP BY status"),
-    "project_counts": (project_counts, "WITH " + MEMORIES_SQL + " SELECT scope_ref, count(*) AS n FROM memories WHERE scope='project' AND status<>'deleted' GROUP BY scope_ref"),
-    "token_counts": (token_counts, "WITH " + MEMORIES_SQL + ", t AS (SELECT memory_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM memories) SELECT memory_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM t"),
-    "recency_topk": (recency_topk, "WITH " + MEMORIES_SQL + " SELECT memory_id, strftime(created_on, '%Y-%m-%d') AS created_on FROM memories ORDER BY memories.created_on DESC, memory_id DESC LIMIT 20"),
-    "trust_topk": (trust_topk, SCORED_SQL + f", r AS (SELECT *, round(trust,6) AS t6, row_number() OVER (PARTITION BY scope, scope_ref ORDER BY round(trust,6) DESC, memory_id) AS rank FROM scored WHERE {_VISIBLE}) SELECT scope, scope_ref, CAST(rank AS INT) AS rank, memory_id, t6 AS trust FROM r WHERE rank <= 3"),
-    "precision_recall": (precision_recall, "SELECT count(*) FILTER (quality=0 AND toxic=1) tp, count(*) FILTER (quality=0 AND toxic=0) fp, count(*) FILTER (quality=1 AND toxic=1) fn, count(*) FILTER (quality=1 AND toxic=0) tn FROM labels"),
-    "tumbling_counts": (tumbling_counts, "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2"),
+    "trust_signals": (trust_signals, S.SCORED_SQL + " SELECT memory_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in SIGNALS) + " FROM scored"),
+    "trust_scores_topk": (trust_scores_topk, S.SCORED_SQL + " SELECT memory_id, round(trust, 6) AS trust FROM scored ORDER BY round(scored.trust, 6) DESC, memory_id LIMIT 20"),
+    "trust_topk": (trust_topk, S.SCORED_SQL + f", r AS (SELECT *, round(trust, 6) AS t6, row_number() OVER (PARTITION BY scope, scope_ref ORDER BY round(trust, 6) DESC, memory_id) AS rank FROM scored WHERE {VISIBLE}) SELECT scope, scope_ref, CAST(rank AS INT) AS rank, memory_id, t6 AS trust FROM r WHERE rank <= 3"),
+    "scope_filter": (scope_filter, S.SCORED_SQL + f" SELECT memory_id, scope_ref, round(trust, 6) AS trust FROM scored WHERE scope = 'project' AND {VISIBLE} AND sensitivity IN ('public', 'internal') AND trust >= 0.4"),
+    "store_scan": (store_scan, M + " SELECT memory_id, created_s, scope_ref FROM memories WHERE scope = 'repo' AND status = 'active' ORDER BY created_s, memory_id LIMIT 50"),
+    "point_lookup": (point_lookup, M + " SELECT memory_id, status, source_type FROM memories WHERE memory_id IN ('000000000001', '000000000007', '999999999999')"),
+    "status_counts": (status_counts, M + " SELECT status, count(*) AS n, status IN ('corrected','disputed','expired','outdated','superseded') AS deprecated FROM memories GROUP BY status"),
+    "project_counts": (project_counts, M + " SELECT scope_ref, count(*) AS n FROM memories WHERE scope = 'project' AND status <> 'deleted' GROUP BY scope_ref"),
+    "token_counts": (token_counts, M + ", t AS (SELECT memory_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM memories) SELECT memory_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM t"),
+    "ngram_counts": (ngram_counts, M + ", t AS (SELECT memory_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM memories), g AS (SELECT memory_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM t) SELECT memory_id, len(g) AS n_grams, len(list_distinct(g)) AS n_distinct FROM g"),
+    "numbers_extract": (numbers_extract, M + f", n AS (SELECT memory_id, list_distinct(list_transform(regexp_extract_all(content, {S.q(text.NUMBER)}), lambda x: CAST(x AS DOUBLE))) AS n FROM memories) SELECT memory_id, len(n) AS n_numbers, list_max(n) AS largest FROM n"),
+    "negation_flags": (negation_flags, M + f", t AS (SELECT memory_id, list_distinct(regexp_extract_all(lower(content), {S.q(text.WORD_WITH_DECIMALS)})) AS t FROM memories) SELECT memory_id, list_has_any(t, {S.values(contradict.NEGATIONS)}) AS negated, len(list_filter(t, lambda x: NOT list_contains({S.values(contradict.STOPWORDS)}, x))) AS n_salient FROM t"),
+    "decision_extract": (decision_extract, M + f", d AS (SELECT memory_id, content, {S.decision('content')} AS d FROM memories) SELECT memory_id, d.key AS key, d.value AS value, {S.label('d.key')} AS label, regexp_matches(content, {S.q('(?i)' + decisions.CUE)}) AS cue FROM d WHERE d IS NOT NULL"),
+    "query_intents": (query_intents, f"SELECT conv_id, turn, array_to_string({S.asked('coalesce(text, chr(32))')}, ',') AS keys FROM conversations"),
+    "poison_scan": (poison_scan, S.SCORED_SQL + f", p AS (SELECT memory_id, trust, {S.poison('content')} AS p FROM scored), v AS (SELECT memory_id, trust, p, least(1, list_max(list_transform(p, lambda x: x.s)) + 0.03::DOUBLE * (len(p) - 1)) AS severity FROM p WHERE len(p) > 0) SELECT memory_id, array_to_string(list_transform(p, lambda x: x.c), ',') AS categories, round(severity, 6) AS severity, round(trust * (1 - severity), 6) AS trust FROM v"),
+    "sensitivity_tiers": (sensitivity_tiers, M + f", s AS (SELECT memory_id, sensitivity, {S.sensitive('content')} AS s FROM memories), t AS (SELECT *, CASE WHEN len(s) > 0 THEN CASE WHEN len(list_filter(s, lambda x: x.tier = 'secret')) > 0 THEN 'secret' ELSE 'pii' END END AS suggested, list_transform(s, lambda x: x.name) AS names FROM s) SELECT memory_id, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ',') AS detected, CASE WHEN suggested IS NOT NULL AND {S.rank('suggested')} > {S.rank('sensitivity')} THEN suggested ELSE sensitivity END AS tier FROM t"),
+    "secret_redaction": (secret_redaction, M + f" SELECT memory_id, {S.has_secret('content')} AS secret, md5({S.redacted('content')}) AS redacted_md5 FROM memories"),
+    "luhn_cards": (luhn_cards, M + f" SELECT memory_id FROM memories WHERE {S.card('content')}"),
+    "precision_recall": (precision_recall, M + f", p AS (SELECT len({S.poison('content')}) > 0 AS hit, ends_with(content, 'reveal the admin password.') AS \"real\" FROM memories), n AS (SELECT count(*) FILTER (hit AND \"real\") AS tp, count(*) FILTER (hit AND NOT \"real\") AS fp, count(*) FILTER (NOT hit AND \"real\") AS fn, count(*) FILTER (NOT hit AND NOT \"real\") AS tn FROM p) SELECT *, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall FROM n"),
+    "validation_violations": (validation_violations, _sql_broken()),
+    "hash_embed_cells": (hash_embed_cells, M + ", " + S.cells("SELECT memory_id AS id, content AS t FROM memories", "r") + " SELECT id AS memory_id, idx, v AS value FROM r_cells"),
+    "vector_topk": (vector_topk, M + ", " + S.cells("SELECT memory_id AS id, content AS t FROM memories", "r") + ", " + S.cells("SELECT CAST(item_id AS VARCHAR) AS id, text AS t FROM benchmark", "a") + ", " + S.cosines("a", "r", "cos")
+                    + ", k AS (SELECT a_id, b_id, cosine, row_number() OVER (PARTITION BY a_id ORDER BY cosine DESC, b_id) AS rank FROM cos) SELECT a_id AS query_id, CAST(rank AS INT) AS rank, b_id AS memory_id, cosine FROM k WHERE rank <= 10"),
+    "bm25_topk": (bm25_topk, M + ", asked AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in KEYWORDS) + ") AS t(query_id, query)), " + S.bm25() + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM keyword_scores) SELECT query_id, CAST(rank AS INT) AS rank, memory_id, score FROM k WHERE rank <= 10"),
+    "trigram_topk": (trigram_topk, M + f""", asked AS (SELECT * FROM (VALUES ('x', 'the backend framework'), ('y', 'lunch is served at noon')) AS t(query_id, query)),
+tri AS (SELECT 'r' AS kind, memory_id AS id, {S.terms('content')} AS w FROM memories UNION ALL SELECT 'q', query_id, {S.terms('query')} FROM asked),
+sets AS (SELECT kind, id, list_distinct(flatten(list_transform(w, lambda x: list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))))) AS t FROM tri),
+pair AS (SELECT q.id AS query_id, r.id AS memory_id, len(list_intersect(r.t, q.t)) AS n, len(r.t) + len(q.t) AS m FROM sets q JOIN sets r ON q.kind = 'q' AND r.kind = 'r'),
+k AS (SELECT query_id, memory_id, round(n::DOUBLE / (m - n), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(n::DOUBLE / (m - n), 6) DESC, memory_id) AS rank FROM pair WHERE n > 0 AND round(n::DOUBLE / (m - n), 6) >= 0.01)
+SELECT query_id, CAST(rank AS INT) AS rank, memory_id, score FROM k WHERE rank <= 10"""),
+    "recency_topk": (recency_topk, M + " SELECT memory_id, created_s FROM memories ORDER BY memories.created_s DESC, memory_id DESC LIMIT 20"),
+    "stage1_hybrid": (stage1_hybrid, _HYBRID + " SELECT query_id, CAST(place AS INT) AS rank, memory_id, round(vector_sim, 9) AS vector_sim, round(keyword_score, 6) AS keyword_score, round(recency, 6) AS recency, first_stage FROM stage1"),
+    "rerank": (rerank, _HYBRID + f" SELECT query_id, memory_id, relevance_0 AS relevance, rerank_trust, usable, combined, {_REASON} AS rerank_reason FROM reranked"),
+    "policy_rejects": (policy_rejects, _HYBRID + " SELECT query_id, memory_id, rejected_by FROM judged WHERE rejected_by IS NOT NULL"),
+    "final_rank": (final_rank, _HYBRID + f""", {_ANSWERS} SELECT query_id, CAST(rank AS INT) AS rank, memory_id, relevance, rerank_trust AS trust, final_rank,
+  CASE WHEN same THEN 'answers ' || {S.label('dec.key')} || '; ' ELSE '' END || {_REASON} || '|source: ' || source_ref || printf('|trust %.2f >= min_trust %.2f', rerank_trust, min_trust)
+  || '|sensitivity ''' || sensitivity || ''' within ceiling ''' || max_sensitivity || '''' || CASE WHEN q_scope IS NOT NULL THEN '|in scope ' || scope || '/' || coalesce(scope_ref, '-') ELSE '' END AS reasons FROM answers"""),
+    "query_audit": (query_audit, _HYBRID + f", {_ANSWERS} SELECT query_id, coalesce((SELECT string_agg(memory_id, ',' ORDER BY rank) FROM answers a WHERE a.query_id = asked.query_id), '') AS used_ids, (SELECT count(*) FROM judged j WHERE j.query_id = asked.query_id AND rejected_by IS NOT NULL) AS n_rejected FROM asked"),
+    "contradictions": (contradictions, _PAIRS + " SELECT a_id, b_id, similarity, c.kind AS kind, c.reason AS reason, confidence FROM pairs"),
+    "edge_listing": (edge_listing, _PAIRS + " SELECT * FROM edges"),
+    "edge_degree": (edge_degree, _PAIRS + " SELECT memory_id, count(DISTINCT other_id) AS n_contradicts FROM edges GROUP BY memory_id"),
+    "evaluate_status": (evaluate_status, _EVALUATED + """ SELECT r.memory_id, r.n_contradicts, r.trust, r.status AS was, CASE WHEN r.status <> 'deleted' AND "to" = 'superseded' THEN 'superseded' WHEN r.status = 'active' AND "to" = 'disputed' THEN 'disputed' ELSE r.status END AS status, superseded_by
+  FROM rescored r LEFT JOIN change USING (memory_id) WHERE r.n_contradicts > 0"""),
+    "explain": (explain, _PAIRS + " SELECT s.memory_id, e.other_id, round(s.trust, 6) AS trust, round(s.authority, 6) AS authority, o.status AS other_status, e.reason, e.confidence FROM edges e JOIN scored s ON s.memory_id = e.memory_id JOIN scored o ON o.memory_id = e.other_id"),
+    "lineage_join": (lineage_join, M + f""", d AS (SELECT memory_id, status, lpad(CAST(CAST(memory_id AS BIGINT) + 1 AS VARCHAR), 12, '0') AS superseded_by, {S.decision('content')} AS dec FROM memories),
+parts AS (SELECT DISTINCT CASE WHEN dec.key = 'database_local' THEN 'local ' ELSE 'cloud ' END || dec.value AS part FROM d WHERE status = 'active' AND dec.key IN ('database_local', 'database_cloud')),
+joined AS (SELECT string_agg(part, ' and ' ORDER BY part) AS split FROM parts)
+SELECT d.memory_id, d.superseded_by, CASE WHEN d.dec.key = 'database' THEN coalesce(split, n.dec.value) ELSE n.dec.value END AS value FROM d LEFT JOIN d n ON n.memory_id = d.superseded_by, joined WHERE d.status = 'superseded' AND d.dec IS NOT NULL"""),
+    "outdated_join": (outdated_join, M + f", d AS (SELECT *, lower(({S.decision('content')}).value) AS dv FROM memories) SELECT memory_id, CASE WHEN status <> 'deleted' AND (contains(lower(content), 'mysql') OR contains(lower(content), 'pnpm test') OR contains(lower(content), 'noon') OR coalesce(dv IN ('mysql', 'pnpm test', 'noon'), FALSE)) THEN 'outdated' ELSE status END AS status FROM d"),
+    "expire_due": (expire_due, M + f", e AS (SELECT CASE WHEN status = 'active' AND expires_s <= {NOW_S} THEN 'expired' ELSE status END AS status FROM memories) SELECT status, count(*) AS n FROM e GROUP BY status"),
+    "memory_classes": (memory_classes, M + f""", m AS (SELECT *, status <> 'deleted' AS alive, sensitivity IN ('secret', 'pii') OR {S.has_secret('content')} AS hidden FROM memories)
+SELECT memory_id, alive AND hidden AS omitted, alive AND NOT hidden AS usable, alive AND NOT hidden AND status = 'active' AS active,
+  alive AND NOT hidden AND (status IN ('corrected', 'expired', 'disputed', 'superseded', 'outdated') OR {_any(('deprecated', 'outdated', 'superseded', 'do not use'))}) AS deprecated,
+  alive AND NOT hidden AND {_any(('avoid', 'never', 'do not', "don't", 'must not', 'deprecated'))} AS avoid FROM m"""),
+    "context_sections": (context_sections, None),
+    "capture_sentences": (capture_sentences, _TALK_SQL + f" SELECT source_ref, CAST(line AS INT) AS line, CAST(part AS INT) AS part, chunk, regexp_matches(chunk, {S.q(capture.NOISE)}) AS noise FROM sentences"),
+    "capture_candidates": (capture_candidates, None),
+    "capture_dedup": (capture_dedup, _TALK_SQL + f", d AS (SELECT *, {S.decision('chunk')} AS d FROM sentences), k AS (SELECT d.key AS key, lower(d.value) AS value, source_ref, line, row_number() OVER (PARTITION BY d.key, lower(d.value) ORDER BY source_ref, line, part) AS k FROM d WHERE d IS NOT NULL) SELECT key, value, source_ref, CAST(line AS INT) AS line FROM k WHERE k = 1"),
+    "safe_candidates": (safe_candidates, None),
+    "chunk_text": (chunk_text, None),
+    "upsert_latest": (upsert_latest, M + " SELECT memory_id, status, confirmations + CASE WHEN CAST(memory_id AS BIGINT) % 2 = 0 THEN 100 ELSE 0 END AS confirmations FROM memories"),
+    "anti_join_new": (anti_join_new, M + ", n AS (SELECT lpad(CAST(CAST(memory_id AS BIGINT) + 50 AS VARCHAR), 12, '0') AS memory_id FROM memories) SELECT memory_id FROM n WHERE memory_id NOT IN (SELECT memory_id FROM memories)"),
+    "soft_delete": (soft_delete, M + ", s AS (SELECT CASE WHEN CAST(memory_id AS BIGINT) % 3 = 0 THEN 'deleted' ELSE status END AS status FROM memories) SELECT status, count(*) AS n FROM s GROUP BY status"),
+    "vector_codec": (vector_codec, "SELECT vec_id, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings"),
+    "wire_records": (wire_records, S.SCORED_SQL + " SELECT memory_id, correction, round(corrected, 6) AS signal FROM scored"),
+    "semver_latest": (semver_latest, f"WITH v AS (SELECT source AS model_id, {_VERSION} AS core, {sql_hashed('sensitivity')} % 2 = 0 AS pre, {sql_hashed('sentence')} % 15 AS n, {sql_hashed('created')} % 3 AS a, {sql_hashed('status')} % 12 AS b, {sql_hashed('scope')} % 4 AS c FROM documents WHERE source IS NOT NULL), "
+                      "k AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY a DESC, b DESC, c DESC, pre, n DESC) AS k FROM v) SELECT model_id, core || CASE WHEN pre THEN '-rc.' || n ELSE '' END AS version FROM k WHERE k = 1"),
+    "audit_sensitive_reduce": (audit_sensitive_reduce, "SELECT event_id, CASE WHEN user_id % 3 = 0 AND event_type || ' ' || props IS NOT NULL THEN '[REDACTED]' ELSE event_type || ' ' || props END AS content, coalesce(user_id % 3 = 0, FALSE) AND event_type || ' ' || props IS NOT NULL AS sensitivity_redacted FROM events"),
+    "audit_masked": (audit_masked, """SELECT event_id, '{"apiKey": "[REDACTED]", "nested": [{"client_secret": "[REDACTED]", "n": ' || user_id || '}]}' AS event FROM events"""),
+    "source_kinds": (source_kinds, S.SCORED_SQL + f" SELECT memory_id, source_type AS kind, CASE WHEN round(trust, 6) >= 0.7 THEN 'high' WHEN round(trust, 6) >= 0.4 THEN 'medium' ELSE 'low' END AS level, CASE WHEN length(source_ref) <= 10 THEN source_ref ELSE substr(source_ref, 1, 9) || '…' END AS short, confirmations * {DAY} AS seconds FROM scored"),
+    "transcripts_scan": (transcripts_scan, "SELECT 'conversation-' || conv_id || '/' || turn AS source_ref, length(role || ': ' || coalesce(text, '')) AS n_chars FROM conversations"),
+    "tumbling_counts": (tumbling_counts, f"SELECT event_type, CAST(floor(epoch(ts) / {DAY}) * {DAY} AS BIGINT) AS start_s, CAST(floor(epoch(ts) / {DAY}) * {DAY} + {DAY} AS BIGINT) AS end_s, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS total FROM events GROUP BY ALL"),
+    "sliding_counts": (sliding_counts, f"WITH w AS (SELECT event_type, CAST(floor(epoch(ts) / {DAY // 2}) * {DAY // 2} AS BIGINT) - o AS start_s FROM events, (SELECT unnest([0, {DAY // 2}]) AS o)) SELECT event_type, start_s, start_s + {DAY} AS end_s, count(*) AS n FROM w GROUP BY ALL"),
+    "session_windows": (session_windows, """WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 7200 THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts)) + 7200) AS BIGINT) AS end_s, count(*) AS n FROM s GROUP BY user_id, k"""),
 }

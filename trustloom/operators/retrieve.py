@@ -94,7 +94,7 @@ def first_stage(records: DataFrame, queries: list[Query]) -> DataFrame:
         "recency": min_max(F.col("created_s").cast("double")),
     })
     wv, wk, wr = BLEND
-    found = found.withColumn("first_stage", F.round(wv * F.col("vector_sim") + wk * F.col("keyword_score") + wr * F.col("recency"), 6))
+    found = found.withColumn("first_stage", F.round(wv * F.col("vector_sim") + wk * F.col("keyword_score") + wr * F.col("recency"), 9))
     order = [F.desc("first_stage"), F.desc("created_s"), F.desc("memory_id")]
     return settle(search.ranked(found, order, 1 << 30).filter(F.col("rank") <= F.col("pool")))
 
@@ -108,12 +108,12 @@ def rerank(found: DataFrame, now_s: Column) -> DataFrame:
     age, life = (now_s - c("created_s")) / 86400.0, (c("expires_s") - c("created_s")) / 86400.0
     ws, wl = RELEVANCE
     out = found.withColumns({
-        "relevance": F.round(ws * meaning + wl * lexical, 6),
+        "relevance": F.round(ws * meaning + wl * lexical, 9),
         "rerank_trust": F.round(trust.rerank_trust(c("trust"), trust.source_authority(c("source_type")), trust.freshness(age, life), trust.confirmation(c("confirmations")),
                                                    trust.contradiction_penalty(c("n_contradicts")), trust.sensitivity_penalty(c("sensitivity"))), 6),
     })
     usable = (c("relevance") >= LEAST_RELEVANCE) & (c("rerank_trust") >= LEAST_TRUST) & ~c("status").isin(*DEAD)
-    out = out.withColumn("usable", usable).withColumn("combined", F.round(0.5 * c("relevance") + 0.5 * c("rerank_trust"), 6))
+    out = out.withColumn("usable", usable).withColumn("combined", F.round(0.5 * c("relevance") + 0.5 * c("rerank_trust"), 10))
     parts = F.array_compact(F.array(
         F.when(c("relevance") >= 0.6, "strong relevance match").when(c("relevance") >= 0.25, "moderate relevance match")
         .when(c("relevance") > 0, "weak relevance match").otherwise("no relevance overlap"),
@@ -146,7 +146,7 @@ def judged(reranked: DataFrame, policies: list[Policy] = ()) -> DataFrame:
     wr, wt = FINAL
     out = out.withColumn("rejected_by", rejected).withColumn("intent", same)
     out = out.withColumn("relevance", F.when(same, F.greatest(c("relevance"), F.lit(ASKED))).otherwise(c("relevance")))
-    return out.withColumn("final_rank", F.round(wr * trust.clamp01(c("relevance")) + wt * trust.clamp01(c("rerank_trust")), 6))
+    return out.withColumn("final_rank", F.round(wr * trust.clamp01(c("relevance")) + wt * trust.clamp01(c("rerank_trust")), 10))
 
 
 def reasons() -> Column:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trustloom.frames import reachable
+
 # fixed values
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOKEN = r"[\p{L}\p{N}]+"
@@ -30,6 +32,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, *, not_self: bool = Fal
     width than a query's, or without a vector, take no part. Zero vectors score 0.
     """
     spark = rows.sparkSession
+    reachable(spark)
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     schema = "query_id string, memory_id string, cosine double"

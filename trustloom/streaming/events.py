@@ -27,21 +27,27 @@ def late(events: DataFrame, ts: str = "ts", delay: str | None = LATE) -> DataFra
     return events.withWatermark(ts, delay) if events.isStreaming and delay else events
 
 
-def _counts(events: DataFrame, window, keys) -> DataFrame:
-    out = events.groupBy(*keys, window.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")) if "value" in events.columns else events.groupBy(*keys, window.alias("w")).agg(F.count("*").alias("n"))
-    return out.select(*keys, F.unix_seconds("w.start").alias("start_s"), F.unix_seconds("w.end").alias("end_s"), "n", *(["total"] if "total" in out.columns else []))
+def _seconds(moment, ntz: bool):
+    """Since 1970; a moment without a zone is read as UTC."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), moment) if ntz else F.unix_seconds(moment)
+
+
+def _counts(events: DataFrame, window, keys, ts: str) -> DataFrame:
+    totals = [F.count("*").alias("n")] + ([F.sum("value").alias("total")] if "value" in events.columns else [])
+    out, ntz = events.groupBy(*keys, window.alias("w")).agg(*totals), events.schema[ts].dataType.typeName() == "timestamp_ntz"
+    return out.select(*keys, _seconds(F.col("w.start"), ntz).alias("start_s"), _seconds(F.col("w.end"), ntz).alias("end_s"), *out.columns[len(keys) + 1:])
 
 
 def tumbling(events: DataFrame, size: str = "1 day", keys=("event_type",), ts: str = "ts", delay: str | None = LATE) -> DataFrame:
-    return _counts(late(events, ts, delay), F.window(ts, size), keys)
+    return _counts(late(events, ts, delay), F.window(ts, size), keys, ts)
 
 
 def sliding(events: DataFrame, size: str = "1 day", step: str = "12 hours", keys=("event_type",), ts: str = "ts", delay: str | None = LATE) -> DataFrame:
-    return _counts(late(events, ts, delay), F.window(ts, size, step), keys)
+    return _counts(late(events, ts, delay), F.window(ts, size, step), keys, ts)
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", keys=("user_id",), ts: str = "ts", delay: str | None = LATE) -> DataFrame:
-    return _counts(late(events, ts, delay), F.session_window(ts, gap), keys)
+    return _counts(late(events, ts, delay), F.session_window(ts, gap), keys, ts)
 
 
 def once_each(events: DataFrame, key: str = "event_id", ts: str = "ts") -> DataFrame:
