@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
     environment.setdefault("OPENBLAS_NUM_THREADS", "1")  # a task has one core; threads that wait for work would burn others'
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: too many whole texts
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

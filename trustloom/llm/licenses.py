@@ -6,8 +6,10 @@ the keywords they hold.
 A detection inside another of the same or a higher priority is suppressed. The three
 base phrases are counted apart and their labels always stay.
 
-Null texts count as empty: no words, no labels, score 0. Whole texts are scanned.
-Repeated rows give repeated results.
+Null texts count as empty: no words, no labels, score 0. Whole texts are scanned, of any
+length. Repeated rows give repeated results, empty tables empty ones. Detections that tie
+in place and priority are ordered by label, and all but the first are suppressed. Other
+columns stay; those of the added columns' names, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -17,58 +19,31 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.llm import signatures
 from trustloom.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label -> (keywords, one of which each alternative holds as whole words; name as a pattern over single-spaced words)
-NAMES = {
-    "apache": ("apache", r"apache(?: software)? license|apache 2"), "mit": ("mit", r"mit license|mit licence"),
-    "bsd": ("bsd", r"bsd (?:license|licence|[234] clause)"), "isc": ("isc", r"isc (?:license|licence)"),
-    "gpl": ("gpl|gplv1|gplv2|gplv3", r"gnu gpl|gplv[123]|gpl [123]"), "lgpl": ("lgpl|lgplv|lgpl2|lgpl3|lgplv2|lgplv3", r"gnu lgpl|lgpl [23]|lgplv?[23]?"),
-    "agpl": ("agpl|agplv|agpl3|agplv3", r"gnu agpl|agpl 3|agplv?3?"), "mpl": ("mozilla", r"mozilla public license"),
-    "epl": ("eclipse", r"eclipse public license"), "cddl": ("cddl", r"cddl"),
-    "unlicense": ("unlicense", r"unlicense"), "wtfpl": ("wtfpl", r"wtfpl"), "zlib": ("zlib", r"zlib license"),
-    "boost": ("boost", r"boost software license"), "artistic": ("artistic", r"artistic license"),
-    "python": ("python|psf", r"python software foundation license|psf license"), "php": ("php", r"php license"),
-    "ruby": ("ruby", r"ruby license"), "postgresql": ("postgresql", r"postgresql license"),
-    "openssl": ("openssl", r"openssl license"), "ofl": ("sil", r"sil open font license"),
-    "eupl": ("eupl|european", r"eupl|european union public licence"), "cecill": ("cecill", r"cecill"),
-    "osl": ("osl|software", r"open software license|osl 3"), "afl": ("academic", r"academic free license"),
-    "ms-pl": ("microsoft", r"microsoft public license"), "cc0": ("cc0|creative", r"cc0|creative commons zero"),
-    "cc-by-sa": ("by sa", r"cc by sa"), "cc-by-nc": ("by nc", r"cc by nc"), "cc-by-nd": ("by nd", r"cc by nd"),
-    "cc": ("creative", r"creative commons"), "odbl": ("database", r"open database license"),
-    "proprietary": ("proprietary", r"proprietary license"), "public-domain": ("domain", r"public domain"),
-}
-#: frame around the name -> priority; higher wins over what it contains
-FRAMES = (
-    (r"(?:{}) version [0-9]+(?: [0-9]+)?", 4), (r"licensed under (?:the )?(?:terms of the )?(?:{})", 3),
-    (r"released under (?:the )?(?:{})", 3), (r"distributed under (?:the )?(?:{})", 3),
-    (r"subject to (?:the )?(?:terms of the )?(?:{})", 3), (r"available under (?:the )?(?:{})", 3),
-    (r"spdx license identifier (?:{})", 4), (r"(?:{})", 1),
-)
-#: whole signatures: (label, keywords, pattern, priority)
-SIGNATURES = (
-    ("cc-by", "cc", r"cc by", 1), ("gpl", "general", r"general public license", 2),
-    ("lgpl", "lesser|library", r"(?:lesser|library) general public license", 4),
-    ("agpl", "affero", r"affero general public license", 4),
-    ("reserved", "reserved", r"all rights reserved", 2), ("reserved", "tous", r"tous droits r\S+serv\S+s", 2),
-    ("mit", "hereby", r"permission is hereby granted free of charge", 3),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software", 3),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms", 3),
-    ("copyright", "copyright", r"copyright(?: c)?(?: [0-9]{{4}})+", 1),
-    ("no-warranty", "warranty", r"(?:without|absolutely no) warranty", 1),
-)
 PRIORITIES = 4
+STRETCH = 300
 
 
-def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keywords, pattern, priority), a few hundred, by priority then label."""
-    made = [(label, word, frame.format(name), rank) for label, (word, name) in NAMES.items() for frame, rank in FRAMES]
-    whole = [(label, word, pattern.replace("{{", "{").replace("}}", "}"), rank) for label, word, pattern, rank in SIGNATURES]
-    return sorted(made + whole, key=lambda r: (-r[3], r[0], r[2]))
+def rules() -> list[tuple[str, frozenset[str], str, int]]:
+    """(label, keywords, pattern, priority) of every signature, higher priorities first."""
+    return [(label, signatures.keywords(pattern), signatures.compiled(pattern), rank) for label, rank, pattern in signatures.lines()]
+
+
+def _rule_map() -> tuple[list[str], Column]:
+    """(keywords, map from keyword to its rules)."""
+    of_word: dict[str, list] = {}
+    for label, rank, pattern in signatures.lines():
+        rule = F.struct(F.lit(label).alias("label"), F.lit(signatures.compiled(pattern)).alias("pattern"), F.lit(f"({signatures.compiled(pattern, True)})").alias("numbered"), F.lit(rank).alias("rank"))
+        for word in signatures.keywords(pattern):
+            of_word.setdefault(word, []).append(rule)
+    words = sorted(of_word)
+    return words, F.create_map(*[x for w in words for x in (F.lit(w), F.array(*of_word[w]))])
 
 
 def _n_words(spaced: Column) -> Column:
@@ -76,13 +51,14 @@ def _n_words(spaced: Column) -> Column:
     return F.shiftright(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))), 1)
 
 
-def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `_norm`: the words, each between two spaces of its own, and `n_words`."""
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+def with_words(docs: DataFrame) -> DataFrame:
+    """(`_in0`, `_in1`, ..., `_norm`, n_words): the columns as they are; the words, each between two spaces of its own."""
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], F.col("text").alias("_text"))
+    low = F.translate(F.coalesce(F.col("_text"), F.lit("")), UPPER, LOWER)
     flat = F.trim(F.regexp_replace(low, NOT_WORD, "  "))
     norm = F.concat(F.lit(" "), flat, F.lit(" "))
     # a generator keeps the optimiser from writing the expression out at each of its uses
-    once = docs.drop("_norm").select("*", F.explode(F.array(norm)).alias("_norm"))
+    once = docs.select("*", F.explode(F.array(norm)).alias("_norm"))
     once = once.withColumn("_norm", F.when(F.col("_norm") == "  ", F.lit("")).otherwise(F.col("_norm")))
     return once.withColumn("n_words", _n_words(F.col("_norm")).cast("long"))
 
@@ -114,35 +90,26 @@ def scan(docs: DataFrame) -> DataFrame:
         "last_word": F.greatest(*lasts),
         "_base": F.array_sort(F.array_compact(F.array(*labels))),
     })
-    # patterns see every word between two spaces of its own
-    of_word: dict[str, list] = {}
-    for a, b, c, d in rules():
-        pattern = f" (?:{c.replace(' ', '  ')}) "
-        rule = F.struct(F.lit(a).alias("label"), F.lit(pattern).alias("pattern"), F.lit(d).alias("rank"))
-        for word in b.split("|"):
-            of_word.setdefault(word.replace(" ", "  "), []).append(rule)
-    words = sorted(of_word)
-    rule_map = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*of_word[w]))])
+    words, rule_map = _rule_map()
     by_letter = "|".join(f"{k}(?:{'|'.join(w[1:] for w in group)})" for k, group in groupby(words, lambda w: w[0]))
     found_words = F.array_distinct(F.regexp_extract_all(norm, F.lit(f" ({by_letter})(?= )"), F.lit(1)))
     df = df.select("*", F.explode(F.array(found_words)).alias("_words"))
     gate = F.size("_words") > 0
     chosen = F.filter(F.array_distinct(F.flatten(F.transform("_words", lambda w: F.element_at(rule_map, w)))), lambda r: F.regexp_like(norm, r["pattern"]))
 
-    def places_of(r):
-        pieces = F.split(F.regexp_replace(norm, F.concat(F.lit("("), r["pattern"], F.lit(")")), F.lit("\x01$1\x02")), "\x01")
-        start = F.struct(_n_words(F.element_at(pieces, 1)).cast("long").alias("at"),
-                         F.array().cast("array<struct<label:string,rank:int,first:bigint,past:bigint>>").alias("out"))
+    # only texts with a match of some rule have their words numbered
+    matched = F.when(gate, chosen).otherwise(F.array().cast("array<struct<label:string,pattern:string,numbered:string,rank:int>>"))
+    df = df.select("*", F.explode(F.array(matched)).alias("_rules"))
+    each = F.transform(F.split(F.trim(norm), "  "), lambda w, i: F.concat(F.lit(" "), w, F.lit("\x02"), i.cast("string"), F.lit(" ")))
+    numbered = F.when(F.size("_rules") > 0, F.array_join(each, "")).otherwise(F.lit(""))
+    df = df.select("*", F.explode(F.array(numbered)).alias("_numbered"))
 
-        def step(acc, piece):
-            hit, rest = F.substring_index(piece, "\x02", 1), F.substring_index(piece, "\x02", -1)
-            past = acc["at"] + _n_words(hit).cast("long")
-            found = F.struct(r["label"].alias("label"), r["rank"].alias("rank"), acc["at"].alias("first"), past.alias("past"))
-            return F.struct((past + _n_words(rest).cast("long")).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
-
-        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step)["out"]
+    def places_of(r):
+        place = lambda m, pattern: F.regexp_extract(m, pattern, 1).cast("long")
+        return F.transform(F.regexp_extract_all(F.col("_numbered"), r["numbered"], F.lit(1)), lambda m: F.struct(
+            r["label"].alias("label"), r["rank"].alias("rank"), place(m, "\x02([0-9]+)").alias("first"), (place(m, "\x02([0-9]+) $") + 1).alias("past")))
 
-    found = F.flatten(F.transform(chosen, places_of))
+    found = F.flatten(F.transform("_rules", places_of))
     ordered = F.array_sort(found, lambda a, b: F.when(a["first"] != b["first"], F.when(a["first"] < b["first"], -1).otherwise(1))
                            .when(a["past"] != b["past"], F.when(a["past"] > b["past"], -1).otherwise(1))
                            .when(a["rank"] != b["rank"], F.when(a["rank"] > b["rank"], -1).otherwise(1))
@@ -156,14 +123,25 @@ def scan(docs: DataFrame) -> DataFrame:
         ends = F.transform(acc["ends"], lambda e, i: F.when(i < d["rank"], F.greatest(e, d["past"])).otherwise(e))
         return F.when(inside, acc).otherwise(F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(d)).alias("out")))
 
-    detections = F.when(gate, F.aggregate(ordered, zero, keep)["out"]).otherwise(F.array().cast(kept_type))
+    df = df.select("*", F.explode(F.array(ordered)).alias("_ordered"))
+    # in stretches, so that what is kept is not copied for every detection
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size("_ordered") - 1) / STRETCH).cast("int")), lambda k: F.slice("_ordered", k * STRETCH + 1, STRETCH))
+    none = F.struct(zero["ends"].alias("ends"), F.array().cast(f"array<{kept_type}>").alias("out"))
+
+    def keep_stretch(acc, part):
+        inner = F.aggregate(part, F.struct(acc["ends"].alias("ends"), F.array().cast(kept_type).alias("out")), keep)
+        return F.get(F.transform(F.array(inner), lambda i: F.struct(i["ends"].alias("ends"), F.concat(acc["out"], F.array(i["out"])).alias("out"))), F.lit(0))
+
+    detections = F.when(F.size("_ordered") > 0, F.flatten(F.aggregate(stretches, none, keep_stretch)["out"])).otherwise(F.array().cast(kept_type))
     df = df.select("*", F.explode(F.array(detections)).alias("detections"))
     rank = F.coalesce(F.array_max(F.transform("detections", lambda d: d["rank"])), F.when(F.col("n_base") > 0, F.lit(2)), F.lit(0))
-    return df.withColumns({
+    df = df.withColumns({
         "base_labels": F.array_join("_base", ","),
         "labels": F.array_join(F.array_sort(F.array_union("_base", F.transform("detections", lambda d: d["label"]))), ","),
         "score": rank / F.lit(float(PRIORITIES)),
-    }).drop("_norm", "_base", "_words")
+    })
+    added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "detections", "score"]
+    return df.select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in added], *added)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
