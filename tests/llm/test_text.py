@@ -94,6 +94,30 @@ def test_html_main_text():
     assert html.main_text("<div><span>Same box</span></div><div>Own words</div>", set(shared)) == "Own words"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><h1 class="page-header">Title</h1><section id="related-work">Prior art</section><p>end', "Title\nPrior art\nend"),
+    ('<main><p>Text</p><article class="comment">I disagree</article></main>', "Text"),
+    ('<article><p>Text</p><div class="replies">me too</div><ul id="comments-list"><li>no</ul></article><article class="comment">hm</article>', "Text"),
+    ('<body><div class="cookie-banner">accept</div><div class="shared-values">Our values</div><div class="ad">buy</div>tail', "Our values\ntail"),
+    ('<article><p class="header">x</p><h2 class="header">Head</h2>a<br>b &eacute;&#233; &lt;c></article>', "Head\na\nb éé <c>"),
+    ("<p>one<p>two<!-- <p>no --><template><p>no</template><textarea>no</textarea>", "one\ntwo"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+    ("plain  text &amp; no tags <", "plain text & no tags <"),
+])
+def test_html_names_and_marks(page, text):
+    assert html.main_text(page, ()) == text
+
+
+def test_html_rows_of_every_kind(spark):
+    rows = [(1, "http://a/x", None, "t"), (2, None, "", "t"), (3, "http://[bad", "<p>x" * 60_000, "t"), (4, "http://a/x", "<p>same", "t"), (4, "http://a/x", "<p>same", "t"), (None, "http://a/y", "<p>same", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")
+    out = html.extract(pages)
+    assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
+    got = {(str(r.page_id), r.text[:4], r.n_chars) for r in out.collect()}
+    assert got == {("1", "", 0), ("2", "", 0), ("3", "x\nx\n", 119_999), ("4", "same", 4), ("None", "same", 4)} and out.count() == 6
+    assert html.extract(pages.limit(0)).count() == 0
+
+
 def test_language_id_on_two_scripts():
     texts = ["the cat and the dog"] * 5 + ["der hund und die katze"] * 5
     names, matrix, bias = langid.fit(np.packbits(np.stack([langid.presence(t) for t in texts]), axis=1), ["en"] * 5 + ["de"] * 5)

@@ -9,8 +9,10 @@ are deleted too. The main text is what is left of the article or main elements,
 body if none.
 
 Null, empty and malformed html give what can be read, else the empty text. Pages with the
-same main part count as one, so that a copied article stays. A null url is a host of its
-own name ''. Whole pages are read.
+same main part count as one, so that a copied article stays. A null url, or one that is no
+URL, is a host of its own name ''. Whole pages of any length and depth are read; repeated
+rows give repeated results, empty tables empty ones. Other columns stay; those called text
+or n_chars, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from trustloom.llm.common import cut, replace_columns, schema_with, table
 
 MIN_PAGES, MIN_SHARE = 5, 0.3
+HOST, KNOWN = "\x01host", "\x01known"  # names that no table has
 MAX_TEMPLATES = 200_000  # most template hashes that are broadcast; beyond, they are joined
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -39,8 +42,15 @@ _BLOCK = frozenset("address article aside blockquote body br dd details div dl d
 #: never deleted alone as templates
 _KEPT = frozenset("html body td th tr thead tbody tfoot dt dd caption".split())
 _DROP = frozenset("nav header footer aside form button select dialog menu head".split()) | set(_RAW)
-_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|cookie\w*|consent|notice|comments?|sidebar|menu|nav\w*|footer|header|promo\w*|related|share|"
-                   r"social|breadcrumbs?|newsletter|subscribe|popup|modal|sponsor\w*|widget)(?:$|[\s_-])", re.I)
+#: names, each a whole word of class, id or role, of what is never text of a page
+_NAMES = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense ad-slot ad-box ad-banner banner-ad banner cookie cookies cookie-banner cookie-notice cookie-bar cookie-consent
+consent consent-banner notice notices site-notice sidebar side-bar sidebar-left sidebar-right menu main-menu nav navbar nav-bar navigation main-nav site-nav topnav footer site-footer page-footer header
+site-header masthead promo promos promotion promotions related related-posts related-articles related-links related-stories share sharing share-buttons share-bar social social-links social-share
+social-media breadcrumb breadcrumbs newsletter newsletter-signup subscribe subscription popup pop-up modal overlay sponsor sponsors sponsored widget widgets pagination pager login signup search search-box
+contentinfo complementary search-form""".split())
+#: names of what readers wrote
+_READERS = re.compile(r"^(?:user-|reader-)?(?:comments?|replies|reply|responses?|disqus\w*|discussion)(?:-(?:list|thread|section|area|form|box|item|body|text|\d+))?$|^respond$")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _SPACE = re.compile(r"\s+")
@@ -102,13 +112,24 @@ def walk(root: Node):
         todo += [x for x in reversed(node.inside) if isinstance(x, Node)]
 
 
+def by_readers(node: Node) -> bool:
+    return bool(node.name) and any(_READERS.match(w) for w in node.name.lower().split())
+
+
 def boilerplate(node: Node) -> bool:
-    return node.tag in _DROP or (bool(node.name) and node.tag not in ("html", "body", "article", "main") and bool(_NAME.search(node.name)))
+    if node.tag in _DROP:
+        return True
+    if not node.name or node.tag in ("html", "body"):
+        return False
+    if by_readers(node):
+        return True
+    # an article or a heading is text whatever its name, and so is an element that its site names in a longer word
+    return node.tag not in ("article", "main") and node.tag not in _HEADINGS and any(w in _NAMES for w in node.name.lower().split())
 
 
 def tops_of(root: Node) -> list[Node]:
-    """The outermost article and main elements, or the root if there are none."""
-    nodes = [n for n in walk(root) if n.tag in ("article", "main")]
+    """The outermost article and main elements, those that readers wrote apart, or the root if there are none."""
+    nodes = [n for n in walk(root) if n.tag in ("article", "main") and not by_readers(n)]
     inner = {id(x) for n in nodes for x in walk(n) if x is not n}
     return [n for n in nodes if id(n) not in inner] or [root]
 
@@ -212,19 +233,19 @@ def extract(pages: DataFrame) -> DataFrame:
         def named(batches):
             for batch in batches:
                 hosts = [host(u) for u in batch.column(batch.schema.get_field_index("url")).to_pylist()]
-                yield replace_columns(batch, {"_host": pa.array(hosts, pa.string())})
+                yield replace_columns(batch, {HOST: pa.array(hosts, pa.string())})
 
-        pages = pages.mapInArrow(named, schema_with(pages, "_host string")).join(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("hash").alias("_known")), "_host", "left")
+        pages = pages.mapInArrow(named, schema_with(pages, f"`{HOST}` string")).join(found.groupBy(F.col("host").alias(HOST)).agg(F.collect_set("hash").alias(KNOWN)), HOST, "left")
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index
             urls, html_ = batch.column(at("url")).to_pylist(), batch.column(at("html")).to_pylist()
-            own = [set(k or ()) for k in batch.column(at("_known")).to_pylist()] if many else [sent.value.get(host(u), ()) for u in urls]
+            own = [set(k or ()) for k in batch.column(at(KNOWN)).to_pylist()] if many else [sent.value.get(host(u), ()) for u in urls]
             texts = [main_text(p, k) for p, k in zip(html_, own)]
             yield replace_columns(batch, {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.mapInArrow(run, schema_with(pages, "text string, n_chars long")).drop("_host", "_known")
+    return pages.mapInArrow(run, schema_with(pages, "text string, n_chars long")).drop(HOST, KNOWN)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
