@@ -1,66 +1,106 @@
 """Operator 6: quotation linking of chat messages.
 
-A line that starts with > marks is quoted, its level the number of marks. Every quoted
-line is normalised (lower case, white space runs one space, trimmed), hashed, and joined
-within its conversation to the earliest message that has the line as its own. A message
-answers the earlier message that owns most of its quoted lines of the lowest level found;
-ties go to the later message. Messages are ordered by the root of their reply chain, and
-by turn within it, and lose their quotes.
+A line that starts with > marks is quoted, its level the number of marks. Runs of lines of
+one level are passages: the quoted ones of a message, and its own paragraphs. Passages and
+lines are normalised (lower case, white space runs one space, trimmed, blank lines part
+passages), hashed, and joined within their conversation to the latest earlier message that
+has the same as its own. A line counts only where its whole passage is no message's. A
+message answers the earlier message that owns most of its quoted lines of the lowest level
+found; ties go to the later message. Messages lose their quotes and get the root and the
+depth of their reply chain: in the order of (root, turn) every message follows what it
+answers.
+
+The latest earlier owner is found as of the turn, in stretches of `STRETCH` turns, so that
+a line that a whole conversation shares costs rows, never pairs, and no task holds them all.
 
 Null texts count as empty, and the text of a message without lines of its own is empty.
-Rows with a null conv_id or turn are returned unlinked. Repeated (conv_id, turn) rows
-share their links and give a row each. A line is matched once however often it recurs,
-so a common line costs one row per message that quotes it.
+Rows with a null conv_id or turn are returned unlinked, each its own root. Rows that share
+(conv_id, turn) count as one message, share its links and give a row each. Texts of any
+length are read whole. Other columns stay; those of the added columns' names, in any case,
+are replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import cut, table
+from trustloom.llm.common import cut, table, together
 
 MARKS = r"^\s*(?:>\s?)+"
+STRETCH = 1024
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """Add `_lines`: array of (level, line) with the marks taken off."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\r?\n")
+def _lines(text):
+    """Array of (level, line) with the marks taken off."""
     level = lambda s: F.regexp_count(F.regexp_extract(s, MARKS, 0), F.lit(">"))
-    return messages.withColumn("_lines", F.transform(lines, lambda s: F.struct(level(s).alias("level"), F.regexp_replace(s, MARKS, "").alias("line"))))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda s: F.struct(level(s).alias("level"), F.regexp_replace(s, MARKS, "").alias("line")))
+
+
+def _hashed(text):
+    """128 bits."""
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("quotes"), text).alias("h2")
+
+
+def passages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, passages), each (conv_id, turn, run, level, n, h1, h2); own ones have level 0."""
+    once = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "text", F.xxhash64("text").alias("m")).dropDuplicates(["conv_id", "turn", "m"])
+    line = once.select("conv_id", "turn", "m", F.posexplode(_lines(F.col("text"))).alias("at", "l"))
+    line = line.select("conv_id", "turn", "m", "at", F.col("l.level").alias("level"), F.trim(F.regexp_replace(F.lower("l.line"), r"\s+", " ")).alias("line"))
+    line = line.withColumn("kind", F.when(F.col("line") == "", -1).otherwise(F.col("level")))
+    message = Window.partitionBy("conv_id", "turn", "m").orderBy("at")
+    line = line.withColumn("fresh", F.coalesce(F.col("kind") != F.lag("kind").over(message), F.lit(True)).cast("int")).withColumn("run", F.struct("m", F.sum("fresh").over(message).alias("k")))
+    line = cut(line.filter("line <> ''").select("conv_id", "turn", "run", "at", "level", "line"))
+    whole = line.groupBy("conv_id", "turn", "run", "level").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("text"))
+    return (line.select("conv_id", "turn", "run", "level", F.lit(1).cast("long").alias("n"), *_hashed(F.col("line"))),
+            whole.select("conv_id", "turn", "run", "level", "n", *_hashed(F.col("text"))))
+
+
+def owners(parts: DataFrame) -> DataFrame:
+    """The quoted parts with `owner`, the latest earlier turn that has the same part as its own, where there is one."""
+    key = ["conv_id", "h1", "h2"]
+    stretch = F.floor(F.col("turn") / STRETCH).alias("s")
+    own = parts.filter("level = 0").select(*key, "turn").distinct().select(*key, "turn", stretch, F.col("turn").alias("own"))
+    asked = parts.filter("level > 0").select(*key, "turn").distinct().select(*key, "turn", stretch, F.lit(None).cast("long").alias("own"))
+    every = own.unionByName(asked)
+    near = Window.partitionBy(*key, "s").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    last = every.groupBy(*key, "s").agg(F.max("own").alias("last")).withColumn("before", F.max("last").over(before)).drop("last")
+    found = every.withColumn("near", F.max("own").over(near)).filter("own is null").join(last, [*key, "s"]).select(*key, "turn", F.coalesce("near", "before").alias("owner")).filter("owner is not null")
+    return parts.filter("level > 0").join(found, [*key, "turn"])
 
 
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked): the message that each quoting message answers."""
-    whole = parsed(messages.filter("conv_id is not null and turn is not null"))
-    line = whole.select("conv_id", "turn", F.explode("_lines").alias("l")).select(
-        "conv_id", "turn", F.col("l.level").alias("level"), F.trim(F.regexp_replace(F.lower("l.line"), r"\s+", " ")).alias("line"))
-    line = line.filter("line <> ''").select("conv_id", "turn", "level", F.xxhash64("line").alias("h1"), F.crc32(F.col("line").cast("binary")).alias("h2"))
-    first = line.filter("level = 0").groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("owner"))
-    quoted = line.filter("level > 0").groupBy("conv_id", "turn", "h1", "h2").agg(F.min("level").alias("level"))
-    found = quoted.join(first, ["conv_id", "h1", "h2"]).filter("owner < turn").groupBy("conv_id", "turn", "owner").agg(F.min("level").alias("level"), F.count("*").alias("n"))
+    line, whole = passages(messages)
+    by_passage = cut(owners(whole))
+    rest = owners(line.filter("level = 0").unionByName(line.filter("level > 0").join(by_passage.select("conv_id", "turn", "run"), ["conv_id", "turn", "run"], "left_anti")))
+    found = by_passage.select("conv_id", "turn", "owner", "level", "n").unionByName(rest.select("conv_id", "turn", "owner", "level", "n"))
+    found = found.groupBy("conv_id", "turn", "owner", "level").agg(F.sum("n").alias("n"))
     best = F.max(F.struct(-F.col("level"), "n", "owner"))
     return found.groupBy("conv_id", "turn").agg(best.alias("b"), F.sum("n").alias("n_linked")).select("conv_id", "turn", F.col("b.owner").alias("reply_to"), "n_linked")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """Add reply_to, root, n_quoted, n_linked and own_text; sort by (conv_id, root, turn) to read in reply order."""
+    """Add reply_to, root, depth, n_quoted, n_linked and own_text."""
     link = cut(links(messages))
     # pointer doubling: every round halves the distance to the root
-    now = link.select("conv_id", "turn", F.col("reply_to").alias("root"))
+    now = link.select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).cast("long").alias("depth"))
     while True:
-        step = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("further"))
-        after = cut(now.join(step, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        step = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
+        after = cut(now.join(step, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")))
         now = after.drop("moved")
         if not after.filter("moved").limit(1).count():
             break
-    own = F.trim(F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
-    out = parsed(messages).withColumns({
-        "n_quoted": F.size(F.filter("_lines", lambda x: x["level"] > 0)).cast("long"), "own_text": own}).drop("_lines")
-    return out.join(link.join(now, ["conv_id", "turn"]), ["conv_id", "turn"], "left").withColumns({
-        "root": F.coalesce("root", "turn"), "n_linked": F.coalesce("n_linked", F.lit(0).cast("long"))})
+    lines = _lines(F.col("text"))
+    own = F.regexp_replace(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
+    whole = F.struct(F.lit(None).cast("int").alias("_"), *[F.col(f"`{c}`") for c in messages.columns]).alias("_all")
+    rows = messages.select(whole, "conv_id", "turn", F.size(F.filter(lines, lambda x: x["level"] > 0)).cast("long").alias("n_quoted"), own.alias("own_text"))
+    out = rows.join(link.join(now, ["conv_id", "turn"]), ["conv_id", "turn"], "left").withColumns({
+        "root": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0).cast("long")), "n_linked": F.coalesce("n_linked", F.lit(0).cast("long"))})
+    return together(out, messages, ["reply_to", "root", "depth", "n_quoted", "n_linked", "own_text"])
 
 
 def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return out.select("conv_id", "turn", "role", "reply_to", "root", "n_quoted", "n_linked", "own_text")
+    return out.select("conv_id", "turn", "role", "reply_to", "root", "depth", "n_quoted", "n_linked", "own_text")
