@@ -4,12 +4,15 @@ Each shard (an Arrow batch of rows) gets a ball tree. A query's inner product wi
 vector of a node is at most q.c + |q| r. Nodes are descended from the highest bound, and
 a node is left when its bound is below the query's current k-th score. That score is
 shared: it starts from an exact pass over a small seed set, and each task hands it on
-from shard to shard. Queries travel in blocks of bounded size.
+from shard to shard. Queries travel in blocks of about `BLOCK`; of several blocks, each
+is answered and its results written before the next one leaves the driver.
 
 Components become floor(1024 x). Null vectors and vectors that hold null or non-finite
 components take no part, on either side; neither do rows with a null id or another width
-than the widest's. Repeated ids are rows of their own, except that no row is a candidate
-for a query of its own id. Ties go to the smaller id.
+than the widest's. Repeated ids are candidates of their own, except that no row is one
+for a query of its own id; of queries that share an id the least vector asks. Ties go to
+the smaller id. Scores are exact as long as they fit 64 bits. An empty table, or one
+without a usable vector, gives no rows. Only the two columns named are looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import table
+from trustloom.llm.common import cut, table
 
 LEAF = 256
 SHARD_ROWS = 16384
@@ -119,6 +122,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def top_k(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of all rows but its own id's."""
     spark = rows.sparkSession
@@ -128,7 +136,7 @@ def top_k(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     vectors = vectors.filter(F.size("v") == width)
-    queries = vectors.filter(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
+    queries = cut(vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     n = queries.count()
     blocks = -(-n // BLOCK)
     seed = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEED_ROWS).collect()
@@ -168,11 +176,13 @@ def top_k(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids_[r]), pa.array(i_[r, c]), pa.array(s_[r, c])], ["query_id", "vec_id", "score"])
 
         part = vectors.mapInArrow(run, schema)
+        if blocks > 1:
+            part = cut(ranked(part, k).select("query_id", "vec_id", "score"))
+            sent.unpersist()
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(out, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
