@@ -43,17 +43,18 @@ def _hashed(text):
 
 
 def passages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, passages), each (conv_id, turn, run, level, n, h1, h2); own ones have level 0."""
+    """(lines, passages), each (conv_id, turn, m, k, level, n, h1, h2): run k of text m; own ones have level 0."""
     once = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "text", F.xxhash64("text").alias("m")).dropDuplicates(["conv_id", "turn", "m"])
     line = once.select("conv_id", "turn", "m", F.posexplode(_lines(F.col("text"))).alias("at", "l"))
     line = line.select("conv_id", "turn", "m", "at", F.col("l.level").alias("level"), F.trim(F.regexp_replace(F.lower("l.line"), r"\s+", " ")).alias("line"))
     line = line.withColumn("kind", F.when(F.col("line") == "", -1).otherwise(F.col("level")))
     message = Window.partitionBy("conv_id", "turn", "m").orderBy("at")
-    line = line.withColumn("fresh", F.coalesce(F.col("kind") != F.lag("kind").over(message), F.lit(True)).cast("int")).withColumn("run", F.struct("m", F.sum("fresh").over(message).alias("k")))
-    line = cut(line.filter("line <> ''").select("conv_id", "turn", "run", "at", "level", "line"))
-    whole = line.groupBy("conv_id", "turn", "run", "level").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("text"))
-    return (line.select("conv_id", "turn", "run", "level", F.lit(1).cast("long").alias("n"), *_hashed(F.col("line"))),
-            whole.select("conv_id", "turn", "run", "level", "n", *_hashed(F.col("text"))))
+    line = line.withColumn("fresh", F.coalesce(F.col("kind") != F.lag("kind").over(message), F.lit(True)).cast("int")).withColumn("k", F.sum("fresh").over(message))
+    line = line.filter("line <> ''").select("conv_id", "turn", "m", "k", "at", "level", "line")
+    # grouped where the windows left the rows
+    whole = line.groupBy("conv_id", "turn", "m", "k", "level").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("text"))
+    return (cut(line.select("conv_id", "turn", "m", "k", "level", F.lit(1).cast("long").alias("n"), *_hashed(F.col("line")))),
+            cut(whole.select("conv_id", "turn", "m", "k", "level", "n", *_hashed(F.col("text")))))
 
 
 def owners(parts: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked): the message that each quoting message answers."""
     line, whole = passages(messages)
     by_passage = cut(owners(whole))
-    rest = owners(line.filter("level = 0").unionByName(line.filter("level > 0").join(by_passage.select("conv_id", "turn", "run"), ["conv_id", "turn", "run"], "left_anti")))
+    rest = owners(line.filter("level = 0").unionByName(line.filter("level > 0").join(by_passage.select("conv_id", "turn", "m", "k"), ["conv_id", "turn", "m", "k"], "left_anti")))
     found = by_passage.select("conv_id", "turn", "owner", "level", "n").unionByName(rest.select("conv_id", "turn", "owner", "level", "n"))
     found = found.groupBy("conv_id", "turn", "owner", "level").agg(F.sum("n").alias("n"))
     best = F.max(F.struct(-F.col("level"), "n", "owner"))
