@@ -408,6 +408,65 @@ def session_windows(spark, sf):
     return streams.sessions(_rows(spark, sf, "events").drop("value"))
 
 
+def email_pii(spark, sf):
+    """The e-mail rule of T14: how many in each record that has one."""
+    pattern = next(p for name, p, _ in detect.SENSITIVE if name == "email")
+    m = memories(spark, sf).select("memory_id", F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("e"))
+    return m.filter(F.size("e") > 0).select("memory_id", F.size("e").cast("long").alias("n"), F.array_min("e").alias("first"))
+
+
+def antonym_pairs(spark, sf):
+    """How many records hold both words of a pair, or either."""
+    t = memories(spark, sf).select(F.array_distinct(text.words(c("content"))).alias("t"))
+    pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in contradict.ANTONYMS])
+    hit = t.select("t", F.explode(pairs).alias("p")).filter(F.array_contains("t", c("p.x")) | F.array_contains("t", c("p.y")))
+    return hit.groupBy("p.x", "p.y").agg(F.count("*").alias("either"), F.count(F.when(F.array_contains("t", c("p.x")) & F.array_contains("t", c("p.y")), 1)).alias("both"))
+
+
+def jaccard_pairs(spark, sf):
+    """Each benchmark item whose id is divisible by 20 and its ten records of most shared words."""
+    asked = _rows(spark, sf, "benchmark").filter("item_id % 20 = 0").select(c("item_id").alias("query_id"), F.array_distinct(text.words(c("text"))).alias("q"))
+    rows = memories(spark, sf).select("memory_id", F.array_distinct(text.words(c("content"))).alias("t"))
+    both = rows.join(F.broadcast(asked), F.arrays_overlap("t", "q")).select("query_id", "memory_id", F.round(embed.jaccard(c("t"), c("q")), 9).alias("score"))
+    return search.ranked(both, [F.desc("score"), "memory_id"], 10).select("query_id", "rank", "memory_id", "score")
+
+
+def record_edges(spark, sf):
+    """SC4, J3: records with the sorted ids of their edges, empty where there are none."""
+    m = memories(spark, sf).select("memory_id", "status")
+    one = m.filter(c("memory_id").cast("long") % 3 == 0).select("memory_id", F.lpad((c("memory_id").cast("long") + 1).cast("string"), 12, "0").alias("other_id"))
+    two = one.select(c("other_id").alias("memory_id"), c("memory_id").alias("other_id"))
+    gathered = one.unionByName(two).groupBy("memory_id").agg(F.array_sort(F.collect_set("other_id")).alias("e"))
+    return m.join(gathered, "memory_id", "left").select("memory_id", "status", F.coalesce(F.array_join("e", ","), F.lit("")).alias("contradicts"))
+
+
+def queue_clear(spark, sf):
+    """Two queues put together, those rejected cleared."""
+    m = memories(spark, sf).select(c("memory_id").alias("candidate_id"), F.when(hashed("status", c("memory_id").cast("long")) % 4 == 0, "rejected").otherwise("pending").alias("status"))
+    both = capture.appended(m, m.withColumn("candidate_id", F.concat(F.lit("n"), c("candidate_id"))))
+    return capture.cleared(both)
+
+
+def resolved(spark, sf):
+    """Each third record resolved in favour of the next."""
+    m = memories(spark, sf)
+    choice = m.filter(c("memory_id").cast("long") % 3 == 0).select(c("memory_id").alias("old_id"), F.lpad((c("memory_id").cast("long") + 1).cast("string"), 12, "0").alias("new_id"))
+    return lifecycle.resolve(m, choice).select("memory_id", "status", "superseded_by")
+
+
+def corrected(spark, sf):
+    """L4: each fifth record corrected; both rows stay."""
+    m = memories(spark, sf)
+    change = m.filter(c("memory_id").cast("long") % 5 == 0).select("memory_id", F.concat(F.lit("n"), c("memory_id")).alias("new_id"), F.lit("The database is DuckDB.").alias("content"))
+    return lifecycle.correct(m, change, now()).select("memory_id", "status", "superseded_by", "created_s", F.length("content").cast("long").alias("n_chars"))
+
+
+def ingest_policy(spark, sf):
+    """records that two policies reject are deleted; the first one's name is told."""
+    _, events = lifecycle.ingest_policy(memories(spark, sf), [("no_chat", c("source_type") != "slack"), ("no_pii", c("sensitivity") != "pii")])
+    return events.select("memory_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 def _sql_broken():
     k = sql_hashed("created").replace("doc_id", "CAST(memory_id AS BIGINT)") + " % 9"
     names = {0: "memory_id", 1: "content", 2: "source_type", 3: "source_ref", 5: "sensitivity", 6: "trust_score", 7: "updated_at", 8: "expires_at"}
@@ -532,6 +591,15 @@ SELECT memory_id, alive AND hidden AS omitted, alive AND NOT hidden AS usable, a
     "audit_masked": (audit_masked, """SELECT event_id, '{"apiKey": "[REDACTED]", "nested": [{"client_secret": "[REDACTED]", "n": ' || user_id || '}]}' AS event FROM events"""),
     "source_kinds": (source_kinds, S.SCORED_SQL + f" SELECT memory_id, source_type AS kind, CASE WHEN round(trust, 6) >= 0.7 THEN 'high' WHEN round(trust, 6) >= 0.4 THEN 'medium' ELSE 'low' END AS level, CASE WHEN length(source_ref) <= 10 THEN source_ref ELSE substr(source_ref, 1, 9) || '…' END AS short, confirmations * {DAY} AS seconds FROM scored"),
     "transcripts_scan": (transcripts_scan, "SELECT 'conversation-' || conv_id || '/' || turn AS source_ref, length(role || ': ' || coalesce(text, '')) AS n_chars FROM conversations"),
+    "email_pii": (email_pii, M + f", e AS (SELECT memory_id, regexp_extract_all(content, {S.q(next(p for name, p, _ in detect.SENSITIVE if name == 'email'))}) AS e FROM memories) SELECT memory_id, len(e) AS n, list_min(e) AS first FROM e WHERE len(e) > 0"),
+    "antonym_pairs": (antonym_pairs, M + ", t AS (SELECT list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM memories), p AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in contradict.ANTONYMS) + ") AS p(x, y)) SELECT x, y, count(*) AS either, count(*) FILTER (list_contains(t, x) AND list_contains(t, y)) AS \"both\" FROM t, p WHERE list_contains(t, x) OR list_contains(t, y) GROUP BY x, y"),
+    "jaccard_pairs": (jaccard_pairs, M + ", r AS (SELECT memory_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM memories), a AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark WHERE item_id % 20 = 0), "
+                      "s AS (SELECT query_id, memory_id, round(len(list_intersect(t, q))::DOUBLE / (len(t) + len(q) - len(list_intersect(t, q))), 9) AS score FROM r, a WHERE list_has_any(t, q)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s) SELECT query_id, CAST(rank AS INT) AS rank, memory_id, score FROM k WHERE rank <= 10"),
+    "record_edges": (record_edges, M + ", o AS (SELECT memory_id, lpad(CAST(CAST(memory_id AS BIGINT) + 1 AS VARCHAR), 12, '0') AS other_id FROM memories WHERE CAST(memory_id AS BIGINT) % 3 = 0), e AS (SELECT * FROM o UNION SELECT other_id, memory_id FROM o), g AS (SELECT memory_id, string_agg(other_id, ',' ORDER BY other_id) AS e FROM e GROUP BY memory_id) SELECT memory_id, status, coalesce(e, '') AS contradicts FROM memories LEFT JOIN g USING (memory_id)"),
+    "queue_clear": (queue_clear, M + f", c AS (SELECT memory_id AS candidate_id, CASE WHEN {sql_hashed('status').replace('doc_id', 'CAST(memory_id AS BIGINT)')} % 4 = 0 THEN 'rejected' ELSE 'pending' END AS status FROM memories) SELECT * FROM (SELECT * FROM c UNION ALL SELECT 'n' || candidate_id, status FROM c) WHERE status <> 'rejected'"),
+    "resolved": (resolved, M + ", m AS (SELECT memory_id, status, CAST(memory_id AS BIGINT) AS k FROM memories) SELECT memory_id, CASE WHEN k % 3 = 0 THEN 'superseded' WHEN k % 3 = 1 AND k - 1 IN (SELECT k FROM m) AND status IN ('disputed', 'superseded', 'outdated') THEN 'active' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN lpad(CAST(k + 1 AS VARCHAR), 12, '0') END AS superseded_by FROM m"),
+    "corrected": (corrected, M + f" SELECT memory_id, CASE WHEN CAST(memory_id AS BIGINT) % 5 = 0 THEN 'corrected' ELSE status END AS status, CASE WHEN CAST(memory_id AS BIGINT) % 5 = 0 THEN 'n' || memory_id END AS superseded_by, created_s, length(content) AS n_chars FROM memories UNION ALL SELECT 'n' || memory_id, 'active', NULL, {NOW_S}, 23 FROM memories WHERE CAST(memory_id AS BIGINT) % 5 = 0"),
+    "ingest_policy": (ingest_policy, M + " SELECT memory_id, CASE WHEN source_type = 'slack' THEN 'no_chat' ELSE 'no_pii' END AS reasons FROM memories WHERE source_type = 'slack' OR sensitivity = 'pii'"),
     "tumbling_counts": (tumbling_counts, f"SELECT event_type, CAST(floor(epoch(ts) / {DAY}) * {DAY} AS BIGINT) AS start_s, CAST(floor(epoch(ts) / {DAY}) * {DAY} + {DAY} AS BIGINT) AS end_s, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS total FROM events GROUP BY ALL"),
     "sliding_counts": (sliding_counts, f"WITH w AS (SELECT event_type, CAST(floor(epoch(ts) / {DAY // 2}) * {DAY // 2} AS BIGINT) - o AS start_s FROM events, (SELECT unnest([0, {DAY // 2}]) AS o)) SELECT event_type, start_s, start_s + {DAY} AS end_s, count(*) AS n FROM w GROUP BY ALL"),
     "session_windows": (session_windows, """WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 7200 THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
