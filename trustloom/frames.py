@@ -19,6 +19,12 @@ def reachable(spark: SparkSession) -> None:
     environment.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, read from fewer files than there are cores, dealt out to all of them; of many files as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, its lineage cut. Only local sessions get a folder of their own."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext

@@ -112,7 +112,7 @@ def negation_flags(spark, sf):
 
 def decision_extract(spark, sf):
     """T8-T11."""
-    m = memories(spark, sf).withColumn("d", decisions.found(c("content"))).filter("d is not null")
+    m = memories(spark, sf).select("memory_id", "content", F.explode(F.array_compact(F.array(decisions.found(c("content"))))).alias("d"))
     return m.select("memory_id", "d.key", "d.value", decisions.label(c("d.key")).alias("label"), decisions.has_cue(c("content")).alias("cue"))
 
 
@@ -123,7 +123,7 @@ def query_intents(spark, sf):
 
 def poison_scan(spark, sf):
     """T13, A4, W7, X22."""
-    m = _scored(spark, sf).withColumn("p", detect.poison(c("content"))).filter("p.is_poisoned")
+    m = _scored(spark, sf).select("memory_id", "trust", F.explode(F.filter(F.array(detect.poison(c("content"))), lambda p: p["is_poisoned"])).alias("p"))
     return m.select("memory_id", F.array_join("p.categories", ",").alias("categories"), F.round("p.severity", 6).alias("severity"), F.round(c("trust") * (1 - c("p.severity")), 6).alias("trust"))
 
 

@@ -8,6 +8,8 @@ the decision, detector and contradiction rules look for.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.frames import dealt
+
 NOW = "2024-06-01 12:00:00"
 NOW_S, START_S, DAY = 1717243200, 1704067200, 86400
 SOURCES = ("commit", "file", "api", "jira", "user", "slack")
@@ -39,7 +41,7 @@ def pick(values, field: str):
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"))
     created = F.lit(START_S) + hashed("created") * 7919 % (150 * DAY)
     scope, corrections = pick(SCOPES, "scope"), hashed("corrections") % 4
     kind = pick(CORRECTIONS, "correction")
