@@ -61,6 +61,11 @@ def hot_join(rows: DataFrame, values: DataFrame, key: str, share: int = 1000) ->
     return common.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(values, key))
 
 
+def let(value, body):
+    """body(value), the value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def crc_rest(col: str, modulus: int):
     """crc32 of the id as text modulo `modulus`; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

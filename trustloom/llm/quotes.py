@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import cut, table, together
+from trustloom.llm.common import cut, let, table, together
 
 MARKS = r"^\s*(?:>\s?)+"
 STRETCH = 1024
@@ -37,46 +37,49 @@ def _lines(text):
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda s: F.struct(level(s).alias("level"), F.regexp_replace(s, MARKS, "").alias("line")))
 
 
-def _hashed(text):
-    """128 bits."""
-    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("quotes"), text).alias("h2")
-
-
-def passages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, passages), each (conv_id, turn, m, k, level, n, h1, h2): run k of text m; own ones have level 0."""
-    once = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "text", F.xxhash64("text").alias("m")).dropDuplicates(["conv_id", "turn", "m"])
-    line = once.select("conv_id", "turn", "m", F.posexplode(_lines(F.col("text"))).alias("at", "l"))
-    line = line.select("conv_id", "turn", "m", "at", F.col("l.level").alias("level"), F.trim(F.regexp_replace(F.lower("l.line"), r"\s+", " ")).alias("line"))
-    line = line.withColumn("kind", F.when(F.col("line") == "", -1).otherwise(F.col("level")))
-    message = Window.partitionBy("conv_id", "turn", "m").orderBy("at")
-    line = line.withColumn("fresh", F.coalesce(F.col("kind") != F.lag("kind").over(message), F.lit(True)).cast("int")).withColumn("k", F.sum("fresh").over(message))
-    line = line.filter("line <> ''").select("conv_id", "turn", "m", "k", "at", "level", "line")
-    # grouped where the windows left the rows
-    whole = line.groupBy("conv_id", "turn", "m", "k", "level").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("text"))
-    return (cut(line.select("conv_id", "turn", "m", "k", "level", F.lit(1).cast("long").alias("n"), *_hashed(F.col("line")))),
-            cut(whole.select("conv_id", "turn", "m", "k", "level", "n", *_hashed(F.col("text")))))
-
-
-def owners(parts: DataFrame) -> DataFrame:
-    """The quoted parts with `owner`, the latest earlier turn that has the same part as its own, where there is one."""
-    key = ["conv_id", "h1", "h2"]
+def passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, h, lines): each passage's level, its hash and its lines' hashes; own ones have level 0.
+
+    Found within the row: lines are joined again with a mark between them and another where
+    their kind changes, and parted at the marks.
+    """
+    flat = F.transform(_lines(F.col("text")), lambda x: F.struct(x["level"].alias("level"), F.trim(F.regexp_replace(F.lower(x["line"]), r"[\s\x02\x03]+", " ")).alias("line")))
+    kind = lambda x: F.when(x["line"] == "", -1).otherwise(x["level"])
+    fresh = lambda a, x, i: (i == 0) | (kind(F.get(a, i - 1)) != kind(x))
+    start = lambda x: F.concat(F.lit("\x03"), kind(x).cast("string"), F.lit("\x02"))
+    marked = let(flat, lambda a: F.array_join(F.transform(a, lambda x, i: F.concat(F.when(fresh(a, x, i), start(x)).otherwise(F.lit("\x02")), x["line"])), ""))
+    runs = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.xxhash64("text").alias("m"), F.explode(F.split(marked, "\x03")).alias("run"))
+    parts = F.split("run", "\x02")
+    runs = runs.select("conv_id", "turn", "m", F.get(parts, F.lit(0)).try_cast("int").alias("level"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("lines")).filter("level >= 0")
+    runs = runs.select("conv_id", "turn", "m", "level", F.xxhash64(F.array_join("lines", " ")).alias("h"), F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"))
+    # rows that share a message's text say it once; a text may hold a passage several times
+    again = messages.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn", F.xxhash64("text").alias("m")).count().filter("count > 1").select("conv_id", "turn", "m", "count")
+    runs = runs.groupBy("conv_id", "turn", "m", "level", "h", "lines").agg(F.count("*").alias("times")).join(again, ["conv_id", "turn", "m"], "left")
+    return runs.select("conv_id", "turn", "level", "h", "lines", (F.col("times") / F.coalesce("count", F.lit(1))).cast("long").alias("times"))
+
+
+def owners(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (conv_id, h, turn, ...) with `owner`, the latest earlier turn that has the same h among own, where there is one."""
+    key = ["conv_id", "h"]
     stretch = F.floor(F.col("turn") / STRETCH).alias("s")
-    own = parts.filter("level = 0").select(*key, "turn").distinct().select(*key, "turn", stretch, F.col("turn").alias("own"))
-    asked = parts.filter("level > 0").select(*key, "turn").distinct().select(*key, "turn", stretch, F.lit(None).cast("long").alias("own"))
-    every = own.unionByName(asked)
+    mine = own.select(*key, "turn").distinct().select(*key, "turn", stretch, F.col("turn").alias("own"))
+    wanted = asked.select(*key, "turn").distinct().select(*key, "turn", stretch, F.lit(None).cast("long").alias("own"))
+    every = mine.join(wanted.select(*key).distinct(), key, "left_semi").unionByName(wanted)  # parts that nobody quotes stay behind
     near = Window.partitionBy(*key, "s").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*key).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     last = every.groupBy(*key, "s").agg(F.max("own").alias("last")).withColumn("before", F.max("last").over(before)).drop("last")
     found = every.withColumn("near", F.max("own").over(near)).filter("own is null").join(last, [*key, "s"]).select(*key, "turn", F.coalesce("near", "before").alias("owner")).filter("owner is not null")
-    return parts.filter("level > 0").join(found, [*key, "turn"])
+    return asked.join(found, [*key, "turn"])
 
 
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked): the message that each quoting message answers."""
-    line, whole = passages(messages)
-    by_passage = cut(owners(whole))
-    rest = owners(line.filter("level = 0").unionByName(line.filter("level > 0").join(by_passage.select("conv_id", "turn", "m", "k"), ["conv_id", "turn", "m", "k"], "left_anti")))
-    found = by_passage.select("conv_id", "turn", "owner", "level", "n").unionByName(rest.select("conv_id", "turn", "owner", "level", "n"))
+    whole = cut(passages(messages))
+    own, quoted = whole.filter("level = 0"), whole.filter("level > 0")
+    by_passage = cut(owners(own, quoted))
+    line = lambda df: df.select("conv_id", "turn", "level", "times", F.explode("lines").alias("h"))
+    rest = owners(line(own), line(quoted.join(by_passage.select("conv_id", "turn", "h").distinct(), ["conv_id", "turn", "h"], "left_anti")))
+    found = by_passage.select("conv_id", "turn", "owner", "level", (F.size("lines") * F.col("times")).alias("n")).unionByName(rest.select("conv_id", "turn", "owner", "level", F.col("times").alias("n")))
     found = found.groupBy("conv_id", "turn", "owner", "level").agg(F.sum("n").alias("n"))
     best = F.max(F.struct(-F.col("level"), "n", "owner"))
     return found.groupBy("conv_id", "turn").agg(best.alias("b"), F.sum("n").alias("n_linked")).select("conv_id", "turn", F.col("b.owner").alias("reply_to"), "n_linked")
