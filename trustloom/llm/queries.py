@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL that some of them are held against."""
 
-from trustloom.llm import bpe, decontaminate, html, langid, licenses, lm, pii, quotes, simhash, topk
+from trustloom.llm import align, bpe, decontaminate, html, langid, licenses, lm, pii, quotes, simhash, topk
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op8_licenses": licenses.op8_licenses,
         "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
+        "op13_align": align.op13_align,
     }
 
 
