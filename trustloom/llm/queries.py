@@ -1,6 +1,6 @@
 """The subpackage's queries and the SQL that some of them are held against."""
 
-from trustloom.llm import align, bpe, decontaminate, html, langid, licenses, lm, pii, quotes, simhash, topk
+from trustloom.llm import align, ann, bpe, decontaminate, html, langid, licenses, lm, pii, quotes, simhash, topk, trie
 
 
 def queries():
@@ -15,9 +15,11 @@ def queries():
         "op8_licenses": licenses.op8_licenses,
         "op9_pii": pii.op9_pii,
         "op10_simhash": simhash.op10_simhash,
+        "op11_ann": ann.op11_ann,
+        "op12_trie": trie.op12_trie,
         "op13_align": align.op13_align,
     }
 
 
 def oracle_sql():
-    return {"op3_topk": topk.ORACLE_SQL}
+    return {"op3_topk": topk.ORACLE_SQL, "op12_trie": trie.ORACLE_SQL}
