@@ -60,16 +60,7 @@ class Engine:
         old = before.select("memory_id", F.struct(*[F.col(s) for s in state]).alias("_old"))
         changed = rows.join(old, "memory_id", "left").filter(F.col("_old").isNull() | ~F.struct(*[F.col(s) for s in state]).eqNullSafe(F.col("_old")))
         changed = complete(changed)
-        known = self.store.table("records").select("memory_id")
-        new, old_rows = changed.join(known, "memory_id", "left_anti"), changed.join(known, "memory_id", "left_semi")
-        path = f"{self.root}/staged-{uuid.uuid4().hex}"  # both writes read one settled result
-        new.withColumn("_new", F.lit(True)).unionByName(old_rows.withColumn("_new", F.lit(False))).write.parquet(path)
-        staged = self.spark.read.parquet(path)
-        if staged.filter("not _new").limit(1).count():
-            self.store.update(staged.filter("not _new").drop("_new"))
-        if staged.filter("_new").limit(1).count():
-            self.store.add(staged.filter("_new").drop("_new"))
-        self.store._fs.delete(self.store._path(path), True)
+        self.store.put(changed)
 
     # -- verbs
 
