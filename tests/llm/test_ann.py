@@ -55,6 +55,7 @@ def test_recall(spark, monkeypatch, kind):
 def test_leaves_are_left_out_where_vectors_cluster():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((8192, 24)) * 0.05 + rng.standard_normal((64, 24))[rng.integers(64, size=8192)]
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
     shard = ann.Shard(np.arange(8192), x, float(np.sqrt((x * x).sum(axis=1).max())))
     shard.search(np.arange(100), x[:100], np.full(100, -np.inf), 10, ann.quantile(ann.SURE))
     assert shard.verified < 0.6 * 100 * 8192

@@ -30,7 +30,17 @@ def test_language_stage_drops_texts_without_letters_alone(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     out = corpus_pipeline.language(spark, docs, "")
     assert out.columns == docs.columns
-    assert plain(out) == sorted(repr(r) for r in rows if r[1] and any(map(str.isalpha, r[1])))
+    kept = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    assert plain(out.drop("lang")) == sorted(repr((*r[:2], *r[3:])) for r in kept)
+    given = {repr(r) for r in kept if r[2]}
+    assert given <= set(plain(out)) and {r.lang for r in out.collect()} == {"en", "de"}  # found where none was given
+
+
+def test_language_stage_without_labels_or_rows(spark, rows):
+    bare = [(*r[:2], None, *r[3:]) for r in rows]
+    docs = spark.createDataFrame(bare, SCHEMA)
+    assert plain(corpus_pipeline.language(spark, docs, "")) == sorted(repr(r) for r in bare if r[1] and any(map(str.isalpha, r[1])))
+    assert corpus_pipeline.language(spark, docs.limit(0), "").columns == docs.columns
 
 
 def test_near_duplicate_stage_keeps_one_of_each(spark, rows):
@@ -45,7 +55,7 @@ def test_near_duplicate_stage_keeps_one_of_each(spark, rows):
 
 
 def test_decontamination_stage_equals_edit_distances(spark, rows, tmp_path):
-    items = [(1, rows[20][1]), (2, rows[25][1]), (3, "no such passage stands in any of the rows here")]
+    items = [(1, rows[20][1]), (None, rows[25][1]), (3, "no such passage stands in any of the rows here")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame(rows, SCHEMA)
     want = [r for r in rows if not (r[1] and any(x and brute(x, r[1]) is not None for _, x in items))]
@@ -76,4 +86,7 @@ def test_run_applies_all_stages_in_order(spark, rows, tmp_path):
     spark.createDataFrame([(1, rows[20][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert 0 < len(out) < len(rows) and all(r.round_trip and r.n_tokens for r in out)
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "bpe"]

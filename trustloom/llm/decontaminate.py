@@ -257,25 +257,31 @@ def _index(key: str, items) -> Index:
 def _found(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> DataFrame:
     """docs, reduced to (_key, text), against the benchmark: (_key, item_id, edits)."""
     spark = docs.sparkSession
-    items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
+    items = benchmark.filter("text is not null").select("item_id", "text").distinct()
+    kind = items.schema["item_id"].dataType
+    arrow = to_arrow_type(kind)
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_chars))
-    schema = StructType([docs.schema["_key"], StructField("item_id", LongType()), StructField("edits", IntegerType())])
+    schema = StructType([docs.schema["_key"], StructField("item_id", kind), StructField("edits", IntegerType())])
     key_type = to_arrow_type(docs.schema["_key"].dataType)
     out = None
     for block in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = sorted((r.item_id, r.text) for r in mine.collect())
-        sent, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
-        del rows
+        got = mine.collect()
+        # an item is known by its place among those of its id, null too; ids are told at the end
+        names = list(dict.fromkeys(r.item_id for r in got))
+        number = {name: k for k, name in enumerate(names)}
+        rows = sorted((number[r.item_id], r.text) for r in got)
+        sent, name = spark.sparkContext.broadcast((rows, names)), uuid.uuid4().hex
+        del rows, got
 
         def run(batches, sent=sent, name=name):
             for batch in batches:
-                index = _index(name, sent.value)
+                index = _index(name, sent.value[0])
                 found = index.scan(batch.column(1).to_pylist())
                 place = pa.array([p for p, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(place).cast(key_type), pa.array([i for _, i, _ in found], pa.int64()), pa.array([e for *_, e in found], pa.int32())],
+                    [batch.column(0).take(place).cast(key_type), pa.array([sent.value[1][i] for _, i, _ in found], arrow), pa.array([e for *_, e in found], pa.int32())],
                     ["_key", "item_id", "edits"])
 
         part = docs.mapInArrow(run, schema)
