@@ -45,7 +45,7 @@ class Engine:
         return settle(r.withColumns({
             "created_s": F.unix_seconds("created_at"), "expires_s": F.unix_seconds("expires_at"), "n_contradicts": trust.unresolved(F.col("contradicts")).cast("long"), "trust": F.col("trust_score"),
             "correction": F.coalesce(member("correction"), member("correction_kind")), "corrections": member("corrections").try_cast("long"),
-            "superseded_by": member("superseded_by"), "supersedes": F.coalesce(F.from_json(member("supersedes"), "array<string>"), F.array().cast("array<string>"))}))
+            "superseded_by": member("superseded_by"), "supersedes": trust.listed(member("supersedes"))}))
 
     def _save(self, after: DataFrame, before: DataFrame) -> None:
         """Write back rows whose trust, status, edges or lineage changed, and new ones."""
@@ -131,9 +131,7 @@ class Engine:
             if self.get(i) is None:
                 raise KeyError(i)
         before = self.records()
-        link = F.when(F.col("memory_id") == old_id, F.array(F.lit(new_id))).when(F.col("memory_id") == new_id, F.array(F.lit(old_id))).otherwise(F.array().cast("array<string>"))
-        after = lifecycle.resolve(before, self.spark.createDataFrame([(old_id, new_id)], "old_id string, new_id string"))
-        self._save(after.withColumn("contradicts", F.array_sort(F.array_union("contradicts", link))), before)
+        self._save(lifecycle.resolve(before, self.spark.createDataFrame([(old_id, new_id)], "old_id string, new_id string")), before)
 
     def delete(self, memory_id: str) -> None:
         self.store.soft_delete(memory_id)

@@ -25,13 +25,19 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut. Only local sessions get a folder of their own."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Only local sessions get a folder of their own."""
+    named, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not named and not sc._jsc.sc().getCheckpointDir().isDefined():
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "trustloom-checkpoints"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

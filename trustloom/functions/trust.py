@@ -64,6 +64,12 @@ def correction_of(metadata: Column) -> Column:
     return correction_signal(F.coalesce(member("correction"), member("correction_kind")), member("corrections").try_cast("int"))
 
 
+def listed(member: Column) -> Column:
+    """A JSON member that is a list, or one value, or missing, as an array of strings."""
+    none = F.array().cast("array<string>")
+    return F.when(member.isNull(), none).when(member.startswith("["), F.coalesce(F.from_json(member, "array<string>"), none)).otherwise(F.array(member))
+
+
 def trust_score(a: Column, f: Column, c: Column, p: Column, s: Column, k: Column) -> Column:
     w = WEIGHTS
     return clamp01(w["authority"] * a + w["freshness"] * f + w["confirmation"] * c + w["contradiction"] * (1 - p)

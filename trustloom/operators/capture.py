@@ -66,7 +66,9 @@ def extract(transcripts: DataFrame) -> DataFrame:
     rows = sentences(transcripts).withColumn("secret", detect.contains_secret(F.col("chunk")))
     rows = rows.filter(F.col("secret") | ~F.col("chunk").rlike(NOISE))
     c = F.col("chunk")
-    rows = rows.withColumns({"decision": decisions.found(rewritten(c)), "old": decisions.trimmed(supersedes_value(c))})
+    # worked out once, behind a generator: what reads it would else repeat it, and outgrow a compiled method
+    read = F.struct(decisions.found(rewritten(c)).alias("decision"), decisions.trimmed(supersedes_value(c)).alias("old"))
+    rows = rows.select("source_ref", "source_type", "line", "part", "chunk", "secret", F.explode(F.array(read)).alias("read")).select("*", "read.decision", "read.old").drop("read")
     old = F.col("old")
 
     def decided(key, value, confidence, old=none("string")):

@@ -77,9 +77,10 @@ def correct(records: DataFrame, corrections: DataFrame, now_s: Column) -> DataFr
     known = corrections.join(records.select("memory_id").withColumn("_known", F.lit(True)), "memory_id", "left")
     known = known.withColumn("memory_id", F.when(F.col("_known"), F.col("memory_id")).otherwise(F.raise_error(F.concat(F.lit("unknown memory_id "), F.col("memory_id")))))
     change = known.select("memory_id", "new_id", F.col("content").alias("_content"))
+    given = lambda name, other: F.col(name) if name in records.columns else other
     joined = records.join(change, "memory_id", "left")
     old = joined.withColumns({
-        "status": F.when(F.col("new_id").isNotNull(), "corrected").otherwise(F.col("status")), "superseded_by": F.col("new_id"),
+        "status": F.when(F.col("new_id").isNotNull(), "corrected").otherwise(F.col("status")), "superseded_by": F.coalesce("new_id", given("superseded_by", F.lit(None).cast("string"))),
         "correction": F.when(F.col("new_id").isNotNull(), "supersede").otherwise(F.col("correction"))})
     new = joined.filter("new_id is not null").withColumns({
         "supersedes": F.array("memory_id"), "content": F.col("_content"), "status": F.lit("active"), "created_s": now_s.cast("long"), "correction": F.lit(None).cast("string")})
@@ -88,14 +89,23 @@ def correct(records: DataFrame, corrections: DataFrame, now_s: Column) -> DataFr
 
 
 def resolve(records: DataFrame, choices: DataFrame) -> DataFrame:
-    """records after choices (old_id, new_id): the old ones superseded, the new ones active again if they were out of use."""
+    """records after choices (old_id, new_id): the old ones superseded, the new ones active again if they were out of use.
+
+    What a record superseded before stays in its list; where `records` has contradicts, both sides of a choice name each other there.
+    """
     old = choices.groupBy(F.col("old_id").alias("memory_id")).agg(F.max("new_id").alias("_by"))
     new = choices.groupBy(F.col("new_id").alias("memory_id")).agg(F.array_sort(F.collect_set("old_id")).alias("_over"))
     out = records.join(old, "memory_id", "left").join(new, "memory_id", "left")
     status = F.when(F.col("_by").isNotNull(), "superseded").when(F.col("_over").isNotNull() & F.col("status").isin("disputed", "superseded", "outdated"), "active").otherwise(F.col("status"))
     none = F.array().cast("array<string>")
-    return out.withColumns({"status": status, "superseded_by": F.coalesce("_by", F.col("superseded_by") if "superseded_by" in records.columns else F.lit(None)),
-                            "supersedes": F.coalesce("_over", F.col("supersedes") if "supersedes" in records.columns else none, none)}).drop("_by", "_over")
+    given = lambda name, other: F.coalesce(F.col(name), other) if name in records.columns else other
+    out = out.withColumns({"status": status, "superseded_by": F.coalesce("_by", given("superseded_by", F.lit(None).cast("string"))), "supersedes": F.array_union(given("supersedes", none), F.coalesce("_over", none))}).drop("_by", "_over")
+    if "contradicts" not in records.columns:
+        return out
+    both = choices.select(F.col("old_id").alias("memory_id"), F.col("new_id").alias("other")).unionByName(choices.select(F.col("new_id").alias("memory_id"), F.col("old_id").alias("other")))
+    met = both.groupBy("memory_id").agg(F.collect_set("other").alias("_met"))
+    linked = F.array_sort(F.array_union(F.coalesce("contradicts", none), F.coalesce("_met", none)))
+    return out.join(met, "memory_id", "left").withColumn("contradicts", F.when(F.col("_met").isNull(), F.col("contradicts")).otherwise(linked)).drop("_met")
 
 
 def ingest_policy(records: DataFrame, policies: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -111,11 +121,11 @@ def create(new: DataFrame, records: DataFrame, now_s: Column, policies: list[tup
     fresh = detectors.inspect(new.withColumn("trust_score", F.lit(0.0))).drop("trust_score").join(records.select("memory_id"), "memory_id", "left_anti")
     ids = fresh.select(F.col("memory_id").alias("_new")).distinct()
     every = records.unionByName(fresh, allowMissingColumns=True)
-    asked = every.join(F.broadcast(ids), F.col("memory_id") == F.col("_new"), "left").withColumn("_new", F.col("_new").isNotNull())
+    asked = every.join(ids, F.col("memory_id") == F.col("_new"), "left").withColumn("_new", F.col("_new").isNotNull())
     out = evaluate(every, contradict.scan(asked, F.col("_new")), now_s)
     if not policies:
         return out, out.limit(0).select(F.lit("ingest_rejected").alias("event"), "memory_id", F.array("status").alias("reasons"), "sensitivity")
-    marked = out.join(F.broadcast(ids), F.col("memory_id") == F.col("_new"), "left")
+    marked = out.join(ids, F.col("memory_id") == F.col("_new"), "left")
     return tuple(df.drop("_new") if "_new" in df.columns else df for df in ingest_policy(marked, [(n, F.col("_new").isNull() | a) for n, a in policies]))
 
 

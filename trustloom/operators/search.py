@@ -92,7 +92,9 @@ def inverted(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     lengths = t.select("memory_id", (F.size("a") + F.size("b")).cast("long").alias("size"))
     place = lambda column, start: F.transform(column, lambda x, i: F.struct(x.alias("term"), (i + start).alias("at")))
     every = F.concat(place(F.col("a"), F.lit(0)), place(F.col("b"), F.size("a") + 1))
-    places = t.select("memory_id", F.explode(every).alias("p")).select("memory_id", "p.term", "p.at").join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    asked = [r.term for r in wanted.select("term").distinct().collect()]  # of stated queries, few
+    near = F.filter(every, lambda p: p["term"].isin(asked)) if asked else F.filter(every, lambda p: F.lit(False))
+    places = t.select("memory_id", F.explode(near).alias("p")).select("memory_id", "p.term", "p.at")
     return lengths, places
 
 

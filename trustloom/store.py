@@ -45,19 +45,18 @@ class Conflict(RuntimeError):
     """Others kept changing the same buckets."""
 
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str, id_pattern: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.root, self.id_pattern = spark, root.rstrip("/"), id_pattern
+class Log:
+    """A folder's numbered manifests: the highest is what holds."""
+
+    def __init__(self, spark: SparkSession, root: str, first: dict):
+        self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/log"))
         if self.version() is None:
             if self._listed("data"):
                 raise ValueError(f"{self.root} holds files but no log")
-            self._publish({"version": 0, "buckets": buckets, "tables": {name: {} for name in TABLES}, "changed": {}, "did": "create"})
-        self.buckets = self.manifest()["buckets"]
-
-    # -- the log
+            self._publish({"version": 0, "did": "create"} | first)
 
     def _listed(self, folder: str) -> list[str]:
         path = self._path(f"{self.root}/{folder}")
@@ -110,6 +109,37 @@ class Store:
             raise
         return True
 
+    def _drop(self, folder: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+
+    def _named(self, manifest: dict) -> set[str]:
+        """Names under data/ that a manifest reads."""
+        raise NotImplementedError
+
+    def vacuum(self, keep: int = 2, older_than_s: float = 86400) -> list[str]:
+        """Drop manifests but the last `keep`, and folders that none of those names and that are older than a writer may need."""
+        numbers = self.versions()
+        for number in numbers[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/log/{number:020d}.json"), False)
+        named = {name for number in numbers[-keep:] for name in self._named(self.manifest(number))}
+        gone = []
+        for folder in ("data", "staged"):
+            for name in self._listed(folder):
+                path = self._path(f"{self.root}/{folder}/{name}")
+                if name not in named and self._fs.getFileStatus(path).getModificationTime() / 1000 <= time.time() - older_than_s:
+                    self._fs.delete(path, True)
+                    gone.append(name)
+        return gone
+
+
+class Store(Log):
+    def __init__(self, spark: SparkSession, root: str, id_pattern: str | None = None, buckets: int = BUCKETS):
+        super().__init__(spark, root, {"buckets": buckets, "tables": {name: {} for name in TABLES}, "changed": {}})
+        self.id_pattern, self.buckets = id_pattern, self.manifest()["buckets"]
+
+    def _named(self, manifest: dict) -> set[str]:
+        return {p.split("/")[1] for at in manifest["tables"].values() for p in at.values()}
+
     def _commit(self, did: str, change: Callable[[dict], dict[str, dict[str, str | None]] | None]) -> int:
         """Run `change` on the latest manifest and publish what it made: folders by table and bucket, None for no rows.
 
@@ -134,21 +164,6 @@ class Store:
                 base = self.manifest(last)
         raise Conflict(f"{did}: {ATTEMPTS} attempts met others' changes")
 
-    def vacuum(self, keep: int = 2, older_than_s: float = 86400) -> list[str]:
-        """Drop manifests but the last `keep`, and folders that none of those names and that are older than a writer may need."""
-        numbers = self.versions()
-        for number in numbers[:-keep]:
-            self._fs.delete(self._path(f"{self.root}/log/{number:020d}.json"), False)
-        named = {p.split("/")[1] for number in numbers[-keep:] for at in self.manifest(number)["tables"].values() for p in at.values()}
-        gone = []
-        for folder in ("data", "staged"):
-            for name in self._listed(folder):
-                path = self._path(f"{self.root}/{folder}/{name}")
-                if name not in named and self._fs.getFileStatus(path).getModificationTime() / 1000 <= time.time() - older_than_s:
-                    self._fs.delete(path, True)
-                    gone.append(name)
-        return gone
-
     # -- scans
 
     def _bucket(self, memory_id: Column) -> Column:
@@ -203,9 +218,6 @@ class Store:
             raise ValueError(f"{first[0].memory_id}: {', '.join(first[0].violations)}")
         return staged, folder
 
-    def _drop(self, folder: str) -> None:
-        self._fs.delete(self._path(f"{self.root}/{folder}"), True)
-
     def _written(self, name: str, rows: DataFrame, buckets: set[str]) -> dict[str, str | None]:
         """Write whole buckets to a folder of their own; large buckets become several files."""
         folder = f"data/{name}-{uuid.uuid4().hex}"
