@@ -1,8 +1,13 @@
 """What becomes of records: evaluation, supersession, correction, expiry, explanation.
 
-Everything is set-oriented: all candidates of a batch are judged against the same state,
-so no record's change is lost to another's. Where a candidate's order would matter, the
-one created later (then of the larger id) counts as the newer.
+`evaluate` is set-oriented: all pairs are judged against the same state, and where an
+order would matter the record created later (then of the larger id) counts as the newer.
+
+`evaluate_in_order` gives what evaluating new records one after another gives. A record is
+held against those before it, so which pairs conflict is settled by contents and the order
+alone; what changes on the way is how many conflicts a record has, and with that its
+trust. Both follow, for every moment, from running counts over a record's conflicts in
+order, and so does who gives way to whom; nothing has to be run through again.
 """
 
 from __future__ import annotations
@@ -10,9 +15,10 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustloom.frames import settle
 from trustloom.functions import decisions, detect as detectors, trust
 from trustloom.operators import contradict
 
@@ -64,6 +70,49 @@ def evaluate(records: DataFrame, pairs: DataFrame, now_s: Column) -> DataFrame:
                             "supersedes": F.array_union(F.coalesce(before("supersedes", none), none), F.coalesce("_over", none))}).drop("to", "_by", "_over")
 
 
+def evaluate_in_order(records: DataFrame, new: Column, now_s: Column) -> DataFrame:
+    """records after those that `new` says have been evaluated one by one, by (created_s, memory_id).
+
+    Each is held against its nearest among the records that are not new and those new ones before it; both sides of a
+    conflict name each other and are scored with the conflicts that they have by then; the later record may replace the
+    earlier or give way to it; else the one of lower trust (the new one on a tie) is disputed if it is active. Of several
+    that replace a record the last is named. Records that no conflict meets keep their trust; deleted ones their status.
+    """
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    given = lambda name, other: F.coalesce(F.col(name), other) if name in records.columns else other
+    base = settle(records.withColumns({"_new": new, "_given": given("contradicts", none), "_trust": given("trust", F.lit(0.0)), "superseded_by": given("superseded_by", text), "supersedes": given("supersedes", none)}).withColumn(
+        "_order", F.when(F.col("_new"), F.col("created_s")).otherwise(F.lit(-(1 << 62)))))
+    pairs = contradict.scan(base.drop("contradicts", "n_contradicts", "trust"), F.col("_new"), order="_order")
+    when = F.struct(F.col("a._order").alias("at"), F.col("a.memory_id").alias("id"))
+    events = settle(pairs.select("a", "b", when.alias("when"), "nth"))
+    side = lambda one, other: events.select(F.col(f"{one}.memory_id").alias("memory_id"), F.col(f"{other}.memory_id").alias("other_id"), "when", (~F.array_contains(f"{one}._given", F.col(f"{other}.memory_id"))).cast("long").alias("fresh"))
+    met = side("a", "b").unionByName(side("b", "a"))
+    # a record's own conflicts are of one moment, and all count in it
+    counted = met.withColumn("n", F.sum("fresh").over(Window.partitionBy("memory_id").orderBy("when"))).select("memory_id", "when", "n").distinct()
+
+    def scored(one):
+        at = events.select("when", "nth", F.col(f"{one}.memory_id").alias("memory_id"), F.col(f"{one}").alias("r")).join(counted, ["memory_id", "when"])
+        row = at.select("when", "nth", F.col("memory_id").alias("_id"), "r.*", "n").withColumn("n_contradicts", F.size("_given") + F.col("n"))
+        row = trust.signals(row, now_s)
+        fields = ("memory_id", "content", "scope", "scope_ref", "source_type", "created_s", "decision", "status")
+        return row.select("when", F.col("_id").alias(f"{one}_id"), "nth", F.struct(*fields, F.round("trust", 6).alias("trust")).alias(one))
+
+    both = scored("a").join(scored("b").withColumnRenamed("nth", "_nth"), "when").filter("nth = _nth").drop("_nth")
+    over, under = newer_supersedes("a", "b"), newer_supersedes("b", "a")
+    say = lambda who, to, by=None: F.struct(F.col(f"{who}.memory_id").alias("memory_id"), F.lit(to).alias("to"), (F.col(f"{by}.memory_id") if by else text).alias("by"), F.struct("when", "nth").alias("turn"))
+    verdict = F.when(over, say("b", "superseded", "a")).when(under, say("a", "superseded", "b")).when(F.col("a.trust") <= F.col("b.trust"), say("a", "disputed")).otherwise(say("b", "disputed"))
+    verdicts = settle(both.select(verdict.alias("v")).select("v.*"))
+    change = verdicts.groupBy("memory_id").agg(F.max("to").alias("_to"), F.max_by("by", F.when(F.col("by").isNotNull(), F.col("turn"))).alias("_by"))
+    made = verdicts.filter("by is not null").groupBy(F.col("by").alias("memory_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "memory_id"))).alias("o")).select("memory_id", F.col("o.memory_id").alias("_over"))
+    linked = met.groupBy("memory_id").agg(F.collect_set("other_id").alias("_linked"))
+    out = base.drop("trust", "contradicts", "n_contradicts").join(linked, "memory_id", "left").join(change, "memory_id", "left").join(made, "memory_id", "left")
+    out = out.withColumn("contradicts", F.array_sort(F.array_union("_given", F.coalesce("_linked", none)))).withColumn("n_contradicts", F.size("contradicts").cast("long"))
+    status = F.when((F.col("status") != "deleted") & (F.col("_to") == "superseded"), "superseded").when((F.col("status") == "active") & (F.col("_to") == "disputed"), "disputed").otherwise(F.col("status"))
+    return trust.signals(out, now_s).withColumns({
+        "trust": F.when(F.col("_new") | F.col("_linked").isNotNull(), F.round("trust", 6)).otherwise(F.col("_trust")), "status": status,
+        "superseded_by": F.coalesce("_by", "superseded_by"), "supersedes": F.array_union("supersedes", F.coalesce("_over", none))}).drop("_new", "_given", "_trust", "_order", "_linked", "_to", "_by", "_over")
+
+
 def expire_due(records: DataFrame, now_s: Column) -> DataFrame:
     """Active records past their expiry become expired."""
     return records.withColumn("status", F.when((F.col("status") == "active") & (F.col("expires_s") <= now_s), "expired").otherwise(F.col("status")))
@@ -122,7 +171,7 @@ def create(new: DataFrame, records: DataFrame, now_s: Column, policies: list[tup
     ids = fresh.select(F.col("memory_id").alias("_new")).distinct()
     every = records.unionByName(fresh, allowMissingColumns=True)
     asked = every.join(ids, F.col("memory_id") == F.col("_new"), "left").withColumn("_new", F.col("_new").isNotNull())
-    out = evaluate(every, contradict.scan(asked, F.col("_new")), now_s)
+    out = evaluate_in_order(asked, F.col("_new"), now_s)
     if not policies:
         return out, out.limit(0).select(F.lit("ingest_rejected").alias("event"), "memory_id", F.array("status").alias("reasons"), "sensitivity")
     marked = out.join(ids, F.col("memory_id") == F.col("_new"), "left")

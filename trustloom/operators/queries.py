@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trustloom import audit, context, registry, schema, store
-from trustloom.frames import settle
+from trustloom.frames import settle, shared_folder
 from trustloom.functions import decisions, detect, embed, text, trust
-from trustloom.operators import capture, chunk, contradict, lifecycle, retrieve, search
+from trustloom.operators import capture, chunk, contradict, index, knn, lifecycle, retrieve, search, setsim
 from trustloom.operators.retrieve import EXCLUDED, Query
 from trustloom.plans import sql as S
 from trustloom.plans.memories import DAY, MEMORIES_SQL, NOW_S, hashed, memories, sql_hashed
@@ -18,6 +20,7 @@ from trustloom.streaming import events as streams
 c = F.col
 now = lambda: F.lit(NOW_S)
 M = "WITH " + MEMORIES_SQL
+KEPT = M + ", stored AS (SELECT * FROM memories WHERE source_ref IS NOT NULL AND (scope = 'global' OR regexp_matches(scope_ref, '\\S')))"  # the valid ones
 VISIBLE = f"status NOT IN ({', '.join(map(S.q, EXCLUDED))})"
 SIGNALS = ("authority", "freshness", "confirmation", "contradiction", "tier_penalty", "corrected", "trust")
 ASKED = [
@@ -65,14 +68,25 @@ def scope_filter(spark, sf):
     return s.filter((c("scope") == "project") & ~c("status").isin(*EXCLUDED) & (schema.tier_rank(c("sensitivity")) <= 1) & (c("trust") >= 0.4)).select("memory_id", "scope_ref", F.round("trust", 6).alias("trust"))
 
 
+def _stored(spark, sf):
+    """A store of the view's valid records, in a folder that all executors share."""
+    s = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", id_pattern="^[0-9]{12}$")
+    moments = {name: F.timestamp_seconds(by) for name, by in (("created_at", "created_s"), ("updated_at", "created_s"), ("expires_at", "expires_s"))}
+    valid, _ = schema.split_valid(schema.complete(memories(spark, sf).withColumns(moments)), "^[0-9]{12}$")
+    s.add(valid)
+    return s
+
+
 def store_scan(spark, sf):
     """SC1, SC2, F14: equality filters, in order of creation; the first 50."""
-    return memories(spark, sf).filter("scope = 'repo' and status = 'active'").orderBy("created_s", "memory_id").limit(50).select("memory_id", "created_s", "scope_ref")
+    return _stored(spark, sf).scan(scope="repo", status="active").limit(50).select("memory_id", F.unix_seconds("created_at").alias("created_s"), "scope_ref")
 
 
 def point_lookup(spark, sf):
     """SC3: rows by id, deleted ones too; ids that are not there give none."""
-    return memories(spark, sf).filter(c("memory_id").isin("000000000001", "000000000007", "999999999999")).select("memory_id", "status", "source_type")
+    s = _stored(spark, sf)
+    rows = [s.get(i).select("memory_id", "status", "source_type") for i in ("000000000001", "000000000007", "999999999999")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def status_counts(spark, sf):
@@ -255,6 +269,29 @@ def evaluate_status(spark, sf):
     return after.join(before, "memory_id").filter("n_contradicts > 0").select("memory_id", "n_contradicts", "trust", "was", "status", "superseded_by")
 
 
+def evaluated_in_order(spark, sf):
+    """L2: ids divisible by 20 evaluated one after another, in their order."""
+    r = _embedded(spark, sf).drop("n_contradicts")
+    after = lifecycle.evaluate_in_order(r, c("memory_id").cast("long") % 20 == 0, now())
+    return after.filter("n_contradicts > 0").select("memory_id", "n_contradicts", "trust", "status", "superseded_by")
+
+
+def neighbors_all(spark, sf):
+    """The 25 nearest others of every record."""
+    return knn.join(embed.embed(memories(spark, sf)), contradict.NEIGHBORS)
+
+
+def bm25_index(spark, sf):
+    """SK6, K3, X3, A7: a kept index that has seen additions, replacements and removals."""
+    m = memories(spark, sf).select("memory_id", "content", "tags")
+    kept = index.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    old = m.filter(c("memory_id").cast("long") % 3 == 0)
+    kept.add(old.withColumn("content", F.lit("the cache of no version")).unionByName(old.withColumn("memory_id", F.concat(F.lit("x"), c("memory_id")))))
+    kept.add(m)
+    kept.delete(old.select(F.concat(F.lit("x"), c("memory_id")).alias("memory_id")))
+    return kept.top(KEYWORDS, 10)
+
+
 def explain(spark, sf):
     """Signals and edges of every record that contradicts another."""
     r = _scored(spark, sf)
@@ -328,22 +365,26 @@ def chunk_text(spark, sf):
 
 
 def upsert_latest(spark, sf):
-    """SK2, SK12: rows of even ids replaced."""
-    old = memories(spark, sf).select("memory_id", "status", "confirmations")
-    new = old.filter(c("memory_id").cast("long") % 2 == 0).withColumn("confirmations", c("confirmations") + 100)
-    return store.upsert(old, new, "memory_id")
+    """SK2: rows of even ids replaced."""
+    s = _stored(spark, sf)
+    s.update(s.table("records").filter(c("memory_id").cast("long") % 2 == 0).withColumn("confirmations", c("confirmations") + 100))
+    return s.table("records").select("memory_id", "status", "confirmations")
 
 
 def anti_join_new(spark, sf):
-    """SK1, J12: of ids moved up by 50 those that are not there yet."""
-    old = memories(spark, sf).select("memory_id")
-    new = old.select(F.lpad((c("memory_id").cast("long") + 50).cast("string"), 12, "0").alias("memory_id"))
-    return new.join(old, "memory_id", "left_anti")
+    """SK1, J12: of records with ids moved up by 50 those that are not there yet are added; what the commit brought."""
+    s = _stored(spark, sf)
+    moved = s.table("records").withColumn("memory_id", F.lpad((c("memory_id").cast("long") + 50).cast("string"), 12, "0"))
+    before = s.version()
+    s.add(s.missing(moved))
+    return s.table("records").select("memory_id").join(s.table("records", before).select("memory_id"), "memory_id", "left_anti")
 
 
 def soft_delete(spark, sf):
     """SK3."""
-    return memories(spark, sf).withColumn("status", F.when(c("memory_id").cast("long") % 3 == 0, "deleted").otherwise(c("status"))).groupBy("status").agg(F.count("*").alias("n"))
+    s = _stored(spark, sf)
+    s.soft_delete(s.table("records").filter(c("memory_id").cast("long") % 3 == 0))
+    return s.table("records").groupBy("status").agg(F.count("*").alias("n"))
 
 
 def vector_codec(spark, sf):
@@ -353,8 +394,8 @@ def vector_codec(spark, sf):
 
 
 def wire_records(spark, sf):
-    """SK13, X26: metadata members out of JSON."""
-    m = memories(spark, sf)
+    """SK13, X26: records to wire objects and back, members out of their metadata."""
+    m = store.from_wire(store.as_wire(_stored(spark, sf).table("records")))
     return m.select("memory_id", F.get_json_object("metadata", "$.correction").alias("correction"), F.round(trust.correction_of(c("metadata")), 6).alias("signal"))
 
 
@@ -425,19 +466,19 @@ def antonym_pairs(spark, sf):
 
 def jaccard_pairs(spark, sf):
     """Each benchmark item whose id is divisible by 20 and its ten records of most shared words."""
-    asked = _rows(spark, sf, "benchmark").filter("item_id % 20 = 0").select(c("item_id").alias("query_id"), F.array_distinct(text.words(c("text"))).alias("q"))
-    rows = memories(spark, sf).select("memory_id", F.array_distinct(text.words(c("content"))).alias("t"))
-    both = rows.join(F.broadcast(asked), F.arrays_overlap("t", "q")).select("query_id", "memory_id", F.round(embed.jaccard(c("t"), c("q")), 9).alias("score"))
-    return search.ranked(both, [F.desc("score"), "memory_id"], 10).select("query_id", "rank", "memory_id", "score")
+    asked = _rows(spark, sf, "benchmark").filter("item_id % 20 = 0").select(c("item_id").alias("query_id"), text.words(c("text")).alias("tokens"))
+    return setsim.top(asked, memories(spark, sf).select("memory_id", text.words(c("content")).alias("tokens")), 10, digits=9)
 
 
 def record_edges(spark, sf):
-    """SC4, J3: records with the sorted ids of their edges, empty where there are none."""
-    m = memories(spark, sf).select("memory_id", "status")
+    """SC4, J3, SK4: records with the sorted ids of their edges, empty where there are none."""
+    s = _stored(spark, sf)
+    m = s.table("records")
     one = m.filter(c("memory_id").cast("long") % 3 == 0).select("memory_id", F.lpad((c("memory_id").cast("long") + 1).cast("string"), 12, "0").alias("other_id"))
     two = one.select(c("other_id").alias("memory_id"), c("memory_id").alias("other_id"))
-    gathered = one.unionByName(two).groupBy("memory_id").agg(F.array_sort(F.collect_set("other_id")).alias("e"))
-    return m.join(gathered, "memory_id", "left").select("memory_id", "status", F.coalesce(F.array_join("e", ","), F.lit("")).alias("contradicts"))
+    gathered = one.unionByName(two).groupBy("memory_id").agg(F.collect_set("other_id").alias("contradicts"))
+    s.put(m.drop("contradicts").join(gathered, "memory_id"))
+    return s.hydrated().select("memory_id", "status", F.array_join("contradicts", ",").alias("contradicts"))
 
 
 def queue_clear(spark, sf):
@@ -448,15 +489,16 @@ def queue_clear(spark, sf):
 
 
 def resolved(spark, sf):
-    """Each third record resolved in favour of the next."""
-    m = memories(spark, sf)
-    choice = m.filter(c("memory_id").cast("long") % 3 == 0).select(c("memory_id").alias("old_id"), F.lpad((c("memory_id").cast("long") + 1).cast("string"), 12, "0").alias("new_id"))
-    return lifecycle.resolve(m, choice).select("memory_id", "status", "superseded_by")
+    """Each third record resolved in favour of the next; every record had a successor and one that it replaced."""
+    next_to = lambda n: F.lpad((c("memory_id").cast("long") + n).cast("string"), 12, "0")
+    m = memories(spark, sf).withColumns({"superseded_by": next_to(7), "supersedes": F.array(next_to(9)), "contradicts": F.array(next_to(2))})
+    choice = m.filter(c("memory_id").cast("long") % 3 == 0).select(c("memory_id").alias("old_id"), next_to(1).alias("new_id"))
+    return lifecycle.resolve(m, choice).select("memory_id", "status", "superseded_by", F.array_join("supersedes", ",").alias("supersedes"), F.array_join("contradicts", ",").alias("contradicts"))
 
 
 def corrected(spark, sf):
-    """L4: each fifth record corrected; both rows stay."""
-    m = memories(spark, sf)
+    """L4: each fifth record corrected; both rows stay, and superseded rows keep their successors."""
+    m = memories(spark, sf).withColumn("superseded_by", F.when(c("status") == "superseded", F.lpad((c("memory_id").cast("long") + 1).cast("string"), 12, "0")))
     change = m.filter(c("memory_id").cast("long") % 5 == 0).select("memory_id", F.concat(F.lit("n"), c("memory_id")).alias("new_id"), F.lit("The database is DuckDB.").alias("content"))
     return lifecycle.correct(m, change, now()).select("memory_id", "status", "superseded_by", "created_s", F.length("content").cast("long").alias("n_chars"))
 
@@ -515,6 +557,21 @@ def _sql_over(n, o):
 
 
 _EVALUATED = _EVALUATED.replace("{over}", _sql_over("a", "b")).replace("{under}", _sql_over("b", "a"))
+_TRUST_AT = """round(greatest(0, least(1, 0.35::DOUBLE * authority + 0.2::DOUBLE * freshness + 0.2::DOUBLE * confirmation
+    + 0.15::DOUBLE * (1 - least(1.0::DOUBLE, n / 3.0::DOUBLE)) + 0.1::DOUBLE * (1 - tier_penalty) + 0.1::DOUBLE * (corrected - 0.5::DOUBLE))), 6)"""
+_IN_ORDER = f"""{S.contradictions(earlier=True)}, events AS (SELECT a_id, b_id, k, m.created_s AS moment FROM pairs JOIN memories m ON m.memory_id = a_id
+), met AS (SELECT a_id AS memory_id, moment, a_id AS w FROM events UNION ALL SELECT b_id, moment, a_id FROM events
+), counted AS (SELECT DISTINCT memory_id, w, count(*) OVER (PARTITION BY memory_id ORDER BY moment, w) AS n FROM met
+), then_ AS (SELECT r.* EXCLUDE (trust, n_contradicts), w, n, {_TRUST_AT} AS trust FROM read r JOIN counted USING (memory_id)
+), weighed AS (SELECT a, b, e.k, e.moment FROM events e JOIN then_ a ON a.memory_id = e.a_id AND a.w = e.a_id JOIN then_ b ON b.memory_id = e.b_id AND b.w = e.a_id
+), supers AS (SELECT *, {_sql_over("a", "b")} AS over_, {_sql_over("b", "a")} AS under_ FROM weighed
+), verdicts AS (
+  SELECT CASE WHEN over_ THEN b.memory_id WHEN under_ THEN a.memory_id WHEN a.trust <= b.trust THEN a.memory_id ELSE b.memory_id END AS memory_id, CASE WHEN over_ OR under_ THEN 'superseded' ELSE 'disputed' END AS "to",
+    CASE WHEN over_ THEN a.memory_id WHEN under_ THEN b.memory_id END AS "by", {{'m': moment, 'w': a.memory_id, 'k': k}} AS turn FROM supers
+), change AS (SELECT memory_id, max("to") AS "to", arg_max("by", turn) FILTER ("by" IS NOT NULL) AS superseded_by FROM verdicts GROUP BY memory_id
+), last_ AS (SELECT memory_id, max(n) AS n FROM counted GROUP BY memory_id)
+SELECT memory_id, n AS n_contradicts, {_TRUST_AT} AS trust, CASE WHEN status <> 'deleted' AND "to" = 'superseded' THEN 'superseded' WHEN status = 'active' AND "to" = 'disputed' THEN 'disputed' ELSE status END AS status, superseded_by
+FROM read JOIN last_ USING (memory_id) LEFT JOIN change USING (memory_id)"""
 _HIT = f"{S.values(['avoid'])}"
 _any = lambda words: "(" + " OR ".join(f"contains(lower(content), {S.q(w)})" for w in words) + ")"
 _VERSION = " || '.' || ".join(f"({sql_hashed(f)} % {n})" for f, n in (("created", 3), ("status", 12), ("scope", 4)))
@@ -524,8 +581,8 @@ QUERIES = {
     "trust_scores_topk": (trust_scores_topk, S.SCORED_SQL + " SELECT memory_id, round(trust, 6) AS trust FROM scored ORDER BY round(scored.trust, 6) DESC, memory_id LIMIT 20"),
     "trust_topk": (trust_topk, S.SCORED_SQL + f", r AS (SELECT *, round(trust, 6) AS t6, row_number() OVER (PARTITION BY scope, scope_ref ORDER BY round(trust, 6) DESC, memory_id) AS rank FROM scored WHERE {VISIBLE}) SELECT scope, scope_ref, CAST(rank AS INT) AS rank, memory_id, t6 AS trust FROM r WHERE rank <= 3"),
     "scope_filter": (scope_filter, S.SCORED_SQL + f" SELECT memory_id, scope_ref, round(trust, 6) AS trust FROM scored WHERE scope = 'project' AND {VISIBLE} AND sensitivity IN ('public', 'internal') AND trust >= 0.4"),
-    "store_scan": (store_scan, M + " SELECT memory_id, created_s, scope_ref FROM memories WHERE scope = 'repo' AND status = 'active' ORDER BY created_s, memory_id LIMIT 50"),
-    "point_lookup": (point_lookup, M + " SELECT memory_id, status, source_type FROM memories WHERE memory_id IN ('000000000001', '000000000007', '999999999999')"),
+    "store_scan": (store_scan, KEPT + " SELECT memory_id, created_s, scope_ref FROM stored WHERE scope = 'repo' AND status = 'active' ORDER BY created_s, memory_id LIMIT 50"),
+    "point_lookup": (point_lookup, KEPT + " SELECT memory_id, status, source_type FROM stored WHERE memory_id IN ('000000000001', '000000000007', '999999999999')"),
     "status_counts": (status_counts, M + " SELECT status, count(*) AS n, status IN ('corrected','disputed','expired','outdated','superseded') AS deprecated FROM memories GROUP BY status"),
     "project_counts": (project_counts, M + " SELECT scope_ref, count(*) AS n FROM memories WHERE scope = 'project' AND status <> 'deleted' GROUP BY scope_ref"),
     "token_counts": (token_counts, M + ", t AS (SELECT memory_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM memories) SELECT memory_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM t"),
@@ -544,6 +601,7 @@ QUERIES = {
     "vector_topk": (vector_topk, M + ", " + S.cells("SELECT memory_id AS id, content AS t FROM memories", "r") + ", " + S.cells("SELECT CAST(item_id AS VARCHAR) AS id, text AS t FROM benchmark", "a") + ", " + S.cosines("a", "r", "cos")
                     + ", k AS (SELECT a_id, b_id, cosine, row_number() OVER (PARTITION BY a_id ORDER BY cosine DESC, b_id) AS rank FROM cos) SELECT a_id AS query_id, CAST(rank AS INT) AS rank, b_id AS memory_id, cosine FROM k WHERE rank <= 10"),
     "bm25_topk": (bm25_topk, M + ", asked AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in KEYWORDS) + ") AS t(query_id, query)), " + S.bm25() + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM keyword_scores) SELECT query_id, CAST(rank AS INT) AS rank, memory_id, score FROM k WHERE rank <= 10"),
+    "bm25_index": (bm25_index, M + ", asked AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in KEYWORDS) + ") AS t(query_id, query)), " + S.bm25() + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM keyword_scores) SELECT query_id, CAST(rank AS INT) AS rank, memory_id, score FROM k WHERE rank <= 10"),
     "trigram_topk": (trigram_topk, M + f""", asked AS (SELECT * FROM (VALUES ('x', 'the backend framework'), ('y', 'lunch is served at noon')) AS t(query_id, query)),
 tri AS (SELECT 'r' AS kind, memory_id AS id, {S.terms('content')} AS w FROM memories UNION ALL SELECT 'q', query_id, {S.terms('query')} FROM asked),
 sets AS (SELECT kind, id, list_distinct(flatten(list_transform(w, lambda x: list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))))) AS t FROM tri),
@@ -563,6 +621,9 @@ SELECT query_id, CAST(rank AS INT) AS rank, memory_id, score FROM k WHERE rank <
     "edge_degree": (edge_degree, _PAIRS + " SELECT memory_id, count(DISTINCT other_id) AS n_contradicts FROM edges GROUP BY memory_id"),
     "evaluate_status": (evaluate_status, _EVALUATED + """ SELECT r.memory_id, r.n_contradicts, r.trust, r.status AS was, CASE WHEN r.status <> 'deleted' AND "to" = 'superseded' THEN 'superseded' WHEN r.status = 'active' AND "to" = 'disputed' THEN 'disputed' ELSE r.status END AS status, superseded_by
   FROM rescored r LEFT JOIN change USING (memory_id) WHERE r.n_contradicts > 0"""),
+    "evaluated_in_order": (evaluated_in_order, _IN_ORDER),
+    "neighbors_all": (neighbors_all, M + ", " + S.cells("SELECT memory_id AS id, content AS t FROM memories", "r") + ", " + S.cosines("r", "r", "cos")
+                      + f", k AS (SELECT a_id, b_id, cosine, row_number() OVER (PARTITION BY a_id ORDER BY cosine DESC, b_id) AS rank FROM cos WHERE a_id <> b_id) SELECT a_id AS query_id, CAST(rank AS INT) AS rank, b_id AS memory_id, cosine FROM k WHERE rank <= {contradict.NEIGHBORS}"),
     "explain": (explain, _PAIRS + " SELECT s.memory_id, e.other_id, round(s.trust, 6) AS trust, round(s.authority, 6) AS authority, o.status AS other_status, e.reason, e.confidence FROM edges e JOIN scored s ON s.memory_id = e.memory_id JOIN scored o ON o.memory_id = e.other_id"),
     "lineage_join": (lineage_join, M + f""", d AS (SELECT memory_id, status, lpad(CAST(CAST(memory_id AS BIGINT) + 1 AS VARCHAR), 12, '0') AS superseded_by, {S.decision('content')} AS dec FROM memories),
 parts AS (SELECT DISTINCT CASE WHEN dec.key = 'database_local' THEN 'local ' ELSE 'cloud ' END || dec.value AS part FROM d WHERE status = 'active' AND dec.key IN ('database_local', 'database_cloud')),
@@ -580,11 +641,11 @@ SELECT memory_id, alive AND hidden AS omitted, alive AND NOT hidden AS usable, a
     "capture_dedup": (capture_dedup, _TALK_SQL + f", d AS (SELECT *, {S.decision('chunk')} AS d FROM sentences), k AS (SELECT d.key AS key, lower(d.value) AS value, source_ref, line, row_number() OVER (PARTITION BY d.key, lower(d.value) ORDER BY source_ref, line, part) AS k FROM d WHERE d IS NOT NULL) SELECT key, value, source_ref, CAST(line AS INT) AS line FROM k WHERE k = 1"),
     "safe_candidates": (safe_candidates, None),
     "chunk_text": (chunk_text, None),
-    "upsert_latest": (upsert_latest, M + " SELECT memory_id, status, confirmations + CASE WHEN CAST(memory_id AS BIGINT) % 2 = 0 THEN 100 ELSE 0 END AS confirmations FROM memories"),
-    "anti_join_new": (anti_join_new, M + ", n AS (SELECT lpad(CAST(CAST(memory_id AS BIGINT) + 50 AS VARCHAR), 12, '0') AS memory_id FROM memories) SELECT memory_id FROM n WHERE memory_id NOT IN (SELECT memory_id FROM memories)"),
-    "soft_delete": (soft_delete, M + ", s AS (SELECT CASE WHEN CAST(memory_id AS BIGINT) % 3 = 0 THEN 'deleted' ELSE status END AS status FROM memories) SELECT status, count(*) AS n FROM s GROUP BY status"),
+    "upsert_latest": (upsert_latest, KEPT + " SELECT memory_id, status, confirmations + CASE WHEN CAST(memory_id AS BIGINT) % 2 = 0 THEN 100 ELSE 0 END AS confirmations FROM stored"),
+    "anti_join_new": (anti_join_new, KEPT + ", n AS (SELECT lpad(CAST(CAST(memory_id AS BIGINT) + 50 AS VARCHAR), 12, '0') AS memory_id FROM stored) SELECT memory_id FROM n WHERE memory_id NOT IN (SELECT memory_id FROM stored)"),
+    "soft_delete": (soft_delete, KEPT + ", s AS (SELECT CASE WHEN CAST(memory_id AS BIGINT) % 3 = 0 THEN 'deleted' ELSE status END AS status FROM stored) SELECT status, count(*) AS n FROM s GROUP BY status"),
     "vector_codec": (vector_codec, "SELECT vec_id, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings"),
-    "wire_records": (wire_records, S.SCORED_SQL + " SELECT memory_id, correction, round(corrected, 6) AS signal FROM scored"),
+    "wire_records": (wire_records, S.SCORED_SQL + " SELECT memory_id, correction, round(corrected, 6) AS signal FROM scored WHERE source_ref IS NOT NULL AND (scope = 'global' OR regexp_matches(scope_ref, '\\S'))"),
     "semver_latest": (semver_latest, f"WITH v AS (SELECT source AS model_id, {_VERSION} AS core, {sql_hashed('sensitivity')} % 2 = 0 AS pre, {sql_hashed('sentence')} % 15 AS n, {sql_hashed('created')} % 3 AS a, {sql_hashed('status')} % 12 AS b, {sql_hashed('scope')} % 4 AS c FROM documents WHERE source IS NOT NULL), "
                       "k AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY a DESC, b DESC, c DESC, pre, n DESC) AS k FROM v) SELECT model_id, core || CASE WHEN pre THEN '-rc.' || n ELSE '' END AS version FROM k WHERE k = 1"),
     "audit_sensitive_reduce": (audit_sensitive_reduce, "SELECT event_id, CASE WHEN user_id % 3 = 0 AND event_type || ' ' || props IS NOT NULL THEN '[REDACTED]' ELSE event_type || ' ' || props END AS content, coalesce(user_id % 3 = 0, FALSE) AND event_type || ' ' || props IS NOT NULL AS sensitivity_redacted FROM events"),
@@ -595,10 +656,14 @@ SELECT memory_id, alive AND hidden AS omitted, alive AND NOT hidden AS usable, a
     "antonym_pairs": (antonym_pairs, M + ", t AS (SELECT list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM memories), p AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in contradict.ANTONYMS) + ") AS p(x, y)) SELECT x, y, count(*) AS either, count(*) FILTER (list_contains(t, x) AND list_contains(t, y)) AS \"both\" FROM t, p WHERE list_contains(t, x) OR list_contains(t, y) GROUP BY x, y"),
     "jaccard_pairs": (jaccard_pairs, M + ", r AS (SELECT memory_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM memories), a AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark WHERE item_id % 20 = 0), "
                       "s AS (SELECT query_id, memory_id, round(len(list_intersect(t, q))::DOUBLE / (len(t) + len(q) - len(list_intersect(t, q))), 9) AS score FROM r, a WHERE list_has_any(t, q)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s) SELECT query_id, CAST(rank AS INT) AS rank, memory_id, score FROM k WHERE rank <= 10"),
-    "record_edges": (record_edges, M + ", o AS (SELECT memory_id, lpad(CAST(CAST(memory_id AS BIGINT) + 1 AS VARCHAR), 12, '0') AS other_id FROM memories WHERE CAST(memory_id AS BIGINT) % 3 = 0), e AS (SELECT * FROM o UNION SELECT other_id, memory_id FROM o), g AS (SELECT memory_id, string_agg(other_id, ',' ORDER BY other_id) AS e FROM e GROUP BY memory_id) SELECT memory_id, status, coalesce(e, '') AS contradicts FROM memories LEFT JOIN g USING (memory_id)"),
+    "record_edges": (record_edges, KEPT + ", o AS (SELECT memory_id, lpad(CAST(CAST(memory_id AS BIGINT) + 1 AS VARCHAR), 12, '0') AS other_id FROM stored WHERE CAST(memory_id AS BIGINT) % 3 = 0), e AS (SELECT * FROM o UNION SELECT other_id, memory_id FROM o), g AS (SELECT memory_id, string_agg(other_id, ',' ORDER BY other_id) AS e FROM e GROUP BY memory_id) SELECT memory_id, status, coalesce(e, '') AS contradicts FROM stored LEFT JOIN g USING (memory_id)"),
     "queue_clear": (queue_clear, M + f", c AS (SELECT memory_id AS candidate_id, CASE WHEN {sql_hashed('status').replace('doc_id', 'CAST(memory_id AS BIGINT)')} % 4 = 0 THEN 'rejected' ELSE 'pending' END AS status FROM memories) SELECT * FROM (SELECT * FROM c UNION ALL SELECT 'n' || candidate_id, status FROM c) WHERE status <> 'rejected'"),
-    "resolved": (resolved, M + ", m AS (SELECT memory_id, status, CAST(memory_id AS BIGINT) AS k FROM memories) SELECT memory_id, CASE WHEN k % 3 = 0 THEN 'superseded' WHEN k % 3 = 1 AND k - 1 IN (SELECT k FROM m) AND status IN ('disputed', 'superseded', 'outdated') THEN 'active' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN lpad(CAST(k + 1 AS VARCHAR), 12, '0') END AS superseded_by FROM m"),
-    "corrected": (corrected, M + f" SELECT memory_id, CASE WHEN CAST(memory_id AS BIGINT) % 5 = 0 THEN 'corrected' ELSE status END AS status, CASE WHEN CAST(memory_id AS BIGINT) % 5 = 0 THEN 'n' || memory_id END AS superseded_by, created_s, length(content) AS n_chars FROM memories UNION ALL SELECT 'n' || memory_id, 'active', NULL, {NOW_S}, 23 FROM memories WHERE CAST(memory_id AS BIGINT) % 5 = 0"),
+    "resolved": (resolved, M + """, m AS (SELECT memory_id, status, CAST(memory_id AS BIGINT) AS k FROM memories), r AS (SELECT *, k % 3 = 1 AND k - 1 IN (SELECT k FROM m) AS chosen FROM m)
+SELECT memory_id, CASE WHEN k % 3 = 0 THEN 'superseded' WHEN chosen AND status IN ('disputed', 'superseded', 'outdated') THEN 'active' ELSE status END AS status, lpad(CAST(k + CASE WHEN k % 3 = 0 THEN 1 ELSE 7 END AS VARCHAR), 12, '0') AS superseded_by,
+  lpad(CAST(k + 9 AS VARCHAR), 12, '0') || CASE WHEN chosen THEN ',' || lpad(CAST(k - 1 AS VARCHAR), 12, '0') ELSE '' END AS supersedes,
+  CASE WHEN k % 3 = 0 THEN lpad(CAST(k + 1 AS VARCHAR), 12, '0') || ',' WHEN chosen THEN lpad(CAST(k - 1 AS VARCHAR), 12, '0') || ',' ELSE '' END || lpad(CAST(k + 2 AS VARCHAR), 12, '0') AS contradicts FROM r"""),
+    "corrected": (corrected, M + f" SELECT memory_id, CASE WHEN CAST(memory_id AS BIGINT) % 5 = 0 THEN 'corrected' ELSE status END AS status, CASE WHEN CAST(memory_id AS BIGINT) % 5 = 0 THEN 'n' || memory_id WHEN status = 'superseded' THEN lpad(CAST(CAST(memory_id AS BIGINT) + 1 AS VARCHAR), 12, '0') END AS superseded_by, created_s, length(content) AS n_chars FROM memories "
+                  f"UNION ALL SELECT 'n' || memory_id, 'active', CASE WHEN status = 'superseded' THEN lpad(CAST(CAST(memory_id AS BIGINT) + 1 AS VARCHAR), 12, '0') END, {NOW_S}, 23 FROM memories WHERE CAST(memory_id AS BIGINT) % 5 = 0"),
     "ingest_policy": (ingest_policy, M + " SELECT memory_id, CASE WHEN source_type = 'slack' THEN 'no_chat' ELSE 'no_pii' END AS reasons FROM memories WHERE source_type = 'slack' OR sensitivity = 'pii'"),
     "tumbling_counts": (tumbling_counts, f"SELECT event_type, CAST(floor(epoch(ts) / {DAY}) * {DAY} AS BIGINT) AS start_s, CAST(floor(epoch(ts) / {DAY}) * {DAY} + {DAY} AS BIGINT) AS end_s, count(*) AS n, CAST(sum(floor(value * 100)) AS BIGINT) AS total FROM events GROUP BY ALL"),
     "sliding_counts": (sliding_counts, f"WITH w AS (SELECT event_type, CAST(floor(epoch(ts) / {DAY // 2}) * {DAY // 2} AS BIGINT) - o AS start_s FROM events, (SELECT unnest([0, {DAY // 2}]) AS o)) SELECT event_type, start_s, start_s + {DAY} AS end_s, count(*) AS n FROM w GROUP BY ALL"),

@@ -136,12 +136,10 @@ def trigrams(text: Column) -> Column:
 
 def trigram(rows: DataFrame, queries: list[tuple[str, str]], k: int, least: float = 0.3) -> DataFrame:
     """(query_id, rank, memory_id, score): shared trigrams over all, those above `least`; ties to the smaller id."""
-    asked = rows.sparkSession.createDataFrame(queries, "query_id string, text string").select("query_id", trigrams(F.col("text")).alias("q"))
-    rows = rows.select("memory_id", trigrams(F.coalesce("content", F.lit(""))).alias("t"))
-    both = rows.join(F.broadcast(asked), F.arrays_overlap("t", "q"))
-    shared = F.size(F.array_intersect("t", "q"))
-    score = F.round(shared / (F.size("t") + F.size("q") - shared), 6)
-    return ranked(both.select("query_id", "memory_id", score.alias("score")).filter(F.col("score") >= least), [F.desc("score"), "memory_id"], k).select("query_id", "rank", "memory_id", "score")
+    from trustloom.operators import setsim
+
+    asked = rows.sparkSession.createDataFrame(queries, "query_id string, text string").select("query_id", trigrams(F.col("text")).alias("tokens"))
+    return setsim.top(asked, rows.select("memory_id", trigrams(F.coalesce("content", F.lit(""))).alias("tokens")), k, least)
 
 
 def recent(rows: DataFrame, k: int) -> DataFrame:

@@ -210,17 +210,18 @@ def conflict(a: str, b: str) -> str:
       WHEN list_has_any({a}.tok, {b}.tok) AND {only(a, b)} AND {only(b, a)} THEN {{'kind': 'value', 'strength': 0.65::DOUBLE, 'reason': 'differing value on shared subject'}} END"""
 
 
-def contradictions(every: int = 20) -> str:
-    """CTEs up to `pairs` (a_id, b_id, similarity, c, confidence): ids divisible by `every` against all."""
+def contradictions(every: int = 20, earlier: bool = False) -> str:
+    """CTEs up to `pairs` (a_id, b_id, k, similarity, c, confidence): ids divisible by `every` against all, or the others and those of them before."""
+    before = f" AND (CAST(b.memory_id AS BIGINT) % {every} <> 0 OR (b.created_s, b.memory_id) < (a.created_s, a.memory_id))" if earlier else ""
     return f"""{SCORED_SQL}, {cells("SELECT memory_id AS id, content AS t FROM memories", "r")},
 c_cells AS (SELECT * FROM r_cells WHERE CAST(id AS BIGINT) % {every} = 0), c_size AS (SELECT * FROM r_size WHERE CAST(id AS BIGINT) % {every} = 0), {cosines("c", "r", "cos")},
 read AS (SELECT *, {decision("content")} AS dec, list_distinct(regexp_extract_all(lower(content), {q(r"[a-z0-9]+(?:\.[0-9]+)?")})) AS tok,
     list_sort(list_distinct(list_transform(regexp_extract_all(content, {q(r"[0-9]+(?:\.[0-9]+)?")}), lambda x: CAST(x AS DOUBLE)))) AS num FROM scored
 ), neighbors AS (SELECT * FROM (
   SELECT a.memory_id AS a_id, b.memory_id AS b_id, coalesce(cosine, 0.0) AS cosine, row_number() OVER (PARTITION BY a.memory_id ORDER BY coalesce(cosine, 0.0) DESC, b.memory_id) AS k
-  FROM memories a JOIN memories b ON a.memory_id <> b.memory_id LEFT JOIN cos ON a_id = a.memory_id AND b_id = b.memory_id WHERE CAST(a.memory_id AS BIGINT) % {every} = 0) WHERE k <= {contradict.NEIGHBORS}
+  FROM memories a JOIN memories b ON a.memory_id <> b.memory_id{before} LEFT JOIN cos ON a_id = a.memory_id AND b_id = b.memory_id WHERE CAST(a.memory_id AS BIGINT) % {every} = 0) WHERE k <= {contradict.NEIGHBORS}
 ), compared AS (
-  SELECT a_id, b_id, round(CASE WHEN cosine >= 0 THEN cosine ELSE (cosine + 1) / 2 END, 9) AS similarity, {conflict("a", "b")} AS c
+  SELECT a_id, b_id, k, round(CASE WHEN cosine >= 0 THEN cosine ELSE (cosine + 1) / 2 END, 9) AS similarity, {conflict("a", "b")} AS c
   FROM neighbors JOIN read a ON a.memory_id = a_id JOIN read b ON b.memory_id = b_id WHERE a.scope = b.scope AND trim(a.scope_ref) IS NOT DISTINCT FROM trim(b.scope_ref)
 ), pairs AS (
   SELECT *, round(0.5::DOUBLE * similarity + 0.5::DOUBLE * c.strength, 10) AS confidence FROM compared
