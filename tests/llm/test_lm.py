@@ -42,7 +42,7 @@ def test_probabilities_sum_to_one():
     _, s = symbols(rows)
     trainer = lm.Trainer(lm.first_model(s), lm.first_model(s))
     sequences = [s.encode(t)[0] for _, t in rows]
-    trainer.texts(sequences, 1, 0)
+    trainer.texts(sequences)
     every = np.flatnonzero(s.real)
     logs = lm.log_probabilities(trainer.p, [np.array([sequences[3][0], x], np.uint16) for x in every]) - lm.log_probabilities(trainer.p, [sequences[3][:1]])
     assert abs((10 ** logs).sum() - 1) < 1e-3
@@ -56,7 +56,6 @@ def test_columns_equal_brute_force(spark, monkeypatch, head, own):
     """Words that travel, words that are joined, and words of a kind give the same base columns."""
     monkeypatch.setattr(lm, "HEAD_SHARE", head)
     monkeypatch.setattr(lm, "WORD_SHARE", own)
-    monkeypatch.setattr(lm, "LEAST_TARGETS", 0)
     rows = corpus(random.Random(2), 120)
     held = folds(rows)
     docs = spark.createDataFrame([(k, t, "x", 5, h) for (k, t), h in zip(rows, held)], "doc_id long, text string, _ROW string, Score int, held boolean")
@@ -74,6 +73,39 @@ def test_columns_equal_brute_force(spark, monkeypatch, head, own):
     assert sum(g[6] for g in got) > sum(g[5] for g in got)
 
 
+def test_score_is_the_sum_over_places(spark, monkeypatch):
+    """Each token's symbol by softmaxes over the groups and over the group, one by one, and the word's share of its kind."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(lm, "train", lambda encoded, s: {k: (v + rng.normal(0, 0.4, v.shape) * (v > -1e3)).astype(np.float32) for k, v in lm.first_model(s).items()} | models.setdefault("kept", {}))
+    models, rows = {}, corpus(random.Random(4), 30)[:30]
+    seen, s = symbols(rows)
+    fixed = lm.train(None, s)
+    models["kept"] = fixed
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), "true").collect()}
+    width = fixed["q"].shape[1]
+    for doc_id, text in rows:
+        at, _, share, *_ = s.encode(text)
+        before, total = [0] * lm.CONTEXT, 0.0
+        for x in at.tolist():
+            h = sum(fixed["r"][before[-1 - j]].astype(float) * fixed["c"][j] for j in range(lm.CONTEXT))
+            g, groups = x // width, fixed["qg"] @ h + fixed["bg"]
+            inside = fixed["q"][g] @ h + fixed["b"][g]
+            total += groups[g] - np.log(np.exp(groups).sum()) + inside[x % width] - np.log(np.exp(inside).sum())
+            before.append(x)
+        assert math.isclose(got[doc_id], total / math.log(10) + share, rel_tol=1e-3, abs_tol=1e-2)
+
+
+def test_every_position_is_learnt_from():
+    rows = corpus(random.Random(1), 300)
+    _, s = symbols(rows)
+    sequences = [s.encode(t)[0] for _, t in rows]
+    trainer = lm.Trainer(lm.first_model(s), lm.first_model(s))
+    before = lm.log_probabilities(trainer.p, sequences).sum()
+    for _ in range(3):
+        trainer.texts(sequences)
+    assert trainer.weight == 3 * sum(map(len, sequences)) and lm.log_probabilities(trainer.p, sequences).sum() > before
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score(docs, "false").collect()}

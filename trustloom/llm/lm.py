@@ -12,10 +12,12 @@ log-probabilities of every token of every text.
 
 Counts are over all training tokens. Every training text is encoded once as its symbols.
 Shards of about `SHARD_TOKENS` tokens are trained side by side by noise-contrastive
-estimation in numpy, from one start, and their parameters averaged, in `ROUNDS` rounds;
-of every text one position in `EVERY` is a target, in small corpora more (up to
-`MOST_PASSES` passes over all). Work and what is gathered grow with the corpus, the
-driver holds one model.
+estimation in numpy, from one start, and their parameters averaged, in `ROUNDS` rounds that
+each take their share of the texts. Every position of every training text is a target once,
+whatever the corpus' size; a batch is held against `NOISE` groups and `NOISE` symbols drawn
+from the start's distribution. Work and what is
+gathered grow with the corpus, sums are formed before they are shuffled, the driver holds
+one model.
 
 Words of at least one in `HEAD_SHARE` tokens, no more than `HEAD_SHARE` therefore, travel
 with their counts by broadcast; the counts of all others are joined, whatever the size.
@@ -49,13 +51,10 @@ WORD_SHARE = 32_768
 KINDS = 4096
 CONTEXT = 4
 WIDTH = 24
-NOISE = 64  # noise words a target
-EVERY = 8
+NOISE = 64  # groups and symbols drawn for a batch
 SHARD_TOKENS = 4_000_000
-LEAST_TARGETS = 2_000_000
-MOST_PASSES = 8
 ROUNDS = 2
-BATCH = 4096
+BATCH = 256
 CHUNK = 1 << 14
 NOT_LETTERS = bytes(b for b in range(128) if not 97 <= b <= 122)
 
@@ -178,30 +177,59 @@ def laid_out(sequences: list[np.ndarray]):
 
 
 class Trainer:
-    """Noise-contrastive estimation; the noise is the start's distribution, its expectation taken whole."""
+    """Noise-contrastive estimation, of groups and of symbols; noise is drawn from the start's distributions.
 
-    def __init__(self, model: dict[str, np.ndarray], start: dict[str, np.ndarray], rate: float = 0.15):
+    Symbols are contrasted with symbols of all groups. Their scores are kept without the group's share, which the noise's
+    score lacks as well; within a group only differences count.
+    """
+
+    def __init__(self, model: dict[str, np.ndarray], start: dict[str, np.ndarray], rate: float = 0.15, seed: int = 5):
         self.p = {k: v.copy() for k, v in model.items()}
         self.sum = {k: np.full(v.shape, 1e-4, np.float32) for k, v in model.items()}
-        self.rate = rate
-        self.noise = np.log(NOISE) + start["bg"], np.log(NOISE) + start["b"]
+        self.rate, self.rng = rate, np.random.default_rng(seed)
+        # log of NOISE times the noise's probability, and what to draw by
+        self.noise = (np.log(NOISE) + start["bg"]).astype(np.float32), (np.log(NOISE) + start["b"]).astype(np.float32)
+        groups, inside = np.exp(start["bg"].astype(np.float64)), np.exp(start["b"].astype(np.float64))
+        self.draws = np.cumsum(groups), np.cumsum(groups[:, None] * inside)
         self.weight = 0
-        self.held: list[np.ndarray] = []
-        self.holds = 0
 
     def _step(self, name, where, grad):
         self.sum[name][where] += grad * grad
         self.p[name][where] -= self.rate * grad / np.sqrt(self.sum[name][where])
 
+    def _drawn(self, sums: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(sums, self.rng.random(NOISE) * sums[-1], side="right"), len(sums) - 1)
+
     @staticmethod
-    def _contrast(s, noise, target):
-        """Gradient in the scores s of the contrast between targets and the expected noise."""
-        d = 1 / (1 + np.exp(np.clip(noise - s, -30, 30)))
-        rows = np.arange(len(s))
-        hit = d[rows, target]
-        d *= np.exp(noise)
-        d[rows, target] += hit - 1
-        return d
+    def _learnt(s, noise):
+        """How sure the model is, of scores s, that it sees a word and no noise."""
+        return 1 / (1 + np.exp(np.clip(noise - s, -30, 30)))
+
+    def _against(self, names, h, noise, drawn):
+        """Step on the rows drawn for a batch; the gradient in h."""
+        q, b = self.p[names[0]].reshape(-1, h.shape[1]), self.p[names[1]].ravel()
+        w = q[drawn]
+        d = self._learnt(h @ w.T + b[drawn], noise.ravel()[drawn])
+        rows, back = np.unique(drawn, return_inverse=True)
+        once = np.zeros((len(rows), len(drawn)), np.float32)
+        once[back, np.arange(len(drawn))] = 1  # a row drawn twice gets both gradients
+        at = np.unravel_index(rows, self.p[names[1]].shape)
+        dh = d @ w
+        self._step(names[0], at, once @ (d.T @ h))
+        self._step(names[1], at, once @ d.sum(axis=0))
+        return dh
+
+    def _toward(self, names, h, noise, target):
+        """Step on the targets' rows, which come in order; the gradient in h."""
+        q, b = self.p[names[0]].reshape(-1, h.shape[1]), self.p[names[1]].ravel()
+        w = q[target]
+        d = self._learnt(np.einsum("bd,bd->b", h, w) + b[target], noise.ravel()[target]) - 1
+        first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        rows, shape = target[first], self.p[names[1]].shape
+        at = np.unravel_index(rows, shape)
+        self._step(names[0], at, np.add.reduceat(d[:, None] * h, first, axis=0))
+        self._step(names[1], at, np.add.reduceat(d, first))
+        return d[:, None] * w
 
     def batch(self, context: np.ndarray, target: np.ndarray):
         p, width = self.p, self.p["q"].shape[1]
@@ -209,18 +237,11 @@ class Trainer:
         context, target = context[order], target[order]
         r = p["r"][context]  # B x CONTEXT x WIDTH
         h = np.einsum("bjd,jd->bd", r, p["c"])
-        group, slot = target // width, target % width
-        d = self._contrast(h @ p["qg"].T + p["bg"], self.noise[0], group)
-        dh = d @ p["qg"]
-        self._step("qg", slice(None), d.T @ h)
-        self._step("bg", slice(None), d.sum(axis=0))
-        ends = np.flatnonzero(np.r_[np.diff(group) != 0, True]) + 1
-        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            g, mine = int(group[lo]), h[lo:hi]
-            d = self._contrast(mine @ p["q"][g].T + p["b"][g], self.noise[1][g], slot[lo:hi])
-            dh[lo:hi] += d @ p["q"][g]
-            self._step("q", g, d.T @ mine)
-            self._step("b", g, d.sum(axis=0))
+        group = target // width
+        dh = self._against(("qg", "bg"), h, self.noise[0], self._drawn(self.draws[0]))
+        dh += self._toward(("qg", "bg"), h, self.noise[0], group)
+        dh += self._against(("q", "b"), h, self.noise[1], self._drawn(self.draws[1]))
+        dh += self._toward(("q", "b"), h, self.noise[1], target)
         self._step("c", slice(None), np.einsum("bjd,bd->jd", r, dh))
         at = context.ravel()
         by = np.argsort(at, kind="stable")
@@ -228,15 +249,11 @@ class Trainer:
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         self._step("r", at[first], np.add.reduceat((dh[:, None, :] * p["c"]).reshape(-1, WIDTH)[by], first, axis=0))
 
-    def texts(self, sequences: list[np.ndarray], every: int, turn: int):
-        """One position in `every` of each text is a target, its first by its length and the turn."""
-        flat, at, sizes = laid_out(sequences)
-        if every > 1:
-            place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = at[(place + np.repeat(sizes, sizes) + turn) % every == 0]
+    def texts(self, sequences: list[np.ndarray]):
+        """Every position of every text is a target."""
+        flat, at, _ = laid_out(sequences)
         self.weight += len(at)
-        rng = np.random.default_rng(len(at))
-        at = rng.permutation(at)
+        at = self.rng.permutation(at)
         for lo in range(0, len(at), BATCH):
             part = at[lo:lo + BATCH]
             self.batch(flat[part[:, None] - 1 - np.arange(CONTEXT)], flat[part])
@@ -322,8 +339,8 @@ def symbols_of(counts: DataFrame) -> Symbols:
     return Symbols([words[k] for k in by], n[by], kind_n, kind_words, total, kinds)
 
 
-def _averaged(parts: DataFrame, model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The mean of the shards' parameters by their weights, summed chunk by chunk on the executors."""
+def _averaged(parts: DataFrame, model: dict[str, np.ndarray], shards: int) -> dict[str, np.ndarray]:
+    """The mean of the shards' parameters (chunk, weight, values as sums) by their weights, summed on the executors: within lanes of shards, then over the lanes."""
 
     def add(batches):
         total: dict[int, list] = {}
@@ -331,14 +348,18 @@ def _averaged(parts: DataFrame, model: dict[str, np.ndarray]) -> dict[str, np.nd
             for chunk, weight, values in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found = total.setdefault(chunk, [0.0, 0.0])
                 found[0] += weight
-                found[1] = found[1] + weight * np.frombuffer(values, np.float32).astype(np.float64)
-        rows = [(c, (v / w).astype(np.float32).tobytes()) for c, (w, v) in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "mean"])
-
-    rows = sorted((r.chunk, bytes(r["mean"])) for r in parts.repartition("chunk").mapInArrow(add, "chunk int, mean binary").collect())
+                found[1] = found[1] + np.frombuffer(values, np.float64)
+        rows = [(c, w, v.tobytes()) for c, (w, v) in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.binary())], ["chunk", "weight", "values"])
+
+    shape = "chunk int, weight double, values binary"
+    lanes = max(1, math.isqrt(shards))
+    lane = F.pmod(F.spark_partition_id(), F.lit(lanes))
+    summed = parts.withColumn("lane", lane).repartition("chunk", "lane").select("chunk", "weight", "values").mapInArrow(add, shape)
+    rows = sorted((r.chunk, r.weight, bytes(r["values"])) for r in summed.repartition("chunk").mapInArrow(add, shape).collect())  # one model
     if not rows:
         return model
-    flat, out, at = np.frombuffer(b"".join(b for _, b in rows), np.float32), {}, 0
+    flat, out, at = np.concatenate([np.frombuffer(v, np.float64) / w for _, w, v in rows]).astype(np.float32), {}, 0
     for name, value in model.items():
         out[name] = flat[at:at + value.size].reshape(value.shape)
         at += value.size
@@ -352,41 +373,30 @@ def train(encoded: DataFrame, symbols: Symbols) -> dict[str, np.ndarray]:
     if not symbols.total:
         return model
     shards = -(-symbols.total // SHARD_TOKENS)
-    passes = min(MOST_PASSES, max(1, LEAST_TARGETS * EVERY // symbols.total))
     rows = encoded.filter("_train").select("_row", "_symbols")
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((packed(start), packed(model)))
 
         def run(batches, sent=sent, turn=turn):
             start_, model_ = map(unpacked, sent.value)
-            trainer, held = Trainer(model_, start_), []
-
-            def texts():
-                held_, size = [], 0
-                for batch in batches:
-                    for cell in batch.column(1).to_pylist():
-                        held_.append(np.frombuffer(cell, np.uint16))
-                        size += len(held_[-1])
-                        if size > 200_000:
-                            yield held_
-                            held_, size = [], 0
-                if held_:
-                    yield held_
-
-            for part in texts():
-                trainer.texts(part, EVERY, turn)
-                if passes > 1:  # a small corpus
-                    held.append(part)
-            for k in range(1, passes):
-                for part in held:
-                    trainer.texts(part, EVERY, turn + k)
+            trainer = Trainer(model_, start_, seed=turn)
+            held, size = [], 0
+            for batch in batches:
+                for cell in batch.column(1).to_pylist():
+                    held.append(np.frombuffer(cell, np.uint16))
+                    size += len(held[-1])
+                    if size > 200_000:
+                        trainer.texts(held)
+                        held, size = [], 0
+            if held:
+                trainer.texts(held)
             if trainer.weight:
-                flat = np.concatenate([v.ravel() for v in trainer.p.values()])
+                flat = np.concatenate([v.ravel() for v in trainer.p.values()]).astype(np.float64) * trainer.weight
                 cut_ = [flat[k:k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(cut_)), pa.int32()), pa.array([float(trainer.weight)] * len(cut_)), pa.array(cut_, pa.binary())], ["chunk", "weight", "values"])
 
         mine = rows.filter(F.pmod(F.xxhash64("_row", F.lit(1)), F.lit(ROUNDS)) == turn)
-        model = _averaged(mine.repartition(int(shards), "_row").mapInArrow(run, "chunk int, weight double, values binary"), model)
+        model = _averaged(mine.repartition(int(shards), "_row").mapInArrow(run, "chunk int, weight double, values binary"), model, int(shards))
         sent.unpersist()
     return model
 
