@@ -231,3 +231,11 @@ def test_correction_kinds(spark):
                                 ('{"correction":"odd"}', 0.5), ("{}", 0.5), (None, 0.5), ('{"correction":"affirm","corrections":0}', 0.5)], "m string, want double")
     for r in df.select("want", trust.correction_of(F.col("m")).alias("got")).collect():
         assert abs(r.got - r.want) < 1e-5
+
+
+def test_chains_of_successors(spark):
+    from trustloom.operators import lifecycle
+
+    given = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(20)] + [("x", "y"), ("y", "z"), ("z", "y"), ("s", "s"), ("end", None), ("b", "a19")]
+    got = {r.memory_id: (r.final, r.steps, r.cyclic) for r in lifecycle.chains(spark.createDataFrame(given, "memory_id string, superseded_by string")).collect()}
+    assert got == {f"a{i:02d}": ("a20", 20 - i, False) for i in range(20)} | {k: (None, None, True) for k in "xyzs"} | {"b": ("a20", 2, False)}

@@ -216,6 +216,26 @@ def lineage(records: DataFrame) -> DataFrame:
     return out.select("memory_id", "superseded_by", F.when(F.col("decision.key") == "database", F.coalesce("split", "newer")).otherwise(F.col("newer")).alias("value"))
 
 
+def chains(records: DataFrame) -> DataFrame:
+    """(memory_id, final, steps, cyclic): whom each superseded record was replaced by in the end, after how many steps.
+
+    Pointers are doubled: a round joins every open record with the one that it points at, so that a chain of n steps takes
+    log n rounds. Records that run into a circle have no final one; a successor that is not there ends a chain.
+    """
+    none = F.lit(None).cast("string")
+    at = settle(records.filter("superseded_by is not null").select("memory_id", F.col("superseded_by").alias("next"), F.lit(1).cast("long").alias("steps")))
+    n, reached = at.count(), 1
+    while True:
+        to = at.select(F.col("memory_id").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"))
+        open_ = at.join(to, "next", "left").select("memory_id", "next", "steps", "after", "more")
+        if reached > n or not open_.filter("after is not null").limit(1).count():
+            break  # all have come to an end, or gone farther than there are records
+        reached *= 2
+        at = settle(open_.select("memory_id", F.coalesce("after", "next").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    cyclic = F.col("after").isNotNull()
+    return open_.select("memory_id", F.when(~cyclic, F.col("next")).otherwise(none).alias("final"), F.when(~cyclic, F.col("steps")).alias("steps"), cyclic.alias("cyclic"))
+
+
 def classified(records: DataFrame) -> DataFrame:
     """Add omitted, usable, active, deprecated and avoid: overlapping classes by status, tier, secrets and words."""
     from trustloom.functions.text import has_any

@@ -305,6 +305,12 @@ def lineage_join(spark, sf):
     return lifecycle.lineage(m)
 
 
+def lineage_chains(spark, sf):
+    """The final successor of every superseded or disputed record; each is said to be replaced by the next record."""
+    m = memories(spark, sf).filter(c("status").isin("superseded", "disputed", "active"))
+    return lifecycle.chains(m.select("memory_id", F.lpad((c("memory_id").cast("long") + 1).cast("string"), 12, "0").alias("superseded_by")))
+
+
 def outdated_join(spark, sf):
     """J11."""
     values = spark.createDataFrame([("MySQL",), ("pnpm test",), ("noon",)], "value string")
@@ -629,6 +635,8 @@ SELECT query_id, CAST(rank AS INT) AS rank, memory_id, score FROM k WHERE rank <
 parts AS (SELECT DISTINCT CASE WHEN dec.key = 'database_local' THEN 'local ' ELSE 'cloud ' END || dec.value AS part FROM d WHERE status = 'active' AND dec.key IN ('database_local', 'database_cloud')),
 joined AS (SELECT string_agg(part, ' and ' ORDER BY part) AS split FROM parts)
 SELECT d.memory_id, d.superseded_by, CASE WHEN d.dec.key = 'database' THEN coalesce(split, n.dec.value) ELSE n.dec.value END AS value FROM d LEFT JOIN d n ON n.memory_id = d.superseded_by, joined WHERE d.status = 'superseded' AND d.dec IS NOT NULL"""),
+    "lineage_chains": (lineage_chains, M + """, s AS (SELECT CAST(memory_id AS BIGINT) AS k FROM memories WHERE status IN ('superseded', 'disputed', 'active')), r AS (SELECT k, k - row_number() OVER (ORDER BY k) AS run FROM s)
+SELECT lpad(CAST(k AS VARCHAR), 12, '0') AS memory_id, lpad(CAST(max(k) OVER (PARTITION BY run) + 1 AS VARCHAR), 12, '0') AS final, max(k) OVER (PARTITION BY run) + 1 - k AS steps, FALSE AS cyclic FROM r"""),
     "outdated_join": (outdated_join, M + f", d AS (SELECT *, lower(({S.decision('content')}).value) AS dv FROM memories) SELECT memory_id, CASE WHEN status <> 'deleted' AND (contains(lower(content), 'mysql') OR contains(lower(content), 'pnpm test') OR contains(lower(content), 'noon') OR coalesce(dv IN ('mysql', 'pnpm test', 'noon'), FALSE)) THEN 'outdated' ELSE status END AS status FROM d"),
     "expire_due": (expire_due, M + f", e AS (SELECT CASE WHEN status = 'active' AND expires_s <= {NOW_S} THEN 'expired' ELSE status END AS status FROM memories) SELECT status, count(*) AS n FROM e GROUP BY status"),
     "memory_classes": (memory_classes, M + f""", m AS (SELECT *, status <> 'deleted' AS alive, sensitivity IN ('secret', 'pii') OR {S.has_secret('content')} AS hidden FROM memories)
