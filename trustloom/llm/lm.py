@@ -340,22 +340,22 @@ def symbols_of(counts: DataFrame) -> Symbols:
 
 
 def _averaged(parts: DataFrame, model: dict[str, np.ndarray], shards: int) -> dict[str, np.ndarray]:
-    """The mean of the shards' parameters (chunk, weight, values as sums) by their weights, summed on the executors: within lanes of shards, then over the lanes."""
+    """The mean of the shards' parameters (chunk, weight, values in single precision) by their weights, summed on the executors: within lanes of shards, then over the lanes."""
 
-    def add(batches):
+    def add(batches, of=np.float64):
         total: dict[int, list] = {}
         for batch in batches:
             for chunk, weight, values in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found = total.setdefault(chunk, [0.0, 0.0])
                 found[0] += weight
-                found[1] = found[1] + np.frombuffer(values, np.float64)
+                found[1] = found[1] + np.frombuffer(values, of).astype(np.float64) * (weight if of is np.float32 else 1)
         rows = [(c, w, v.tobytes()) for c, (w, v) in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.binary())], ["chunk", "weight", "values"])
 
     shape = "chunk int, weight double, values binary"
     lanes = max(1, math.isqrt(shards))
     lane = F.pmod(F.spark_partition_id(), F.lit(lanes))
-    summed = parts.withColumn("lane", lane).repartition("chunk", "lane").select("chunk", "weight", "values").mapInArrow(add, shape)
+    summed = parts.withColumn("lane", lane).repartition("chunk", "lane").select("chunk", "weight", "values").mapInArrow(lambda batches: add(batches, np.float32), shape)
     rows = sorted((r.chunk, r.weight, bytes(r["values"])) for r in summed.repartition("chunk").mapInArrow(add, shape).collect())  # one model
     if not rows:
         return model
@@ -391,7 +391,7 @@ def train(encoded: DataFrame, symbols: Symbols) -> dict[str, np.ndarray]:
             if held:
                 trainer.texts(held)
             if trainer.weight:
-                flat = np.concatenate([v.ravel() for v in trainer.p.values()]).astype(np.float64) * trainer.weight
+                flat = np.concatenate([v.ravel() for v in trainer.p.values()])
                 cut_ = [flat[k:k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(cut_)), pa.int32()), pa.array([float(trainer.weight)] * len(cut_)), pa.array(cut_, pa.binary())], ["chunk", "weight", "values"])
 
