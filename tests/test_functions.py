@@ -239,3 +239,22 @@ def test_chains_of_successors(spark):
     given = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(20)] + [("x", "y"), ("y", "z"), ("z", "y"), ("s", "s"), ("end", None), ("b", "a19")]
     got = {r.memory_id: (r.final, r.steps, r.cyclic) for r in lifecycle.chains(spark.createDataFrame(given, "memory_id string, superseded_by string")).collect()}
     assert got == {f"a{i:02d}": ("a20", 20 - i, False) for i in range(20)} | {k: (None, None, True) for k in "xyzs"} | {"b": ("a20", 2, False)}
+
+
+@pytest.mark.parametrize("block", [200_000, 3000])
+def test_many_strings_at_once(spark, monkeypatch, block):
+    import random
+
+    from trustloom.functions import needles
+
+    monkeypatch.setattr(needles, "BLOCK", block)
+    some = random.Random(2)
+    word = lambda n: "".join(some.choices("abcdé ", k=n))
+    strings = [word(some.randrange(5, 9)) for _ in range(10_000 if block < 10_000 else 100_000)] + ["", None]
+    texts = [(i, word(some.randrange(0, 40))) for i in range(300)] + [(900, None), (901, "zz" + strings[5] + "zz"), (901, "again")]
+    frame = spark.createDataFrame([(s,) for s in strings], "s string")
+    got = needles.holders(spark.createDataFrame(texts, "id long, text string"), "id", "text", frame)
+    known, lengths = {s for s in strings if s}, range(5, 9)
+    wanted = {i for i, t in texts if t and any(t[a:a + n] in known for n in lengths for a in range(len(t) - n + 1))}
+    assert sorted(r.key for r in got.collect()) == sorted(wanted) and 0 < len(wanted) < 300
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.frames import settle
-from trustloom.functions import decisions, detect as detectors, trust
+from trustloom.functions import decisions, detect as detectors, needles, trust
 from trustloom.operators import contradict
 
 LEAST_USER_TRUST = 0.45  # fixed value
@@ -179,10 +179,11 @@ def create(new: DataFrame, records: DataFrame, now_s: Column, policies: list[tup
 
 
 def outdate(records: DataFrame, values: DataFrame) -> DataFrame:
-    """Records, deleted ones apart, that hold or decide for one of the values (few: a stated list) become outdated."""
-    needles = F.broadcast(values.select(F.lower("value").alias("_needle")).filter("_needle <> ''").distinct())
-    held = records.withColumn("_decision", F.lower(decisions.found(F.col("content"))["value"]))
-    hit = held.join(needles, F.lower("content").contains(F.col("_needle")) | (F.col("_decision") == F.col("_needle")), "left_semi").select(F.col("memory_id").alias("_hit")).distinct()
+    """Records, deleted ones apart, that hold or decide for one of the values (a stated list, which may be long) become outdated."""
+    lower = values.select(F.lower("value").alias("needle")).filter("needle <> ''").distinct()
+    read = settle(records.filter("status <> 'deleted'").select("memory_id", F.lower("content").alias("text"), F.lower(decisions.found(F.col("content"))["value"]).alias("needle")))
+    hit = needles.holders(read, "memory_id", "text", lower).select(F.col("key").alias("_hit"))
+    hit = hit.unionByName(read.join(lower, "needle", "left_semi").select(F.col("memory_id").alias("_hit"))).distinct()
     out = records.join(hit, F.col("memory_id") == F.col("_hit"), "left")
     return out.withColumn("status", F.when(F.col("_hit").isNotNull() & (F.col("status") != "deleted"), "outdated").otherwise(F.col("status"))).drop("_hit")
 
