@@ -72,14 +72,12 @@ def extract(transcripts: DataFrame) -> DataFrame:
     old = F.col("old")
 
     def decided(key, value, confidence, old=none("string")):
-        value = decisions.trimmed(detect.redact(value))
         return F.struct(key.alias("decision_key"), value.alias("value"), old.alias("supersedes_value"), F.lit(confidence).alias("confidence") if isinstance(confidence, float) else confidence.alias("confidence"),
-                        F.lit("internal").alias("sensitivity"), F.lit("memory").alias("action"), content_of(key, value, old).alias("content"),
-                        F.concat(decisions.label(key), F.lit(": "), value).alias("canonical"))
+                        F.lit("internal").alias("sensitivity"), F.lit("memory").alias("action"), none("string").alias("content"))
 
     def said(key, value, confidence, tier, action, content):
         return F.struct(key.alias("decision_key"), value.alias("value"), none("string").alias("supersedes_value"), F.lit(confidence).alias("confidence"),
-                        F.lit(tier).alias("sensitivity"), F.lit(action).alias("action"), content.alias("content"), content.alias("canonical"))
+                        F.lit(tier).alias("sensitivity"), F.lit(action).alias("action"), content.alias("content"))
 
     part = lambda pattern, g: F.regexp_extract(c, pattern, g)
     dead = decisions.trimmed(part(DEAD, 1))
@@ -92,7 +90,13 @@ def extract(transcripts: DataFrame) -> DataFrame:
         c.rlike(RULE) & has_any(c, DURABLE), F.array(said(F.lit("coding_rule"), none("string"), CONFIDENCE["rule"], "internal", "coding_rule",
                                                         F.concat(F.regexp_replace(detect.redact(c), r"\.+$", ""), F.lit(".")))))
     rows = rows.withColumn("evidence", detect.redact(c)).select("source_ref", "source_type", "line", "part", "evidence", F.posexplode(made).alias("nth", "m"))
-    rows = rows.select("source_ref", "source_type", "line", "part", "nth", "evidence", "m.*").withColumn("source", F.concat("source_ref", F.when(F.col("source_ref") != "", "#L").otherwise("L"), F.col("line").cast("string")))
+    rows = rows.select("source_ref", "source_type", "line", "part", "nth", "evidence", "m.*")
+    # a decision's value is cleaned once, behind a generator, for the texts that name it
+    memory, key_, value = F.col("action") == "memory", F.col("decision_key"), F.col("value")
+    clean = F.when(memory, decisions.trimmed(detect.redact(value))).otherwise(value)
+    rows = rows.select(*[c_ for c_ in rows.columns if c_ != "value"], F.explode(F.array(clean)).alias("value"))
+    rows = rows.withColumns({"canonical": F.when(memory, F.concat(decisions.label(key_), F.lit(": "), value)).otherwise(F.col("content")), "content": F.when(memory, content_of(key_, value, F.col("supersedes_value"))).otherwise(F.col("content"))})
+    rows = rows.withColumn("source", F.concat("source_ref", F.when(F.col("source_ref") != "", "#L").otherwise("L"), F.col("line").cast("string")))
     name = F.lower(F.regexp_extract(F.regexp_replace("source_ref", "#.*$", ""), r"([^/]*)$", 1))
     key = [F.coalesce("decision_key", F.lit("")), F.lower(F.coalesce(F.nullif("value", F.lit("")), "content")), name]
     # keep-first of one transcript's file; partial limit before the shuffle
