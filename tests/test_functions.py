@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,22 @@ def test_many_strings_at_once(spark, monkeypatch, block):
     wanted = {i for i, t in texts if t and any(t[a:a + n] in known for n in lengths for a in range(len(t) - n + 1))}
     assert sorted(r.key for r in got.collect()) == sorted(wanted) and 0 < len(wanted) < 300
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_embedding_keeps_nothing_between_texts():
+    """What a worker holds does not grow with the texts it has seen."""
+    import tracemalloc
+
+    some = lambda k: " ".join(f"w{k * 4000 + i}" for i in range(4000))
+    embed.cells_of(some(0))
+    tracemalloc.start()
+    for k in range(1, 9):
+        embed.cells_of(some(k))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_000_000
+    one = np.zeros(embed.WIDTH, np.int64)
+    for gram in ("a", "b", "a", "a b", "b a"):
+        for cell, sign in embed.places(gram):
+            one[cell] += sign
+    assert (embed.cells_of("A b, a") == one).all() and not embed.cells_of(None).any()
