@@ -84,3 +84,38 @@ def test_one_of_each_group_equals_all_pairs(spark):
         best = rows[least(ks)][0]
         assert any((best, rows[k][1]) in got for k in ks if rows[k][0] == best)
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_groups_keep_links_that_a_bucket_s_first_do_not_show(spark, monkeypatch):
+    """Texts in one bucket that are unlike its first and its last, but like one another."""
+    rng = random.Random(9)
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.sample(range(10, 190, 6), n):
+            words[at] = f"x{rng.randrange(10 ** 9)}"
+        return " ".join(words)
+
+    pool = [changed([f"w{g}_{k}" for k in range(200)], 2) for g in range(12) for _ in range(3)]
+    monkeypatch.setattr(simhash, "_bands", lambda h: np.zeros(1, np.uint64))  # all in one bucket
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in pool]
+    like = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = least_reachable(list(range(len(pool))), like)
+    ids = [xxhash_of(t) for t in pool]
+    lo, hi = min(range(len(ids)), key=ids.__getitem__), max(range(len(ids)), key=ids.__getitem__)
+    shown = least_reachable(list(range(len(pool))), lambda i, j: {lo, hi} & {i, j} and like(i, j))
+    assert len(set(want)) < len(set(shown))
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string"))
+    assert kept.count() == len(set(want))
+
+
+def xxhash_of(text):
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(np.unique(simhash.shingle_hashes(text, 5)).tobytes(), 5)], np.uint64).view(np.int64)[0]
+
+
+def test_all_pairs_within_four_bits():
+    bits = np.array([0, 1, 0b11111, 0b11110, 1 << 63], np.uint64)
+    want = [(i, j) for i in range(5) for j in range(i + 1, 5) if (int(bits[i]) ^ int(bits[j])).bit_count() <= 4]
+    assert simhash.every_pair(bits) == want and len(simhash.forest(bits)) < len(want)

@@ -12,8 +12,10 @@ holds then is distinct fingerprints alike in two parts at least, eight bytes eac
 `alike` groups texts by the similarity (Jaccard) of their sets of shingles instead.
 Fingerprints within four bits bring pairs from about 0.93 together; texts of 0.8 differ
 in some ten of 64 bits, where no segment with one wildcard is selective any more. So it
-adds candidates from bands of smallest hashes, and holds every candidate of either kind
-against the whole shingle sets.
+adds candidates from bands of smallest hashes, and holds candidates of either kind
+against the whole shingle sets: first few of each bucket, so many as would connect it, and
+then, of buckets that this left in parts, all pairs across the parts. So whatever meets
+in a bucket and is similar enough ends in one group.
 
 Null and empty texts have fingerprint zero and no shingles, and link like any other.
 Repeated rows share a fingerprint. A null doc_id takes part but names no component; a
@@ -124,7 +126,12 @@ def forest(bits: np.ndarray, limit: int = MAX_BITS) -> list[tuple[int, int]]:
     return links
 
 
-def _bucket_links(batches):
+def every_pair(bits: np.ndarray, limit: int = MAX_BITS) -> list[tuple[int, int]]:
+    """All pairs within `limit` bits, as positions."""
+    return [(i, i + 1 + j) for i in range(len(bits) - 1) for j in np.flatnonzero(_popcount(bits[i + 1:] ^ bits[i]) <= limit).tolist()]
+
+
+def _bucket_links(batches, of=forest):
     """Rows sorted by (k, p); links of every run of equal keys, runs carried over batches."""
     def links(k, p, fp):
         change = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1
@@ -136,7 +143,7 @@ def _bucket_links(batches):
             a.append(fp[s][near])
             b.append(fp[s + 1][near])
         for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-            found = forest(fp[s:e])
+            found = of(fp[s:e])
             if found:
                 i, j = np.array(found).T
                 a.append(fp[s:e][i])
@@ -164,15 +171,15 @@ def _bucket_links(batches):
         yield links(*(np.concatenate(c) for c in zip(*held)))
 
 
-def links(distinct: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
-    """(a, b) with a < b: links that connect whatever lies within four bits of each other."""
+def links(distinct: DataFrame, split_at: int = SPLIT_AT, of=forest) -> DataFrame:
+    """(a, b) with a < b: links that connect whatever lies within four bits of each other, or with `every_pair` all of them."""
     keyed = distinct.select("fp", F.explode(_variants("fp")).alias("k"))
     large = keyed.groupBy("k").count().filter(F.col("count") > split_at).select("k", F.lit(True).alias("large"))
     position = F.shiftright(F.col("k"), 32)
     dealt = keyed.join(large, "k", "left").select(
         "k", F.explode(F.when(F.col("large"), _pieces("fp", position)).otherwise(F.array(F.lit(0).cast("long")))).alias("p"), "fp"
     )
-    return dealt.repartition("k", "p").sortWithinPartitions("k", "p").mapInArrow(_bucket_links, "a long, b long").distinct()
+    return dealt.repartition("k", "p").sortWithinPartitions("k", "p").mapInArrow(lambda batches: _bucket_links(batches, of), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,19 +231,20 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, prints, keys = [], [], []
+            ids, prints, keys, sizes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, width)
                 prints.append(majority(h))
                 h = np.unique(h)
+                sizes.append(len(h))
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), 5))
                 keys.append(_bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             flat = np.concatenate(keys or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], signed(ids), signed(prints), list_array(flat, [len(k) for k in keys], pa.int64())],
-                                             ["doc_id", "_text", "_id", "_fp", "_keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], signed(ids), signed(prints), pa.array(sizes, pa.int32()), list_array(flat, [len(k) for k in keys], pa.int64())],
+                                             ["doc_id", "_text", "_id", "_fp", "_n", "_keys"])
 
-    schema = StructType(docs.schema.fields[:2] + StructType.fromDDL("_id long, _fp long, _keys array<bigint>").fields)
+    schema = StructType(docs.schema.fields[:2] + StructType.fromDDL("_id long, _fp long, _n int, _keys array<bigint>").fields)
     return docs.mapInArrow(run, schema)
 
 
@@ -276,7 +284,7 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, split_at: in
     """(doc_id, _text, _root) per row: hash of its text, the least name of its group."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
     prints = cut(_prints(texts, width))
-    nodes = cut(prints.groupBy("_id").agg(F.first("_fp").alias("_fp"), F.first("_keys").alias("_keys"), F.min("_text").alias("_text")))
+    nodes = cut(prints.groupBy("_id").agg(F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys"), F.min("_text").alias("_text")))
     # a bucket's first and last take part in its candidates, whatever its size
     band = nodes.select("_id", F.explode("_keys").alias("k"))
     ends = band.groupBy("k").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi")
@@ -284,17 +292,57 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, split_at: in
     by_band = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("_id").alias("b")), F.struct(F.col("_id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
     print_ends = cut(nodes.groupBy("_fp").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")))
     same = hot_join(nodes.select("_id", "_fp"), print_ends.filter("lo < hi"), "_fp").select(F.col("lo").alias("a"), F.col("_id").alias("b"))
-    near = links(print_ends.select(F.col("_fp").alias("fp")), split_at)
-    near = near.join(print_ends.select(F.col("_fp").alias("a"), F.col("lo").alias("x")), "a").join(print_ends.select(F.col("_fp").alias("b"), F.col("lo").alias("y")), "b")
+    bits = cut(links(print_ends.select(F.col("_fp").alias("fp")), split_at))
+    near = bits.join(print_ends.select(F.col("_fp").alias("a"), F.col("lo").alias("x")), "a").join(print_ends.select(F.col("_fp").alias("b"), F.col("lo").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = cut(by_band.union(same).union(near).filter("a < b").distinct())
-    # only texts that take part in a candidate are read again
-    named = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    wanted = cut(nodes.select("_id", "_text").join(named, "_id", "left_semi").select("_text").distinct())
-    sets = _sets(texts.join(if_small(wanted), "_text", "left_semi"), width)
-    member = components(_jaccard_links(pairs, sets, similarity))
-    rooted = cut(nodes.select("_id").join(member.withColumnRenamed("fp", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").alias("_root")))
-    return hot_join(prints.select("doc_id", "_text", "_id"), rooted, "_id").select("doc_id", "_text", "_root")
+    first = cut(by_band.union(same).union(near).filter("a < b").distinct())
+
+    def verified(pairs):
+        # only texts that take part in a candidate are read again
+        named = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        wanted = cut(nodes.select("_id", "_text").join(named, "_id", "left_semi").select("_text").distinct())
+        sets = _sets(texts.join(if_small(wanted), "_text", "left_semi"), width)
+        return cut(_jaccard_links(pairs, sets, similarity))
+
+    def rooted(linked):
+        return cut(nodes.select("_id").join(components(linked).withColumnRenamed("fp", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").alias("_root")))
+
+    linked = verified(first)
+    root = rooted(linked)
+    rest = cut(_across(nodes, root, band, bits, similarity, split_at).join(first, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        root = rooted(linked.union(verified(rest)))
+    return hot_join(prints.select("doc_id", "_text", "_id"), root, "_id").select("doc_id", "_text", "_root")
+
+
+def _across(nodes: DataFrame, root: DataFrame, band: DataFrame, bits: DataFrame, similarity: float, split_at: int) -> DataFrame:
+    """(a, b) with a < b: of all that meet in a band or within four bits, the pairs of different roots and fitting sizes."""
+    of = cut(nodes.select("_id", "_fp", "_n").join(root, "_id"))
+
+    def opened(rows, key):
+        """Rows (key, _id) of the keys whose nodes are of several roots, with root and size."""
+        full = cut(hot_join(rows, of.select("_id", "_root", "_n"), "_id"))
+        parts = full.groupBy(key).agg(F.min("_root").alias("least"), F.max("_root").alias("most")).filter("least < most").select(key)
+        return full.join(if_small(cut(parts)), key, "left_semi")
+
+    def paired(x, y, on):
+        a, b = (df.select(*[F.col(c).alias(c if c in on else f"{c}{n}") for c in df.columns]) for df, n in ((x, 1), (y, 2)))
+        fits = (F.least("_n1", "_n2") >= similarity * F.greatest("_n1", "_n2")) & (F.col("_root1") != F.col("_root2"))
+        return a.join(b, on).filter(fits).select(F.least("_id1", "_id2").alias("a"), F.greatest("_id1", "_id2").alias("b"))
+
+    def apart(x, key):  # each pair of a key once
+        return paired(x, x, [key]).filter("a < b")
+
+    by_band = apart(opened(band, "k"), "k")
+    by_print = apart(opened(of.select("_fp", "_id"), "_fp"), "_fp")
+    # of fingerprints that bits connect, all pairs where this holds several roots
+    group = components(bits).select(F.col("fp").alias("_fp"), F.col("root").alias("g"))
+    group = group.union(group.select(F.col("g").alias("_fp"), "g").distinct()).distinct()
+    loose = cut(opened(of.select("_fp", "_id").join(group, "_fp").select("g", "_id"), "g").join(of.select("_id", "_fp"), "_id").select("_fp", "_id", "_root", "_n"))
+    close = links(loose.select(F.col("_fp").alias("fp")).distinct(), split_at, every_pair)
+    x, y = loose.withColumnRenamed("_fp", "f"), loose.withColumnRenamed("_fp", "g")
+    by_bits = paired(x.join(close.select(F.col("a").alias("f"), F.col("b").alias("g")), "f"), y, ["g"])
+    return by_band.union(by_print).union(by_bits).distinct()
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
