@@ -109,6 +109,32 @@ def test_groups_keep_links_that_a_bucket_s_first_do_not_show(spark, monkeypatch)
     assert kept.count() == len(set(want))
 
 
+def test_parts_of_a_bucket_meet_without_a_row_a_pair(spark, monkeypatch):
+    """Groups of texts in one bucket, of several tiles: grouped as all pairs would, with rows that grow with the bucket only."""
+    rng = random.Random(5)
+
+    def changed(words):
+        words = list(words)
+        for at in rng.sample(range(10, 190, 6), 2):
+            words[at] = f"x{rng.randrange(10 ** 9)}"
+        return " ".join(words)
+
+    pool = [changed([f"w{g}_{k}" for k in range(200)]) for g in range(16) for _ in range(5)]
+    monkeypatch.setattr(simhash, "_bands", lambda h: np.zeros(1, np.uint64))  # all in one bucket
+    monkeypatch.setattr(simhash, "TILE_ROWS", 16)
+    held, whole = [], simhash._jaccard_links
+    monkeypatch.setattr(simhash, "_jaccard_links", lambda pairs, *rest: held.append(pairs.count()) or whole(pairs, *rest))
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in pool]
+    want = least_reachable(list(range(len(pool))), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    named = simhash.alike(spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string"))
+    least = {}
+    got = {r.doc_id: r._root for r in named.collect()}
+    for k in sorted(got):
+        least.setdefault(got[k], k)
+    assert [least[got[k]] for k in range(len(pool))] == want
+    assert sum(held) <= 3 * len(pool)  # 3,040 pairs are across the groups
+
+
 def xxhash_of(text):
     import xxhash
 

@@ -14,8 +14,9 @@ Fingerprints within four bits bring pairs from about 0.93 together; texts of 0.8
 in some ten of 64 bits, where no segment with one wildcard is selective any more. So it
 adds candidates from bands of smallest hashes, and holds candidates of either kind
 against the whole shingle sets: first few of each bucket, so many as would connect it, and
-then, of buckets that this left in parts, all pairs across the parts. So whatever meets
-in a bucket and is similar enough ends in one group.
+then, of buckets that this left in parts, all pairs across the parts. These are compared
+where a bucket's sets meet and are never rows; what comes out is fewer links than a bucket
+has nodes. So whatever meets in a bucket and is similar enough ends in one group.
 
 Null and empty texts have fingerprint zero and no shingles, and link like any other.
 Repeated rows share a fingerprint. A null doc_id takes part but names no component; a
@@ -40,6 +41,7 @@ MAX_BITS = 4
 SPLIT_AT = 4096
 #: of `alike`: texts of 0.8 meet in some band with a chance of 0.995, of 0.85 with 0.9999
 BANDS, ROWS = 24, 7
+TILE_ROWS, TILE_MEMBERS = 4096, 1 << 22  # of a part of a bucket; two parts meet in a task
 
 
 def shingle_hashes(text: str | None, width: int = 4) -> np.ndarray:
@@ -297,52 +299,107 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, split_at: in
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     first = cut(by_band.union(same).union(near).filter("a < b").distinct())
 
-    def verified(pairs):
+    def sets_of(named):
         # only texts that take part in a candidate are read again
-        named = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
         wanted = cut(nodes.select("_id", "_text").join(named, "_id", "left_semi").select("_text").distinct())
-        sets = _sets(texts.join(if_small(wanted), "_text", "left_semi"), width)
-        return cut(_jaccard_links(pairs, sets, similarity))
+        return _sets(texts.join(if_small(wanted), "_text", "left_semi"), width)
+
+    def verified(pairs):
+        return cut(_jaccard_links(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()), similarity))
 
     def rooted(linked):
         return cut(nodes.select("_id").join(components(linked).withColumnRenamed("fp", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").alias("_root")))
 
     linked = verified(first)
     root = rooted(linked)
-    rest = cut(_across(nodes, root, band, bits, similarity, split_at).join(first, ["a", "b"], "left_anti"))
+    rest = cut(_across(nodes, root, band, bits, similarity, sets_of))
     if rest.limit(1).count():
-        root = rooted(linked.union(verified(rest)))
+        root = rooted(linked.union(rest))
     return hot_join(prints.select("doc_id", "_text", "_id"), root, "_id").select("doc_id", "_text", "_root")
 
 
-def _across(nodes: DataFrame, root: DataFrame, band: DataFrame, bits: DataFrame, similarity: float, split_at: int) -> DataFrame:
-    """(a, b) with a < b: of all that meet in a band or within four bits, the pairs of different roots and fitting sizes."""
-    of = cut(nodes.select("_id", "_fp", "_n").join(root, "_id"))
-
-    def opened(rows, key):
-        """Rows (key, _id) of the keys whose nodes are of several roots, with root and size."""
-        full = cut(hot_join(rows, of.select("_id", "_root", "_n"), "_id"))
-        parts = full.groupBy(key).agg(F.min("_root").alias("least"), F.max("_root").alias("most")).filter("least < most").select(key)
-        return full.join(if_small(cut(parts)), key, "left_semi")
-
-    def paired(x, y, on):
-        a, b = (df.select(*[F.col(c).alias(c if c in on else f"{c}{n}") for c in df.columns]) for df, n in ((x, 1), (y, 2)))
-        fits = (F.least("_n1", "_n2") >= similarity * F.greatest("_n1", "_n2")) & (F.col("_root1") != F.col("_root2"))
-        return a.join(b, on).filter(fits).select(F.least("_id1", "_id2").alias("a"), F.greatest("_id1", "_id2").alias("b"))
-
-    def apart(x, key):  # each pair of a key once
-        return paired(x, x, [key]).filter("a < b")
-
-    by_band = apart(opened(band, "k"), "k")
-    by_print = apart(opened(of.select("_fp", "_id"), "_fp"), "_fp")
-    # of fingerprints that bits connect, all pairs where this holds several roots
-    group = components(bits).select(F.col("fp").alias("_fp"), F.col("root").alias("g"))
-    group = group.union(group.select(F.col("g").alias("_fp"), "g").distinct()).distinct()
-    loose = cut(opened(of.select("_fp", "_id").join(group, "_fp").select("g", "_id"), "g").join(of.select("_id", "_fp"), "_id").select("_fp", "_id", "_root", "_n"))
-    close = links(loose.select(F.col("_fp").alias("fp")).distinct(), split_at, every_pair)
-    x, y = loose.withColumnRenamed("_fp", "f"), loose.withColumnRenamed("_fp", "g")
-    by_bits = paired(x.join(close.select(F.col("a").alias("f"), F.col("b").alias("g")), "f"), y, ["g"])
-    return by_band.union(by_print).union(by_bits).distinct()
+def _across(nodes: DataFrame, root: DataFrame, band: DataFrame, bits: DataFrame, similarity: float, sets_of) -> DataFrame:
+    """(a, b): links that connect roots wherever nodes of several, similar enough, meet in a band or within four bits.
+
+    The pairs of a bucket are never rows: its nodes are sent with their sets, and compared where they meet. Large buckets
+    are dealt to parts, of which any two meet in a task.
+    """
+    of = cut(nodes.select("_id", "_fp", "_n").filter("_n > 0").join(root, "_id"))
+
+    def opened(rows, kind):
+        """Rows (k, _id) of the keys whose nodes are of several roots."""
+        full = cut(hot_join(rows, of.select("_id", "_n", "_root"), "_id"))
+        parts = full.groupBy("k").agg(F.min("_root").alias("least"), F.max("_root").alias("most"), F.count("*").alias("n"), F.sum("_n").alias("members")).filter("least < most")
+        parts = parts.select("k", F.ceil(F.greatest(F.col("n") / TILE_ROWS, F.col("members") / TILE_MEMBERS)).alias("parts"))
+        return full.join(if_small(cut(parts)), "k").select(F.lit(kind).alias("kind"), "k", "_id", "parts")
+
+    # of fingerprints that bits connect, all within four bits where this holds several roots
+    group = components(bits).select(F.col("fp").alias("_fp"), F.col("root").alias("k"))
+    group = group.union(group.select(F.col("k").alias("_fp"), "k").distinct()).distinct()
+    loose = cut(opened(band, 0).union(opened(of.select(F.col("_fp").alias("k"), "_id"), 0)).union(opened(of.join(group, "_fp").select("k", "_id"), 1)))
+    whole = of.join(sets_of(loose.select("_id").distinct()), "_id")
+    part = F.pmod(F.xxhash64("_id"), F.col("parts"))
+    dealt = loose.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tiles = dealt.select("kind", "k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "_id").join(whole, "_id")
+    key = ["kind", "k", "i", "j"]
+    tiles = tiles.select(*key, "part", "_id", "_root", "_fp", "_set").repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            columns = [batch.column(n).to_numpy() for n in range(4)]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1
+            found = []
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                piece = batch.slice(lo, hi - lo)
+                if held and any(held[0].column(n)[0] != piece.column(n)[0] for n in range(4)):
+                    found += tile_links(pa.Table.from_batches(held), similarity)
+                    held = []
+                held.append(piece)
+            yield _links_batch(found)
+        if held:
+            yield _links_batch(tile_links(pa.Table.from_batches(held), similarity))
+
+    return tiles.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (np.array(found, np.int64).reshape(-1, 2)).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def tile_links(tile: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect the roots of a tile (kind, k, i, j, part, _id, _root, _fp, _set) by pairs similar enough: fewer than it has rows."""
+    near, across = tile.column(0)[0].as_py() == 1, tile.column(2)[0].as_py() != tile.column(3)[0].as_py()
+    part, ids, root = (tile.column(n).to_numpy().copy() for n in (4, 5, 6))
+    bits = tile.column(7).to_numpy().view(np.uint64)
+    sets = [np.frombuffer(x, np.uint32) for x in tile.column(8).to_pylist()]
+    size = np.array([len(x) for x in sets])
+    starts = np.cumsum(size) - size
+    names, named = np.unique(np.concatenate(sets), return_inverse=True)
+    has, links = np.zeros(len(names), bool), []
+    for x in range(len(ids) - 1):
+        rest = slice(x + 1, None)
+        ok = (root[rest] != root[x]) & (np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x]))
+        if across:
+            ok &= part[rest] != part[x]
+        if near:
+            ok &= _popcount(bits[rest] ^ bits[x]) <= MAX_BITS
+        some = np.flatnonzero(ok) + x + 1
+        if not len(some):
+            continue
+        mine = named[starts[x]:starts[x] + size[x]]
+        has[mine] = True
+        if 8 * len(some) > len(ids) - x:
+            both = np.add.reduceat(has[named[starts[x + 1]:]], starts[x + 1:] - starts[x + 1], dtype=np.int64)[some - x - 1]
+        else:
+            both = np.array([has[named[starts[y]:starts[y] + size[y]]].sum() for y in some.tolist()])
+        has[mine] = False
+        for y in some[both >= similarity * (size[x] + size[some] - both)].tolist():
+            if root[y] != root[x]:
+                links.append((int(ids[x]), int(ids[y])))
+                root[root == root[y]] = root[x]
+    return links
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
