@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustloom.frames import reachable
+from trustloom.frames import reachable, stored
 
 # fixed values
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -83,19 +83,15 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.translate(text, MARKED, PLAIN)), MARKED, PLAIN), F.lit(TOKEN), F.lit(0))
 
 
-def inverted(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(every row's length; the places of the wanted terms): an index of content and tags, pruned to the terms asked for.
+def places(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """(memory_id, size, near): how many terms content and tags have, and where the wanted ones stand.
 
     Places in tags follow those in content after a gap, so that no phrase runs over both.
     """
     t = rows.select("memory_id", terms(F.coalesce("content", F.lit(""))).alias("a"), terms(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")).alias("b"))
-    lengths = t.select("memory_id", (F.size("a") + F.size("b")).cast("long").alias("size"))
     place = lambda column, start: F.transform(column, lambda x, i: F.struct(x.alias("term"), (i + start).alias("at")))
     every = F.concat(place(F.col("a"), F.lit(0)), place(F.col("b"), F.size("a") + 1))
-    asked = [r.term for r in wanted.select("term").distinct().collect()]  # of stated queries, few
-    near = F.filter(every, lambda p: p["term"].isin(asked)) if asked else F.filter(every, lambda p: F.lit(False))
-    places = t.select("memory_id", F.explode(near).alias("p")).select("memory_id", "p.term", "p.at")
-    return lengths, places
+    return t.select("memory_id", (F.size("a") + F.size("b")).cast("long").alias("size"), F.filter(every, lambda p: p["term"].isin(wanted)).alias("near"))
 
 
 def phrases(spark: SparkSession, queries: list[tuple[str, str]]) -> DataFrame:
@@ -112,14 +108,19 @@ def phrases(spark: SparkSession, queries: list[tuple[str, str]]) -> DataFrame:
 def keyword(rows: DataFrame, queries: list[tuple[str, str]], k: int) -> DataFrame:
     """(query_id, rank, memory_id, score): BM25 over rows that hold every phrase, ties to the smaller id."""
     spark = rows.sparkSession
-    asked = phrases(spark, queries)
-    lengths, places = inverted(rows, asked)
-    totals = lengths.agg(F.count("*").alias("N"), F.avg("size").alias("average"))
-    near = places.repartition("memory_id").join(F.broadcast(asked), "term")
-    starts = near.groupBy("memory_id", "query_id", "phrase", "n", "n_phrases", (F.col("at") - F.col("j")).alias("start")).agg(F.count_distinct("j").alias("met")).filter("met = n")
-    often = starts.groupBy("memory_id", "query_id", "phrase", "n_phrases").agg(F.count("*").alias("f"))
+    of: dict[tuple, dict[int, str]] = {}
+    for r in phrases(spark, queries).collect():  # of stated queries, few
+        of.setdefault((r.query_id, r.phrase, r.n_phrases), {})[r.j] = r.term
+    if not of or k <= 0:
+        return spark.createDataFrame([], "query_id string, rank int, memory_id string, score double")
+    # phrases are counted where a record is read: no places are shuffled, and texts are parted into terms once
+    found = F.filter(F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(p).alias("phrase"), F.lit(n).cast("long").alias("n_phrases"), _often([of[q, p, n][j] for j in sorted(of[q, p, n])]).alias("f")) for q, p, n in sorted(of)]),
+                     lambda h: h["f"] > 0)
+    read = stored(places(rows, sorted({term for of_ in of.values() for term in of_.values()})).select("memory_id", "size", found.alias("found")))
+    totals = read.agg(F.count("*").alias("N"), F.avg("size").alias("average"))
+    often = read.select("memory_id", "size", F.explode("found").alias("h")).select("memory_id", "size", "h.*")
     have = often.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
-    whole = often.join(F.broadcast(have), ["query_id", "phrase"]).join(lengths, "memory_id").join(F.broadcast(totals))
+    whole = often.join(F.broadcast(have), ["query_id", "phrase"]).join(F.broadcast(totals))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("average")))
     scored = whole.groupBy("query_id", "memory_id", "n_phrases").agg(F.count("*").alias("met"), F.sum(part).alias("s")).filter("met = n_phrases")
@@ -127,6 +128,19 @@ def keyword(rows: DataFrame, queries: list[tuple[str, str]], k: int) -> DataFram
     return ranked(scored, [F.desc("score"), "memory_id"], k).select("query_id", "rank", "memory_id", "score")
 
 
+def _often(phrase: list[str]) -> Column:
+    """How often a phrase stands in `near` (term, at)."""
+    follows = lambda p, j: F.exists("near", lambda x: (x["term"] == phrase[j]) & (x["at"] == p["at"] + j))
+
+    def starts(p):
+        out = p["term"] == phrase[0]
+        for j in range(1, len(phrase)):
+            out = out & follows(p, j)
+        return out
+
+    return F.size(F.filter("near", starts)).cast("long")
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of every word between two spaces before and one after."""
     padded = F.transform(terms(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
