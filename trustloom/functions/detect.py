@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustloom.frames import let
+from trustloom.functions.text import holds
 from trustloom.schema import tier_rank
 
 # fixed values: category, severity, pattern (any case; (?s) where . spans lines)
@@ -58,6 +63,20 @@ SENSITIVE = (
 )
 CARD = r"\b(?:[0-9][ -]?){15}[0-9]\b"
 RUN, RUN_SIZE = "[A-Za-z0-9/+]+", 40
+#: of each of them strings of which every match holds one, in lower case (none: always tried); looking for a string takes a small part of a pattern's time
+POISON_PARTS = (
+    ("ignore",), ("disregard",), ("forget",), ("note to ",), ("the real instruction is",), ("act as ",), (),
+    ("<!--",), ("you are now",), ("restrictions",), ("restrictions",), ("override",), ("exfiltrat",), ("leak",),
+    ("send",), ("print",), ("respond",), ("connection string",), ("reveal",), ("password", "secret", "credential"), ("curl", "wget"),
+    ("|",), ("delete",), ("disable",), ("/etc/",),
+)
+SENSITIVE_PARTS = (
+    ("akia",), ("aws_secret_access_key",), ("-----begin ",), ("_",), ("hooks.slack.com",), ("bearer",), ("password", "passwd", "pwd"),
+    ("confidential",), ("internal",), ("proprietary",), ("trade",), ("distribute", "share", "forward"), (".internal", ".corp", ".intranet"), (),
+    ("@",), ("-",),
+)
+#: the same runs, tried only where one begins; and what every card number holds
+ENCODED_RUN, KEY_RUN, DIGITS = "(?<![A-Za-z0-9+/])" + ENCODED, f"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{{{RUN_SIZE}}}(?![A-Za-z0-9/+])", "[0-9](?:[ -]?[0-9]){15}"
 REDACTED = "[REDACTED]"
 #: what counts as a secret in free text, and is cut out of it
 SECRETS = (
@@ -66,18 +85,26 @@ SECRETS = (
     r"""(?i)\b(?:password|passwd|pwd|secret|token|api[ _-]?key)\b["']?\s*(?:\bis\b|=|:)\s*\S+""",
     r"(?i)\b[a-z0-9_]*(?:password|passwd|pwd)\b\s*[=:]\s*\S+",
 )
+SECRET_PARTS = (("-----begin ",), ("akia",), ("_",), ("hooks.slack.com",), ("bearer",), ("sk-",), ("password", "passwd", "pwd", "secret", "token", "api"), ("password", "passwd", "pwd"))
+
+
+def tried(text: Column, low: Column, pattern: str, parts: tuple[str, ...]) -> Column:
+    """text.rlike(pattern), looked for only where one of the parts is."""
+    return holds(low, parts) & text.rlike(pattern) if parts else text.rlike(pattern)
 
 
 def poison(text: Column) -> Column:
     """struct(is_poisoned, categories in order, severity, reason)."""
     text = F.coalesce(text, F.lit(""))
-    worst = []
-    for category in POISON_ORDER[:-1]:
-        found = [F.when(text.rlike("(?i)" + p), F.lit(s)).otherwise(F.lit(0.0)) for c, s, p in POISON if c == category]
-        worst.append((category, F.greatest(*found) if len(found) > 1 else found[0]))
-    coded = F.exists(F.regexp_extract_all(text, F.lit(ENCODED), F.lit(0)), lambda x: x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[0-9]"))
-    worst.append((POISON_ORDER[-1], F.when(coded, F.lit(ENCODED_SEVERITY)).otherwise(F.lit(0.0))))
-    each = F.filter(F.array(*[F.struct(F.lit(c).alias("c"), s.alias("s")) for c, s in worst]), lambda x: x["s"] > 0)
+
+    def each(low):
+        worst = []
+        for category in POISON_ORDER[:-1]:
+            found = [F.when(tried(text, low, "(?i)" + p, parts), F.lit(s)).otherwise(F.lit(0.0)) for (c, s, p), parts in zip(POISON, POISON_PARTS) if c == category]
+            worst.append((category, F.greatest(*found) if len(found) > 1 else found[0]))
+        coded = F.exists(F.regexp_extract_all(text, F.lit(ENCODED_RUN), F.lit(0)), lambda x: x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[0-9]"))
+        worst.append((POISON_ORDER[-1], F.when(coded, F.lit(ENCODED_SEVERITY)).otherwise(F.lit(0.0))))
+        return F.filter(F.array(*[F.struct(F.lit(c).alias("c"), s.alias("s")) for c, s in worst]), lambda x: x["s"] > 0)
 
     def result(hits):
         severity = F.when(F.size(hits) > 0, F.least(F.lit(1.0), F.array_max(F.transform(hits, lambda x: x["s"])) + EACH_CATEGORY * (F.size(hits) - 1))).otherwise(F.lit(0.0))
@@ -85,19 +112,21 @@ def poison(text: Column) -> Column:
         reason = F.when(F.size(hits) > 0, F.concat(F.lit("matched "), F.array_join(names, ", "))).otherwise(F.lit("no known injection or poisoning patterns detected"))
         return F.struct((F.size(hits) > 0).alias("is_poisoned"), names.alias("categories"), severity.alias("severity"), reason.alias("reason"))
 
-    return F.get(F.transform(F.array(each), result), F.lit(0))
+    return let(let(F.lower(text), each), result)
 
 
 def card_found(text: Column) -> Column:
-    return F.exists(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), lambda x: F.call_function("luhn_check", F.regexp_replace(x, "[ -]", "")))
+    return text.rlike(DIGITS) & F.exists(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), lambda x: F.call_function("luhn_check", F.regexp_replace(x, "[ -]", "")))
 
 
 def sensitive(text: Column) -> Column:
     """struct(has_sensitive, detected in order of first sight, suggested tier or null, reason)."""
     text = F.coalesce(text, F.lit(""))
-    run = F.exists(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda x: (F.length(x) == RUN_SIZE) & x.rlike("[0-9/+]"))
-    hits = [(name, run if pattern is None else text.rlike(pattern), tier) for name, pattern, tier in SENSITIVE] + [("credit_card", card_found(text), "pii")]
-    each = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(name).alias("name"), F.lit(tier).alias("tier"))) for name, hit, tier in hits]))
+    run = F.exists(F.regexp_extract_all(text, F.lit(KEY_RUN), F.lit(0)), lambda x: x.rlike("[0-9/+]"))
+
+    def each(low):
+        hits = [(name, run if pattern is None else tried(text, low, pattern, parts), tier) for (name, pattern, tier), parts in zip(SENSITIVE, SENSITIVE_PARTS)] + [("credit_card", card_found(text), "pii")]
+        return F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(name).alias("name"), F.lit(tier).alias("tier"))) for name, hit, tier in hits]))
 
     def result(found):
         names = F.array_distinct(F.transform(found, lambda x: x["name"]))
@@ -105,7 +134,7 @@ def sensitive(text: Column) -> Column:
         reason = F.when(F.size(found) > 0, F.concat(F.size(names).cast("string"), F.lit(" found: "), F.array_join(names, ", "), F.lit(" -> "), tier)).otherwise("nothing found")
         return F.struct((F.size(found) > 0).alias("has_sensitive"), names.alias("detected"), tier.alias("suggested"), reason.alias("reason"))
 
-    return F.get(F.transform(F.array(each), result), F.lit(0))
+    return let(let(F.lower(text), each), result)
 
 
 def raised(current: Column, suggested: Column) -> Column:
@@ -114,16 +143,18 @@ def raised(current: Column, suggested: Column) -> Column:
 
 
 def contains_secret(text: Column) -> Column:
-    text, out = F.coalesce(text, F.lit("")), F.lit(False)
-    for pattern in SECRETS:
-        out = out | text.rlike(pattern)
-    return out
+    text = F.coalesce(text, F.lit(""))
+    return let(F.lower(text), lambda low: functools.reduce(operator.or_, [tried(text, low, pattern, parts) for pattern, parts in zip(SECRETS, SECRET_PARTS)]))
 
 
 def redact(text: Column) -> Column:
-    for pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, REDACTED)
-    return text
+    """Cuts make no new part of a secret, so that the parts are looked for in the text as it was."""
+
+    def cut(low):
+        one = lambda out, step: let(out, lambda t: F.when(holds(low, step[1]), F.regexp_replace(t, step[0], REDACTED)).otherwise(t))
+        return functools.reduce(one, zip(SECRETS, SECRET_PARTS), text)
+
+    return let(F.lower(text), cut)
 
 
 def annotate(metadata: Column, name: str, value: Column) -> Column:
