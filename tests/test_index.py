@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from trustloom.operators import index as kept, search
@@ -72,3 +73,16 @@ def test_a_writer_that_dies_leaves_the_index(spark, tmp_path, frame, monkeypatch
         with pytest.raises(ZeroDivisionError):
             change()
     assert plain(kept.Index(spark, str(tmp_path)).top(ASKED, 3)) == before
+
+
+def test_places_are_put_in_blocks_where_records_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kept, "PLACES", 3)  # several parts of a stretch
+    rows = spark.createDataFrame([(f"m{k}", text, ["a b"]) for k, text in enumerate(["a b a", "", "b", "c a b c a b"])], "memory_id string, content string, tags array<string>").coalesce(1)
+    made = kept.Index(spark, str(tmp_path / "i"))
+    made.add(rows)
+    at = made.manifest()
+    got = {r.term: (r.n, r.most, r.least, list(zip(r.docs, r.counts, r.sizes, r.places))) for r in made._read(at, "blocks", kept.BLOCKS).collect()}
+    assert got["a"] == (4, 3, 2, [(0, 3, 5, [0, 2, 4]), (1, 1, 2, [1]), (2, 1, 3, [2]), (3, 3, 8, [1, 4, 7])])
+    assert got["b"] == (4, 3, 2, [(0, 2, 5, [1, 5]), (1, 1, 2, [2]), (2, 2, 3, [0, 3]), (3, 3, 8, [2, 5, 8])]) and got["c"] == (1, 2, 8, [(3, 2, 8, [0, 3])])
+    parts = list(kept._parts((pa.RecordBatch.from_pylist([{"doc": d, "size": 2, "a": ["x", "x"], "b": []}], pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("a", pa.list_(pa.string())), ("b", pa.list_(pa.string()))])) for d in (4095, 4096)), 4096, 9))
+    assert [r for p in parts for r in p.select(["stretch", "docs", "places"]).to_pylist()] == [{"stretch": 0, "docs": [4095], "places": [[0, 1]]}, {"stretch": 1, "docs": [0], "places": [[0, 1]]}]

@@ -16,19 +16,26 @@ Commits are those of `store.Log`: whole, or not at all.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustloom.frames import settle
+from trustloom.frames import reachable, settle
 from trustloom.operators.search import B, K1, LEAST_IDF, phrases, ranked, terms
 from trustloom.store import Conflict, Log
 
 STRETCH = 4096
+ROWS = 4096  # of parts, sent on at a time
 SEEDS = 4  # stretches a query that are scored first
 CLOSE = 1e-5  # scores are rounded to six digits
 BLOCKS = ("segment int, term string, stretch long, n long, most int, least long, docs array<int>, counts array<int>, sizes array<long>, places array<array<int>>")
+PARTS = "term string, stretch long, docs array<int>, counts array<int>, sizes array<long>, places array<array<int>>"
+PLACES = 1 << 20  # of terms that a part is made of, and those of one more batch
 DOCS = "segment int, doc long, memory_id string, size long"
 
 
@@ -36,6 +43,54 @@ def bm25(f: Column, size: Column, average: Column) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * size / average))
 
 
+def _parts(batches, size: int, most: int):
+    """Parts of blocks, of records (doc, size, a, b) in the order of their numbers: places counted through a, a gap, so that no phrase runs over both, and b."""
+    held, n = [], 0
+    for batch in batches:
+        stretch = batch.column(0).to_numpy() // size
+        for at in np.unique(stretch):
+            mine = pa.array(np.flatnonzero(stretch == at))
+            if held and (held[0][0] != at or n > most):
+                yield from _part(held, size)
+                held, n = [], 0
+            rows = batch.take(mine)
+            held.append((at, rows))
+            n += len(pc.list_flatten(rows.column(2))) + len(pc.list_flatten(rows.column(3)))
+    if held:
+        yield from _part(held, size)
+
+
+def _part(held, stretch: int):
+    rows = pa.Table.from_batches([r for _, r in held]).combine_chunks()
+    first = lambda name: rows.column(name).combine_chunks()
+    doc, size, a, b = first("doc").to_numpy(), first("size").to_numpy(), first("a"), first("b")
+    sizes_a = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+    row, place, words = [], [], []
+    for column, start in ((a, np.zeros(len(doc), np.int64)), (b, sizes_a + 1)):
+        n = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(doc)), n)
+        row.append(owner)
+        place.append(np.arange(len(owner)) - (np.cumsum(n) - n)[owner] + start[owner])
+        words.append(pc.list_flatten(column))
+    code = pa.concat_arrays(words).dictionary_encode()
+    if not len(code):
+        return
+    term, row, place = code.indices.to_numpy(), np.concatenate(row), np.concatenate(place).astype(np.int32)
+    by = np.lexsort((place, doc[row], term))
+    term, row, place = term[by], row[by], place[by]
+    begins = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (row[1:] != row[:-1])))  # a posting's first place
+    ends = np.append(begins[1:], len(term))
+    of, which = term[begins], row[begins]
+    heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))  # a term's first posting
+    bounds = pa.array(np.append(heads, len(of)).astype(np.int32))
+    listed = lambda values: pa.ListArray.from_arrays(bounds, values)
+    places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(term)).astype(np.int32)), pa.array(place))
+    out = pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(of[heads])), pa.array(np.full(len(heads), held[0][0], np.int64)), listed(pa.array((doc[which] % stretch).astype(np.int32))),
+                                      listed(pa.array((ends - begins).astype(np.int32))), listed(pa.array(size[which])), listed(places)], ["term", "stretch", "docs", "counts", "sizes", "places"])
+    for at in range(0, out.num_rows, ROWS):
+        yield out.slice(at, ROWS)
+
+
 class Index(Log):
     def __init__(self, spark: SparkSession, root: str):
         super().__init__(spark, root, {"segments": [], "gone": []})
@@ -66,18 +121,18 @@ class Index(Log):
         read.write.parquet(f"{at}/staged")  # numbers hold from here on
         read = self.spark.read.parquet(f"{at}/staged")
         read.select(F.lit(number).alias("segment"), "doc", "memory_id", "size").write.parquet(f"{at}/docs")
-        place = lambda column, start: F.transform(column, lambda x, i: F.struct(x.alias("term"), (i + start).alias("at")))
-        every = F.concat(place(F.col("a"), F.lit(0)), place(F.col("b"), F.size("a") + 1))  # a gap, so that no phrase runs over both
-        each = read.select("doc", "size", F.floor(F.col("doc") / STRETCH).alias("stretch"), F.explode(every).alias("p")).select("doc", "size", "stretch", "p.term", "p.at")
-        # one shuffle for both groupings; a stretch bounds what a common term brings to one group
-        of = each.repartition("term", "stretch").groupBy("term", "stretch", "doc").agg(F.first("size").alias("size"), F.array_sort(F.collect_list("at")).alias("places"))
-        row = F.struct((F.col("doc") % STRETCH).cast("int").alias("doc"), F.size("places").alias("count"), "size", "places")
-        block = of.groupBy("term", "stretch").agg(F.array_sort(F.collect_list(row)).alias("r"))
-        block = block.select(F.lit(number).alias("segment"), "term", "stretch", F.size("r").cast("long").alias("n"), F.array_max("r.count").alias("most"), F.array_min("r.size").alias("least"),
-                             F.col("r.doc").alias("docs"), F.col("r.count").alias("counts"), F.col("r.size").alias("sizes"), F.col("r.places").alias("places"))
-        out = block.repartitionByRange("term", "stretch").sortWithinPartitions("term", "stretch").write.option("parquet.writer.version", "v2").option("parquet.bloom.filter.enabled#term", "true")
+        # what a task reads in a row is put in blocks there; only parts of blocks are dealt out, not each place of a term
+        reachable(self.spark)
+        read.select("doc", "size", "a", "b").mapInArrow(functools.partial(_parts, size=STRETCH, most=PLACES), PARTS).write.parquet(f"{at}/parts")
+        part = F.struct("docs", "counts", "sizes", "places")
+        of = self.spark.read.schema(PARTS).parquet(f"{at}/parts").repartitionByRange("term", "stretch").groupBy("term", "stretch").agg(F.array_sort(F.collect_list(part)).alias("r"))
+        whole = of.select("term", "stretch", *[F.flatten(F.col(f"r.{name}")).alias(name) for name in ("docs", "counts", "sizes", "places")])
+        block = whole.select(F.lit(number).alias("segment"), "term", "stretch", F.size("docs").cast("long").alias("n"), F.array_max("counts").alias("most"), F.array_min("sizes").alias("least"),
+                             "docs", "counts", "sizes", "places")
+        out = block.sortWithinPartitions("term", "stretch").write.option("parquet.writer.version", "v2").option("parquet.bloom.filter.enabled#term", "true")
         out.parquet(f"{at}/blocks")
         self._drop(f"data/{folder}/staged")
+        self._drop(f"data/{folder}/parts")
 
     def _commit(self, did: str, change) -> int:
         """Publish what `change` adds; segments and removals of others stand beside it, unless segments were put together."""
