@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trustloom.frames import stored
 from trustloom.functions import decisions, detect
-from trustloom.functions.text import has_any
+from trustloom.functions.text import collapsed, has_any
 from trustloom.operators.lifecycle import classified, lineage
 
 # fixed values
@@ -37,11 +38,11 @@ BUILT = ("backend_framework", "database", "database_local", "database_cloud", "f
 SHELL = ("uv ", "pnpm ", "npm ", "yarn ", "python ", "pytest ", "ruff ")
 
 
-def memory_line(records: DataFrame) -> DataFrame:
-    """Add line: a decision's label and value with what became of it, else the content; secrets cut, the source named."""
+def memory_line(records: DataFrame, gave_way: DataFrame | None) -> DataFrame:
+    """Add line: a decision's label and value with what became of it (of the lineage, if there is one), else the content; secrets cut, the source named."""
     c = F.col
-    gave_way = lineage(records).select("memory_id", F.col("value").alias("_newer"))
-    r = records.withColumn("_d", decisions.found(c("content"))).join(gave_way, "memory_id", "left")
+    r = records.select("*", F.explode(F.array(decisions.found(c("content")))).alias("_d"))  # worked out once, however often it is named
+    r = r.withColumn("_newer", F.lit(None).cast("string")) if gave_way is None else r.join(gave_way.select("memory_id", F.col("value").alias("_newer")), "memory_id", "left")
     source = F.when(F.coalesce("source_ref", F.lit("")) != "", F.concat(F.lit(" (source: "), detect.redact(c("source_ref")), F.lit(")"))).otherwise("")
     name, value = decisions.label(c("_d.key")), detect.redact(c("_d.value"))
     was = F.concat(name, F.lit(" was previously "), value, F.lit("; "))
@@ -58,7 +59,9 @@ def section_rows(records: DataFrame) -> DataFrame:
     records: memory_id, content, source_ref, status, sensitivity, superseded_by, created_s
     """
     c = F.col
-    r = memory_line(classified(records))
+    # only superseded records look up what they gave way to, so that the others' texts are not dealt out
+    gave_way, old = lineage(records), F.coalesce(c("status") == "superseded", F.lit(False))
+    r = memory_line(classified(records.filter(~old)), None).unionByName(memory_line(classified(records.filter(old)), gave_way))
     key = c("decision.key")
     about = lambda *needles: has_any(c("content"), needles)
     within = lambda keys: F.coalesce(key.isin(*keys), F.lit(False))
@@ -69,15 +72,22 @@ def section_rows(records: DataFrame) -> DataFrame:
         ("Coding Rules", c("active") & about("use ", "prefer", "must", "should", "rule", "test", "lint") & ~within(("package_manager", "test_command"))),
         ("Important Decisions", c("active")), ("Deprecated/Outdated Decisions", c("deprecated")), ("Things Agents Must Avoid", c("avoid")),
     ]
-    told = r.select("created_s", "memory_id", "line", F.explode(F.array_compact(F.array(*[F.when(w, F.lit(s)) for s, w in of]))).alias("section"))
+    digest = F.sha2(F.lower("line"), 256)
+    some = lambda line: F.explode(F.filter(F.array(collapsed(line)), lambda x: x != "")).alias("line")
+    sections = F.array_compact(F.array(*[F.when(w, F.lit(s)) for s, w in of]))
+    told = r.select("created_s", "memory_id", sections.alias("_of"), some(c("line"))).select("created_s", "memory_id", digest.alias("_key"), F.explode("_of").alias("section"))
     note = F.concat(F.lit("Sensitive memory omitted from generated context."), F.when(F.coalesce("source_ref", F.lit("")) != "", F.concat(F.lit(" (source: "), detect.redact(c("source_ref")), F.lit(")"))).otherwise(""))
-    notes = r.filter("omitted").select("created_s", "memory_id", note.alias("line"), F.lit("Important Decisions").alias("section"))
+    hidden = classified(records).filter("omitted")
+    notes = hidden.select("created_s", "memory_id", some(note)).select("created_s", "memory_id", digest.alias("_key"), F.lit("Important Decisions").alias("section"))
     every = told.withColumn("_late", F.lit(0)).unionByName(notes.withColumn("_late", F.lit(1)))
-    every = every.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).filter("line <> ''")
-    # keep-first as an aggregate, so that a common line is merged before the shuffle
-    first = every.groupBy("section", F.lower("line").alias("_key")).agg(F.min(F.struct("_late", "created_s", "memory_id", "line")).alias("f"))
-    order = Window.partitionBy("section").orderBy("f")
-    return first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= ITEMS).select("section", "place", "f.line")
+    # keep-first by the line's digest: whole lines are read again for those few that stay
+    first = every.groupBy("section", "_key").agg(F.min(F.struct("_late", "created_s", "memory_id")).alias("f"))
+    order = Window.partitionBy("section").orderBy("f", "_key")
+    kept = stored(first.withColumn("place", F.row_number().over(order)).filter(c("place") <= ITEMS).select("section", "place", "_key", "f.*"))
+    again = memory_line(records.join(F.broadcast(kept.select("memory_id").distinct()), "memory_id", "left_semi"), gave_way)
+    lines = again.select("memory_id", F.explode(F.array(F.struct(F.lit(0).alias("_late"), "line"), F.struct(F.lit(1).alias("_late"), note.alias("line")))).alias("l"))
+    lines = lines.select("memory_id", "l._late", collapsed(c("l.line")).alias("line")).withColumn("_key", digest)
+    return kept.join(lines, ["memory_id", "_late", "_key"]).groupBy("section", "place").agg(F.min("line").alias("line"))
 
 
 @dataclass
