@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from trustloom.llm import simhash
+from trustloom.llm.common import cut_few
 
 
 def least_reachable(names, linked):
@@ -145,3 +146,20 @@ def test_all_pairs_within_four_bits():
     bits = np.array([0, 1, 0b11111, 0b11110, 1 << 63], np.uint64)
     want = [(i, j) for i in range(5) for j in range(i + 1, 5) if (int(bits[i]) ^ int(bits[j])).bit_count() <= 4]
     assert simhash.every_pair(bits) == want and len(simhash.forest(bits)) < len(want)
+
+
+def test_few_links_take_few_parts(spark):
+    """Every part writes files of its own in every later shuffle: 211 parts of some links each once took the disk."""
+    chains = [(10 * k + i, 10 * k + i + 1) for k in range(30) for i in range(9)]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = simhash.components(spark.createDataFrame(chains, "a long, b long").repartition(40))
+        assert found.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, found.collect())) == [(10 * k + i, 10 * k) for k in range(30) for i in range(1, 10)]
+        assert cut_few(spark.range(1000).repartition(40), rows=100).rdd.getNumPartitions() == 10
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -43,6 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_few(df: DataFrame, rows: int = 16_384) -> DataFrame:
+    """cut(df), read in no more parts than one for so many rows: each part writes files of its own in every later shuffle, however little it holds."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, which is settled and has a few short columns, to be broadcast where it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trustloom.llm.common import cut, hot_join, if_small, list_array, replace_columns, schema_with, table
+from trustloom.llm.common import cut, cut_few, hot_join, if_small, list_array, replace_columns, schema_with, table
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
@@ -186,15 +186,16 @@ def links(distinct: DataFrame, split_at: int = SPLIT_AT, of=forest) -> DataFrame
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) of every node with a link: alternating large and small stars to a fixed point."""
-    now = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    now = cut_few(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     while True:
+        few = now.rdd.getNumPartitions()  # links never grow in number, so nor need the parts that a step leaves
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v")
-        down = large.filter("u < v").distinct()
-        small_min = down.groupBy("v").agg(F.min("u").alias("m"))
-        small = down.join(small_min, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).filter("u < v")
-        after = cut(small.union(small_min.select(F.col("m").alias("u"), "v")).distinct())
+        down = large.filter("u < v").coalesce(few).distinct().coalesce(few)
+        small_min = down.groupBy("v").agg(F.min("u").alias("m")).coalesce(few)
+        small = down.join(small_min, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).filter("u < v").coalesce(few)
+        after = cut_few(small.union(small_min.select(F.col("m").alias("u"), "v")).distinct())
         # a node under two parents, or a parent that has a parent, means another round
         open_ = after.groupBy("v").count().filter("count > 1").limit(1).count() or after.join(
             after.select(F.col("v").alias("u")).distinct(), "u", "left_semi"
@@ -285,34 +286,34 @@ def _jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
 def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, split_at: int = SPLIT_AT) -> DataFrame:
     """(doc_id, _text, _root) per row: hash of its text, the least name of its group."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-    prints = cut(_prints(texts, width))
-    nodes = cut(prints.groupBy("_id").agg(F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys"), F.min("_text").alias("_text")))
+    prints = cut_few(_prints(texts, width))
+    nodes = cut_few(prints.groupBy("_id").agg(F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys"), F.min("_text").alias("_text")))
     # a bucket's first and last take part in its candidates, whatever its size
     band = nodes.select("_id", F.explode("_keys").alias("k"))
     ends = band.groupBy("k").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi")
-    met = hot_join(band, cut(ends), "k")
+    met = hot_join(band, cut_few(ends), "k")
     by_band = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("_id").alias("b")), F.struct(F.col("_id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    print_ends = cut(nodes.groupBy("_fp").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")))
+    print_ends = cut_few(nodes.groupBy("_fp").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")))
     same = hot_join(nodes.select("_id", "_fp"), print_ends.filter("lo < hi"), "_fp").select(F.col("lo").alias("a"), F.col("_id").alias("b"))
-    bits = cut(links(print_ends.select(F.col("_fp").alias("fp")), split_at))
+    bits = cut_few(links(print_ends.select(F.col("_fp").alias("fp")), split_at))
     near = bits.join(print_ends.select(F.col("_fp").alias("a"), F.col("lo").alias("x")), "a").join(print_ends.select(F.col("_fp").alias("b"), F.col("lo").alias("y")), "b")
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    first = cut(by_band.union(same).union(near).filter("a < b").distinct())
+    first = cut_few(by_band.union(same).union(near).filter("a < b").distinct())
 
     def sets_of(named):
         # only texts that take part in a candidate are read again
-        wanted = cut(nodes.select("_id", "_text").join(named, "_id", "left_semi").select("_text").distinct())
+        wanted = cut_few(nodes.select("_id", "_text").join(named, "_id", "left_semi").select("_text").distinct())
         return _sets(texts.join(if_small(wanted), "_text", "left_semi"), width)
 
     def verified(pairs):
-        return cut(_jaccard_links(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()), similarity))
+        return cut_few(_jaccard_links(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()), similarity))
 
     def rooted(linked):
-        return cut(nodes.select("_id").join(components(linked).withColumnRenamed("fp", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").alias("_root")))
+        return cut_few(nodes.select("_id").join(components(linked).withColumnRenamed("fp", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").alias("_root")))
 
     linked = verified(first)
     root = rooted(linked)
-    rest = cut(_across(nodes, root, band, bits, similarity, sets_of))
+    rest = cut_few(_across(nodes, root, band, bits, similarity, sets_of))
     if rest.limit(1).count():
         root = rooted(linked.union(rest))
     return hot_join(prints.select("doc_id", "_text", "_id"), root, "_id").select("doc_id", "_text", "_root")
@@ -324,19 +325,19 @@ def _across(nodes: DataFrame, root: DataFrame, band: DataFrame, bits: DataFrame,
     The pairs of a bucket are never rows: its nodes are sent with their sets, and compared where they meet. Large buckets
     are dealt to parts, of which any two meet in a task.
     """
-    of = cut(nodes.select("_id", "_fp", "_n").filter("_n > 0").join(root, "_id"))
+    of = cut_few(nodes.select("_id", "_fp", "_n").filter("_n > 0").join(root, "_id"))
 
     def opened(rows, kind):
         """Rows (k, _id) of the keys whose nodes are of several roots."""
-        full = cut(hot_join(rows, of.select("_id", "_n", "_root"), "_id"))
+        full = cut_few(hot_join(rows, of.select("_id", "_n", "_root"), "_id"))
         parts = full.groupBy("k").agg(F.min("_root").alias("least"), F.max("_root").alias("most"), F.count("*").alias("n"), F.sum("_n").alias("members")).filter("least < most")
         parts = parts.select("k", F.ceil(F.greatest(F.col("n") / TILE_ROWS, F.col("members") / TILE_MEMBERS)).alias("parts"))
-        return full.join(if_small(cut(parts)), "k").select(F.lit(kind).alias("kind"), "k", "_id", "parts")
+        return full.join(if_small(cut_few(parts)), "k").select(F.lit(kind).alias("kind"), "k", "_id", "parts")
 
     # of fingerprints that bits connect, all within four bits where this holds several roots
     group = components(bits).select(F.col("fp").alias("_fp"), F.col("root").alias("k"))
     group = group.union(group.select(F.col("k").alias("_fp"), "k").distinct()).distinct()
-    loose = cut(opened(band, 0).union(opened(of.select(F.col("_fp").alias("k"), "_id"), 0)).union(opened(of.join(group, "_fp").select("k", "_id"), 1)))
+    loose = cut_few(opened(band, 0).union(opened(of.select(F.col("_fp").alias("k"), "_id"), 0)).union(opened(of.join(group, "_fp").select("k", "_id"), 1)))
     whole = of.join(sets_of(loose.select("_id").distinct()), "_id")
     part = F.pmod(F.xxhash64("_id"), F.col("parts"))
     dealt = loose.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
