@@ -139,3 +139,19 @@ def test_edges_keep_when_they_were_found(spark, tmp_path, rows):
     s.update(rows((1, "b", "m3", "m4")))
     now = {r.other_id: r.detected_at for r in s.edges().collect()}
     assert now.keys() == {"m3", "m4"} and now["m3"] == found["m3"] and s.hydrated().first().contradicts == ["m3", "m4"]
+
+
+def test_whole_rows_are_sent_once(spark, rows, tmp_path, capsys):
+    """A replacement neither joins whole rows nor sends them twice; files are packed with CODEC."""
+    import pyarrow.parquet as pq
+
+    store = opened(spark, tmp_path, Store)
+    store.add(rows(*[(i, f"old {i}") for i in range(40)]))
+    old = store.table("records")
+    store._replaced(old, old.filter("memory_id < 'm2'").withColumn("content", F.lit("new")), {str(b) for b in range(8)}).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    store.put(rows(*[(i, f"new {i}") for i in range(20, 60)]))
+    assert sorted(r.content for r in store.table("records").collect()) == sorted([f"old {i}" for i in range(20)] + [f"new {i}" for i in range(20, 60)])
+    files = [p for p in tmp_path.rglob("*.parquet")]
+    assert files and {pq.ParquetFile(p).metadata.row_group(0).column(0).compression for p in files} == {"ZSTD"}
