@@ -154,7 +154,7 @@ def reasons() -> Column:
     intent = F.when(c("intent"), F.concat(F.lit("answers "), decisions.label(c("decision.key")), F.lit("; "))).otherwise(F.lit(""))
     return F.array_compact(F.array(
         F.concat(intent, c("rerank_reason")), F.concat(F.lit("source: "), c("source_ref")),
-        F.format_string("trust %.2f >= min_trust %.2f", c("rerank_trust"), c("min_trust")),
+        F.concat(F.lit("trust "), text.two_places(c("rerank_trust")), F.lit(" >= min_trust "), text.two_places(c("min_trust"))),
         F.concat(F.lit("sensitivity '"), c("sensitivity"), F.lit("' within ceiling '"), c("max_sensitivity"), F.lit("'")),
         F.when(c("q_scope").isNotNull(), F.concat(F.lit("in scope "), c("scope"), F.lit("/"), F.coalesce("scope_ref", F.lit("-"))))))
 

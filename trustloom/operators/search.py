@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustloom.frames import reachable, stored
+from trustloom.functions import embed
 
 # fixed values
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -56,7 +57,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, *, not_self: bool = Fal
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
                 own = np.array(batch.column(0).to_pylist())
                 length = size * np.sqrt((x * x).sum(axis=1))
-                cos = np.divide(q_ @ x.T, length, out=np.zeros(length.shape), where=length > 0).round(6) + 0.0
+                cos = embed.six(np.divide(q_ @ x.T, length, out=np.zeros(length.shape), where=length > 0))
                 if not_self:
                     cos[names[:, None] == own] = -2
                 m = min(k, cos.shape[1])
